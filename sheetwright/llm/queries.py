@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate
 
@@ -12,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    return (F.crc32(F.col("doc_id").cast("string")) % modulus == remainder).alias("held_out")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import jaccard_components
 
@@ -30,6 +35,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learned_rows, with_toxicity
+
+    labels = learned_rows(_table(spark, sf_dir, "labels"), "toxic", 3, 1)
+    out = with_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels, threshold=0.7)
+    return out.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import bpe_digests
 
@@ -42,6 +55,26 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_digests(_table(spark, sf_dir, "documents"), length=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op4_token_counts, op7_bpe_codec, op9_suffix_array_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import with_quality
+    from .toxicity import learned_rows
+
+    labels = learned_rows(_table(spark, sf_dir, "labels"), "quality", 5, 0)
+    out = with_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels, threshold=0.3)
+    return out.select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_benchmark_decontamination,
+        op4_token_counts,
+        op6_toxicity,
+        op7_bpe_codec,
+        op9_suffix_array_dedup,
+        op10_quality_classifier,
+    )
+}
 
 ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE}
