@@ -29,6 +29,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=5, num=80, den=100)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import formatted
+
+    return formatted(_table(spark, sf_dir, "conversations"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -82,6 +88,7 @@ QUERIES = {
     for f in (
         op1_ngram_jaccard_join,
         op2_benchmark_decontamination,
+        op3_chat_formatting,
         op4_token_counts,
         op5_nearest_neighbours,
         op6_toxicity,

@@ -58,10 +58,19 @@ def _unpack(blob: bytes) -> bytes:
 
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part = TaskContext.get().partitionId()
-    for at, (ids, texts) in enumerate(chunks(batches, CHUNK)):
+    carried: list = []
+
+    def noted() -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            carried.extend(pdf["carry"])
+            yield pdf
+
+    for at, (ids, texts) in enumerate(chunks(noted(), CHUNK)):
         docs = np.array([_NULL if i is None or i != i else int(i) for i in ids], dtype="<i8")
         lens = np.array([len(t) for t in texts], dtype="<i8")
-        yield pd.DataFrame([((part << 32) + at, len(docs), _pack(docs.tobytes() + lens.tobytes() + b"".join(texts)))], columns=["chunk", "n", "blob"])
+        notes = _pack("\x1e".join(carried[: len(ids)]).encode("utf-8", "replace"))  # JSON has no bare control characters
+        del carried[: len(ids)]
+        yield pd.DataFrame([((part << 32) + at, len(docs), _pack(docs.tobytes() + lens.tobytes() + b"".join(texts)), notes)], columns=["chunk", "n", "blob", "notes"])
 
 
 def _read_chunk(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -436,39 +445,44 @@ def covered(ends: np.ndarray, total: int, dups: np.ndarray, length: int) -> np.n
     return np.cumsum(step[:-1]) > 0
 
 
-def _removed(chunk_df: pd.DataFrame, dups: pd.DataFrame, length: int, texts: bool) -> pd.DataFrame:
+def _removed(chunk_df: pd.DataFrame, dups: pd.DataFrame, length: int, texts: bool, whole: bool) -> pd.DataFrame:
     rows = []
-    for n, blob in zip(chunk_df["n"], chunk_df["blob"], strict=True):
+    for n, blob, notes in zip(chunk_df["n"], chunk_df["blob"], chunk_df["notes"], strict=True):
         ids, ends, data = _read_chunk(n, blob)
+        carry = _unpack(notes).decode().split("\x1e")
         d = np.frombuffer(b"".join(_unpack(b) for b in dups["blob"]), _DUPS)
         gone = covered(ends, len(data), d, length)
         begin = np.append(0, ends[:-1])
-        for i, b, e in zip(ids.tolist(), begin.tolist(), ends.tolist(), strict=True):
+        for i, b, e, note in zip(ids.tolist(), begin.tolist(), ends.tolist(), carry, strict=True):
             g = gone[b:e]
             cut = int(g.sum())
             kept = data[b:e][~g].tobytes() if cut else data[b:e].tobytes()
+            if whole and cut:
+                kept = kept.decode("utf-8", "ignore").encode()
             spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (e > b and g[0])) if cut else 0
-            rows.append((None if i == _NULL else i, e - b, cut, spans, kept if texts else hashlib.sha256(kept).hexdigest()))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((None if i == _NULL else i, e - b, cut, spans, kept if texts else hashlib.sha256(kept).hexdigest(), note))
+    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carry"])
     out["doc_id"] = out["doc_id"].astype("Int64")
     return out
 
 
-def _run(docs: DataFrame, length: int, texts: bool) -> DataFrame:
+def _run(docs: DataFrame, length: int, texts: bool, carry: list[str] | None = None) -> DataFrame:
     if not 16 <= length <= 126:
         raise ValueError("length must lie between 16 and 126")
     spark = docs.sparkSession
     prepare(spark)
     buckets = 2 * partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(rows.mapInPandas(_chunked, "chunk long, n int, blob binary"), "dedup-chunks")
-    heads = table.mapInPandas(lambda it: _anchored(it, length, buckets), _BUCKETS)
+    notes = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), notes.alias("carry"))
+    table = materialize(rows.mapInPandas(_chunked, "chunk long, n int, blob binary, notes binary"), "dedup-chunks")
+    work = table.drop("notes")
+    heads = work.mapInPandas(lambda it: _anchored(it, length, buckets), _BUCKETS)
     repeats = materialize(heads.groupBy("bucket").applyInPandas(_repeats, _BUCKETS), "dedup-repeats")
-    sent = table.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInPandas(lambda a, b: _suffixes(a, b, length, buckets), _BUCKETS)
+    sent = work.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInPandas(lambda a, b: _suffixes(a, b, length, buckets), _BUCKETS)
     dups = materialize(sent.groupBy("bucket").applyInPandas(lambda pdf: _sorted(pdf, length), _BUCKETS), "dedup-starts")
     forget(repeats)
     kept = "binary" if texts else "string"
-    return table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(lambda a, b: _removed(a, b, length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}")
+    return table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(lambda a, b: _removed(a, b, length, texts, bool(carry)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, carry string")
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -479,9 +493,27 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     smallest; rows that share one are taken in the order in which they were read, so of equal rows one stays whole.
     Other columns are ignored; an empty table gives an empty result.
     """
-    return _run(docs, length, True)
+    return _run(docs, length, True).drop("carry")
 
 
 def repeated_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """As repeated_bytes(), with kept_sha256 in place of the bytes."""
-    return _run(docs, length, False).withColumnRenamed("kept", "kept_sha256")
+    return _run(docs, length, False).withColumnRenamed("kept", "kept_sha256").drop("carry")
+
+
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """docs with each text cut down to the bytes that stay; rows that lose their whole text go, all columns stay.
+
+    A character of which some bytes go, goes.  Texts that lose nothing, null ones too, stay as they are; where the table
+    has n_chars, it is counted again for texts that were cut.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keep = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("_no_text"))
+    found = _run(docs.withColumn("_no_text", F.col("text").isNull()), length, True, [*others, "_no_text"])
+    found = found.where("n_removed = 0 or n_removed < n_bytes").withColumn("carry", F.from_json("carry", keep.schema))
+    text = F.when(F.col("carry._no_text"), None).otherwise(F.col("kept").cast("string"))
+    found = found.select("doc_id", text.alias("text"), "n_removed", "carry.*")
+    if "n_chars" in others:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *[c for c in docs.columns if c != "doc_id"]).select(*docs.columns)
