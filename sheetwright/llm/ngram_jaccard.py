@@ -9,8 +9,10 @@ digest of a set's elements in such a subset, so each qualifying pair shares one.
 strangers; a set with more empty signatures than a pair is sure to share signs again under another seed.
 
 Links, not pairs, are wanted: in a signature's group only the pairs with the smallest id are compared exactly, then
-components are found, and groups that still span several components are compared across these, in blocks, after an
-exact lower bound on the difference (64 cell counts).  No link between different texts is lost.
+components are found, and groups that still span several components are compared across these, in blocks.  Before texts
+are fetched, a pair must pass an exact lower bound on its difference: bit i of a set's parity map says whether an odd
+number of elements falls into cell i, and two sets differ at least where their maps do (a longer map folds onto a shorter
+one by exclusive or).  No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -32,12 +34,11 @@ SEEDS = 12
 HEAVY = 64
 #: Documents in a block of a group that is compared across components.
 BLOCK = 512
-CELLS = 64
 _U = np.uint64
 SCHEMA = "bucket int, kind int, gid long, blob binary"
 DIGEST, SIGNATURE, FLAGGED, SIZES, GROUP, LINK, SAME = range(7)
 _DIGEST = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8")])
-_SIZES = np.dtype([("doc", "<i8"), ("n", "<i8"), ("cells", "u1", CELLS)])
+_SIZES = np.dtype([("doc", "<i8"), ("n", "<i8"), ("words", "<i8")])
 
 
 def bands(largest: int, num: int, den: int) -> np.ndarray:
@@ -152,6 +153,31 @@ def _groups(sig: np.ndarray, doc: np.ndarray, flagged: np.ndarray) -> tuple[byte
     return links, list(groups.items())
 
 
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """2 to 4 bits an element, as a power of two of 64-bit words."""
+    words = 1 << max(0, (2 * len(s) - 1).bit_length() - 6)
+    cell = (mix(s ^ _U(0x71D67FFFEDA60000)) >> _U(20)) & _U(64 * words - 1)
+    flags = (np.bincount(cell.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(flags, bitorder="little").view("<u8")
+
+
+def plausible(maps: np.ndarray, offset: np.ndarray, words: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs (a[i], b[i]) of sets the sizes and parity maps don't rule out; maps: all sets' maps, one after the other."""
+    ok = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (n[a] > 0) & (n[b] > 0)
+    at = np.flatnonzero(ok)
+    long, short = np.where(words[a] >= words[b], a, b)[at], np.where(words[a] >= words[b], b, a)[at]
+    kinds = words[long] * (1 << 32) + words[short]
+    for kind in np.unique(kinds).tolist():
+        wide, narrow = kind >> 32, kind & 0xFFFFFFFF
+        mine = np.flatnonzero(kinds == kind)
+        for some in np.array_split(mine, 1 + len(mine) * wide // (1 << 20)):
+            x = maps[offset[long[some]][:, None] + np.arange(wide)].reshape(len(some), wide // narrow, narrow)
+            y = maps[offset[short[some]][:, None] + np.arange(narrow)]
+            differ = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ y).sum(axis=1).astype(np.int64)
+            ok[at[some]] = differ * (den + num) <= (n[long[some]] + n[short[some]]) * (den - num)
+    return ok
+
+
 def _signed(batches: Iterator[pd.DataFrame], words: int, num: int, den: int, buckets: int) -> Iterator[pd.DataFrame]:
     for ids, texts in chunks(batches):
         hashes, counts = word_hashes(texts)
@@ -162,11 +188,11 @@ def _signed(batches: Iterator[pd.DataFrame], words: int, num: int, den: int, buc
         rows: list[tuple[int, int, int, bytes]] = []
         info = np.zeros(len(ids), dtype=_SIZES)
         info["doc"], info["n"] = doc, [len(s) for s in sets]
-        for at, s in enumerate(sets):
-            info["cells"][at] = np.minimum(np.bincount((mix(s) >> _U(58)).astype(np.int64), minlength=CELLS), 255)
-        rows.append((int(doc[0]) % buckets, SIZES, 0, info[real].tobytes()))
-        if not real.all():
-            rows.append((0, SIZES, 1, info[~real].tobytes()))
+        maps = [parity_map(s) for s in sets]
+        info["words"] = [len(m) for m in maps]
+        for nulls, own in ((0, np.flatnonzero(real)), (1, np.flatnonzero(~real))):
+            if len(own):
+                rows.append((int(doc[own[0]]) % buckets, SIZES, nulls, len(own).to_bytes(8, "little") + info[own].tobytes() + b"".join(maps[i].tobytes() for i in own)))
         used = np.flatnonzero(real & (info["n"] > 0))
         # equal sets: of each, the smallest id of the chunk goes on
         first: dict[tuple[int, int], int] = {}
@@ -242,23 +268,70 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _opened(batches: Iterator[pd.DataFrame], kind: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for gid, blob in zip(pdf["gid"], pdf["blob"], strict=True):
-            if kind == SIZES:
-                d = np.frombuffer(blob, dtype=_SIZES)
+        if kind == SIZES:
+            for gid, blob in zip(pdf["gid"], pdf["blob"], strict=True):
+                count = int.from_bytes(blob[:8], "little")
+                d = np.frombuffer(blob, dtype=_SIZES, offset=8, count=count)
+                end = 8 + count * _SIZES.itemsize + 8 * np.cumsum(d["words"])
                 ids = pd.array(d["doc"], dtype="Int64")
                 if gid:
                     ids[:] = pd.NA
-                yield pd.DataFrame({"doc_id": ids, "n": d["n"], "cells": [x.tobytes() for x in d["cells"]]})
-            elif kind == GROUP:
-                ids = np.frombuffer(blob, dtype="<i8")
-                yield pd.DataFrame({"gid": np.full(len(ids), gid), "doc_id": ids})
+                yield pd.DataFrame({"doc_id": ids, "n": d["n"], "map": [blob[e - 8 * w : e] for e, w in zip(end.tolist(), d["words"].tolist(), strict=True)]})
+        elif len(pdf):
+            ids = np.frombuffer(b"".join(pdf["blob"]), dtype="<i8")
+            if kind == GROUP:
+                yield pd.DataFrame({"gid": np.repeat(pdf["gid"].to_numpy(), pdf["blob"].str.len().to_numpy() // 8), "doc_id": ids})
             else:
-                yield pd.DataFrame(np.frombuffer(blob, dtype="<i8").reshape(-1, 2), columns=["u", "v"])
+                yield pd.DataFrame(ids.reshape(-1, 2), columns=["u", "v"])
+
+
+def _open(met: DataFrame, kind: int) -> DataFrame:
+    schema = {SIZES: "doc_id long, n long, map binary", GROUP: "gid long, doc_id long"}.get(kind, "u long, v long")
+    rows = met.where(F.col("kind") == kind).select("gid", "blob")
+    if kind == GROUP:
+        rows = rows.distinct()
+    return rows.mapInPandas(lambda it: _opened(it, kind), schema)
+
+
+def _pairs_dealt(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            both = np.frombuffer(b"".join(pdf["blob"]), dtype="<i8").reshape(-1, 2)
+            to = (mix(both[:, 0].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + both[:, 1].astype(np.uint64)) % _U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            both, to = both[order], to[order]
+            yield pd.DataFrame([(int(to[b]), both[b : b + n].tobytes()) for b, n in zip(*_runs(to), strict=True)], columns=["bucket", "blob"])
+
 
+def _pairs_once(pdf: pd.DataFrame) -> pd.DataFrame:
+    both = np.frombuffer(b"".join(pdf["blob"]), dtype="<i8").reshape(-1, 2)
+    return pd.DataFrame(np.unique(both, axis=0), columns=["u", "v"])
 
-def _open(met: DataFrame, *kinds: int) -> DataFrame:
-    schema = {SIZES: "doc_id long, n long, cells binary", GROUP: "gid long, doc_id long"}.get(kinds[0], "u long, v long")
-    return met.where(F.col("kind").isin(*kinds)).select("gid", "blob").mapInPandas(lambda it: _opened(it, kinds[0]), schema)
+
+def _leading(met: DataFrame, buckets: int) -> DataFrame:
+    """The distinct pairs of a signature's smallest id with its others."""
+    rows = met.where(F.col("kind") == LINK).select("blob").mapInPandas(lambda it: _pairs_dealt(it, buckets), "bucket int, blob binary")
+    return rows.groupBy("bucket").applyInPandas(_pairs_once, "u long, v long")
+
+
+def _laid(maps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words = np.array([len(m) // 8 for m in maps], dtype=np.int64)
+    return np.frombuffer(b"".join(maps), dtype="<u8"), np.cumsum(words) - words, words
+
+
+def _possible(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        n = np.concatenate([pdf["n_u"], pdf["n_v"]]).astype(np.int64)
+        at = np.arange(len(pdf))
+        ok = plausible(*_laid([*pdf["map_u"], *pdf["map_v"]]), n, at, at + len(pdf), num, den)
+        yield pdf.loc[ok, ["u", "v"]]
+
+
+def _filtered(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    own = sizes.where("doc_id is not null")
+    left, right = (own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}")) for x in "uv")
+    near = pairs.join(left.drop("map_u"), "u").join(right, "v").where(f"{den} * least(n_u, n_v) >= {num} * greatest(n_u, n_v)").join(left.drop("n_u"), "u")
+    return near.select("u", "v", "n_u", "n_v", "map_u", "map_v").mapInPandas(lambda it: _possible(it, num, den), "u long, v long").distinct()
 
 
 def _similar(batches: Iterator[pd.DataFrame], words: int, num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -279,28 +352,59 @@ def _similar(batches: Iterator[pd.DataFrame], words: int, num: int, den: int) ->
         yield pdf.loc[keep, ["u", "v"]]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs whose texts meet the threshold; only texts of the pairs move on from the first shuffle.
+
+    That one is a merge join at every size: the ids have no bound that would allow a broadcast.
+    """
+    pairs = materialize(pairs, "jaccard-pairs")
+    wanted = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v")).distinct()
+    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "jaccard-texts")
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     rows = pairs.join(right, "v").join(left, "u").select("u", "v", "text_u", "text_v")
-    return rows.mapInPandas(lambda it: _similar(it, words, num, den), "u long, v long")
+    links = materialize(rows.mapInPandas(lambda it: _similar(it, words, num, den), "u long, v long"), "jaccard-links")
+    forget(pairs, texts)
+    return links
 
 
 def _across(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Of two blocks of one group, the pairs of different components that the counts don't rule out."""
-    a, b = (pdf[pdf["side"] == s] for s in (0, 1))
-    if not len(b):
-        b = a
-    cells = np.stack([np.frombuffer(x, dtype=np.uint8) for x in b["cells"]]).astype(np.int16)
-    ids, n, comp = b["doc_id"].to_numpy(), b["n"].to_numpy(), b["component"].to_numpy()
-    us, vs = [], []
-    for i, m, c, x in zip(a["doc_id"], a["n"], a["component"], a["cells"], strict=True):
-        differ = np.abs(cells - np.frombuffer(x, dtype=np.uint8)).sum(axis=1)
-        ok = (comp != c) & (den * np.minimum(m, n) >= num * np.maximum(m, n)) & (differ * (den + num) <= (m + n) * (den - num))
-        us.append(np.full(int(ok.sum()), i))
-        vs.append(ids[ok])
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+    """Of blocks of groups, the pairs of different components that sizes and parity maps don't rule out."""
+    at = pdf.groupby(["doc_id", "map"], sort=False).ngroup().to_numpy()
+    first = np.unique(at, return_index=True)[1]
+    ids = pdf["doc_id"].to_numpy()[first]
+    n, comp = (pdf[c].to_numpy()[first] for c in ("n", "component"))
+    maps, offset, words = _laid([pdf["map"].iloc[i] for i in first])
+    side = pdf["side"].to_numpy()
+    _, key = np.unique(pdf[["gid", "i", "j"]].to_numpy(), axis=0, return_inverse=True)
+    order = np.lexsort((side, key.ravel()))
+    at, side, key = at[order], side[order], key.ravel()[order]
+    found: list[np.ndarray] = []
+    held = 0
+
+    def settle() -> None:
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        found.clear()
+        done.append(both[plausible(maps, offset, words, n, both[:, 0], both[:, 1], num, den)])
+
+    done: list[np.ndarray] = []
+    for b, s in zip(*_runs(key), strict=True):
+        a = at[b : b + s]
+        if side[b + s - 1]:
+            cut = np.searchsorted(side[b : b + s], 1)
+            x, y = np.repeat(a[:cut], s - cut), np.tile(a[cut:], cut)
+        else:
+            x, y = (a[i] for i in np.triu_indices(s, 1))
+        ok = comp[x] != comp[y]
+        x, y = x[ok], y[ok]
+        found.append(np.stack([x, y], axis=1))
+        held += len(x)
+        if held > 1 << 20:
+            settle()
+            held = 0
+    settle()
+    both = ids[np.concatenate(done)]
+    return pd.DataFrame({"u": both.min(axis=1), "v": both.max(axis=1)})
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -318,25 +422,25 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     signed = docs.mapInPandas(lambda it: _signed(it, words, num, den, buckets), SCHEMA)
     met = materialize(signed.groupBy("bucket").applyInPandas(_met, SCHEMA), "jaccard-met")
     sizes, groups = _open(met, SIZES), _open(met, GROUP)
-    same = _open(met, SAME)
-    pairs = _open(met, LINK).distinct()
-    wanted = groups.select("doc_id").unionAll(pairs.select("u")).unionAll(pairs.select("v")).distinct()
-    texts = materialize(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi"), "jaccard-texts")
-    links = _verified(pairs, texts, words, num, den).unionAll(same)
-    found = materialize(components(links, "jaccard-links"), "jaccard-found")
+    texts = docs.where("doc_id is not null")
+    links = _verified(_filtered(_leading(met, buckets), sizes, num, den), texts, words, num, den).unionAll(_open(met, SAME))
+    found = materialize(components(links, "jaccard-star"), "jaccard-found")
     # groups that still span components
     labelled = groups.join(found, groups.doc_id == found.id, "left").select("gid", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = materialize(labelled, "jaccard-groups")
     spans = labelled.groupBy("gid").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("gid", "m")
-    open_ = materialize(labelled.join(spans, "gid").join(sizes.where("doc_id is not null"), "doc_id"), "jaccard-open")
+    open_ = materialize(labelled.join(spans, "gid").distinct(), "jaccard-open")
+    forget(labelled)
     if not open_.isEmpty():
-        blocks = open_.distinct().withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        blocks = open_.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = other.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "n", "cells", "component")
-        across = placed.groupBy("gid", "i", "j").applyInPandas(lambda pdf: _across(pdf, num, den), "u long, v long").where("u <> v").distinct()
-        more = _verified(materialize(across, "jaccard-across"), texts, words, num, den)
+        placed = other.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component")
+        placed = placed.join(sizes.where("doc_id is not null"), "doc_id").withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(4 * buckets)))
+        across = placed.groupBy("bucket").applyInPandas(lambda pdf: _across(pdf, num, den), "u long, v long").distinct()
+        more = _verified(across, texts, words, num, den)
         links = more.unionAll(found.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        found = materialize(components(links, "jaccard-links2"), "jaccard-found2")
-    forget(texts, open_)
+        found = materialize(components(links, "jaccard-all"), "jaccard-found")
+    forget(open_)
     out = sizes.join(found, sizes.doc_id == found.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
