@@ -88,6 +88,20 @@ def chunks(batches: Iterator, limit: int = CHUNK_BYTES) -> Iterator[tuple[list,
         yield ids, texts
 
 
+def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of about `limit` bytes."""
+    some: list[bytes] = []
+    size = 0
+    for t in texts:
+        some.append(t)
+        size += len(t) + 64
+        if size >= limit:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x ^ (x >> _U(30))

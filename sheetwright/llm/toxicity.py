@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _power_table, chunks, mix, prepare, text_bytes
+from .common import _LOWER, _power_table, chunks, mix, pieces, prepare, text_bytes
 
 #: Labelled rows that the evidence is weighed on at most: those of the smallest hashes of their id.
 TRAIN_ROWS = 20_000
@@ -39,6 +39,8 @@ _HEAD = np.zeros(256, dtype=bool)
 _HEAD[[ord(c) for c in "0123456789@$!|+("]] = True
 #: Log probabilities of the channel: a sign for a letter, a sign put in (one that may stand for a letter; another), a sign between words, a stretched letter, a doubled one.
 SUBSTITUTE, LOST, INSERT, BREAK, STRETCH, DOUBLE = -1.0, -9.0, -2.0, -5.0, -0.5, -4.0
+#: Weight of the character model against the channel.
+MODEL = 0.5
 _MEMO = 100_000
 
 
@@ -150,7 +152,7 @@ class Restorer:
     """Restores texts with one language model; readings of spans are remembered."""
 
     def __init__(self, logp: np.ndarray) -> None:
-        self.logp = logp
+        self.logp = MODEL * logp
         self.memo: dict[str, str] = {}
 
     def read(self, span: str) -> str:
@@ -276,33 +278,48 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     """
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), None, float(y.mean()) if len(y) else 0.0)
-    h, doc = [], []
-    step = 500
-    for b in range(0, len(texts), step):
-        one, which = evidence(texts[b : b + step])
-        both = np.unique(np.stack([which.astype(np.uint64) + _U(b), one], axis=1), axis=0)
-        doc.append(both[:, 0].astype(np.int64))
-        h.append(both[:, 1])
-    h, doc = np.concatenate(h), np.concatenate(doc)
-
-    def weigh(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        use = rows[doc]
-        keys, at = np.unique(h[use], return_inverse=True)
-        toxic = np.bincount(at, weights=y[doc[use]], minlength=len(keys))
-        clean = np.bincount(at, minlength=len(keys)) - toxic
-        pos, neg = max(1, y[rows].sum()), max(1, (1 - y[rows]).sum())
-        w = np.log((toxic + 0.5) / (pos + 1)) - np.log((clean + 0.5) / (neg + 1)) - 1 / np.sqrt(toxic + 0.5)
-        keep = (toxic >= LEAST_TEXTS) & (w > 1)
+    half = np.arange(len(y)) % 2
+
+    def held(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, hash) of the pieces of evidence that the rows' texts hold, each once a text."""
+        at = 0
+        for some in pieces([texts[i] for i in rows]):
+            h, doc = evidence(some)
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, dtype=bool)
+            yield rows[at + doc[new]], h[new]
+            at += len(some)
+
+    # only what several toxic texts hold can be evidence, so the other texts are searched for that alone
+    rows, h = (np.concatenate(x) for x in zip(*held(np.flatnonzero(y == 1)), strict=True))
+    keys, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    toxic = np.stack([np.bincount(at, weights=half[rows] == k, minlength=len(keys)) for k in (0, 1)])
+    keys, toxic = keys[times >= LEAST_TEXTS], toxic[:, times >= LEAST_TEXTS]
+    clean = np.zeros_like(toxic)
+    if len(keys):
+        for rows, h in held(np.flatnonzero(y == 0)):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            np.add.at(clean, (half[rows[hit]], at[hit]), 1)
+
+    def weigh(folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        own = np.isin(half, folds)
+        pos, neg = max(1, y[own].sum()), max(1, (1 - y[own]).sum())
+        t, c = toxic[folds].sum(axis=0), clean[folds].sum(axis=0)
+        w = np.log((t + 0.5) / (pos + 1)) - np.log((c + 0.5) / (neg + 1)) - 1 / np.sqrt(t + 0.5)
+        keep = (t >= LEAST_TEXTS) & (w > 1)
         return keys[keep], w[keep]
 
-    half = np.arange(len(y)) % 2 == 0
     x = np.zeros((len(y), 5))
-    for fold in (half, ~half):
-        model = Model(*weigh(fold), None, 0.0)
-        own = np.flatnonzero(~fold)
-        x[own] = model.summaries([texts[i] for i in own])
-    beta = logistic(x, y.astype(float))
-    return Model(*weigh(np.ones(len(y), dtype=bool)), beta, 0.0)
+    for fold in (0, 1):
+        model = Model(*weigh([fold]), None, 0.0)
+        own = np.flatnonzero(half != fold)
+        at = 0
+        for some in pieces([texts[i] for i in own]):
+            x[own[at : at + len(some)]] = model.summaries(some)
+            at += len(some)
+    return Model(*weigh([0, 1]), logistic(x, y.astype(float)), 0.0)
 
 
 # --- on Spark
@@ -312,7 +329,7 @@ def _fitted(batches: Iterator[pd.DataFrame], logp: np.ndarray) -> Iterator[pd.Da
     rows = pd.concat(list(batches), ignore_index=True)
     rows = rows.sort_values("doc_id", kind="stable") if len(rows) else rows
     restorer = Restorer(logp)
-    texts = [restorer.restore([text_bytes(t)])[0] for t in rows["text"]]
+    texts = [t for some in pieces([text_bytes(t) for t in rows["text"]]) for t in restorer.restore(some)]
     model = fit(texts, rows["y"].to_numpy(dtype=np.int64))
     beta = b"" if model.beta is None else model.beta.tobytes()
     yield pd.DataFrame([(model.keys.tobytes(), model.weights.tobytes(), beta, model.rate)], columns=["keys", "weights", "beta", "rate"])
@@ -345,8 +362,8 @@ def with_toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7,
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         restorer = Restorer(logp)
         for s in batches:
-            texts = [text_bytes(t) for t in s]
-            yield pd.Series(model.scores(restorer.restore(texts)), index=s.index) if len(s) else pd.Series([], dtype="float64")
+            found = [model.scores(restorer.restore(some)) for some in pieces([text_bytes(t) for t in s])]
+            yield pd.Series(np.concatenate([np.zeros(0), *found]), index=s.index)
 
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*columns, score(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
