@@ -36,8 +36,8 @@ def from_text(df: DataFrame, key: str, text: str) -> DataFrame:
         F.filter(
             F.array(
                 F.struct(F.lit("StyleId").alias("k"), style.alias("v")),
-                F.struct(F.lit("ListFormat"), F.when(bullet, "bullet").when(number, "decimal")),
-                F.struct(F.lit("ListLevel"), F.when(bullet | number, indent.cast("string"))),
+                F.struct(F.lit("ListFormat").alias("k"), F.when(bullet, "bullet").when(number, "decimal").alias("v")),
+                F.struct(F.lit("ListLevel").alias("k"), F.when(bullet | number, indent.cast("string")).alias("v")),
             ),
             lambda e: e["v"].isNotNull(),
         )

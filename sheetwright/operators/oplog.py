@@ -116,7 +116,7 @@ def catch_up(versioned: DataFrame, version: int) -> DataFrame:
 MESSAGES = ("op", "cursor", "sync", "join", "leave", "ack", "requestCatchup", "peer-cursor", "ssSetCell", "ssFormat", "ssSync")
 
 
-def message_errors(df: DataFrame, body: str, kinds: tuple[str, ...] = MESSAGES, limit: int = 256 * 1024) -> Column:
+def message_errors(body: str, kinds: tuple[str, ...] = MESSAGES, limit: int = 256 * 1024) -> Column:
     """null for a sound message, else too_large, bad_json, no_type or unknown_type."""
     kind = F.get_json_object(body, "$.type")
     return (

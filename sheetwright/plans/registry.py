@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,13 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
 
     def put(f: Callable) -> Callable:
         key = name or f.__name__
-        QUERIES[key] = f
+
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            find_package(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql:
             ORACLES[key] = sql
         return f
@@ -24,6 +32,15 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return put
 
 
+def find_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it; on a cluster, also ship it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,3 +60,10 @@ def doc_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(words).alias("n_words"), F.sum(F.char_length("text")).cast("long").alias("n_chars"), F.sum(paragraphs).alias("n_paragraphs")
     )
+
+
+def _load() -> None:
+    from . import scalars, tables, trees_logs  # noqa: F401
+
+
+_load()

@@ -71,11 +71,11 @@ def markdown_blocks(text: str) -> list[tuple[str, int, str]]:
         elif m := re.match(r"\s*>\s?(.*)", line):
             flush()
             out.append(("quote", 0, m[1]))
+        elif re.fullmatch(r"[\s|:-]*-[\s|:-]*", line) and out and out[-1][0] == "row":
+            continue
         elif "|" in line and (out and out[-1][0] == "row" and not para and lines[i - 1].strip() or i + 1 < len(lines) and re.fullmatch(r"[\s|:-]*-[\s|:-]*", lines[i + 1]) and "|" in lines[i + 1]):
             flush()
             out.append(("row", 0, "\t".join(c.strip() for c in line.strip().strip("|").split("|"))))
-        elif re.fullmatch(r"[\s|:-]*-[\s|:-]*", line) and out and out[-1][0] == "row":
-            continue
         else:
             para.append(line.strip())
     flush()
