@@ -52,13 +52,17 @@ def bands(largest: int, num: int, den: int) -> np.ndarray:
         low = high + 1
 
 
-def _plan(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells, whether by threes, signatures that a pair surely shares) for each k."""
+def _plan(k: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, whether by threes, signatures that a pair surely shares) for each k and the smallest size signed with it.
+
+    Cells beyond the number needed let a pair share more signatures than a set is likely to have empty ones.
+    """
     threes = (k > 0) & (k <= SMALL_K)
-    spare = np.where(k > SMALL_K, 2 + (k + 1) // 200, 0)
-    cells = np.where(threes, 3 * ((k + 2) // 2), k + 1 + spare)
-    sure = np.where(threes, (k + 2) // 2 - k // 2, 1 + spare)
-    return cells, threes, sure
+    wide = k + 1
+    for _ in range(3):
+        wide = np.where(k > SMALL_K, k + 4 + np.ceil(1.3 * wide * np.exp(-least / wide)).astype(np.int64), k + 1)
+    first = (k + 2) // 2 + 1
+    return np.where(threes, 3 * first, wide), threes, np.where(threes, first - k // 2, wide - k)
 
 
 def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +82,7 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
                 break
             band = own[todo] + step
             k = 2 * ends[band] * (den - num) // (den + num)
-            cells, threes, sure = _plan(k)
+            cells, threes, sure = _plan(k, np.append([1, 1], ends + 1)[band])
             size = n[todo]
             base = np.cumsum(cells) - cells
             where = np.repeat(np.arange(len(todo)), size)
