@@ -27,7 +27,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Pre-tokens that a worker remembers; then it forgets them all.
 MEMO = 300_000
 #: Characters of text whose new pre-tokens share one index.
-BATCH = 16 << 20
+BATCH = 6 << 20
+#: Characters of text whose ids and decoded texts leave the worker together.
+FRAME = 1 << 20
 
 _state: dict = {}
 _find = regex.compile(SPLIT).findall
@@ -142,9 +144,21 @@ def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
     texts: list[str] = []
     size = 0
 
-    def flush() -> pd.DataFrame:
-        rows = [(len(x) // 4, x, d) for x, d in encode_texts(vocab, memo, texts)]
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_tokens": [r[0] for r in rows], "ids": [r[1] for r in rows], "decoded": [r[2] for r in rows]})
+    def flush() -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
+        for i, t, (x, d) in zip(ids, texts, encode_texts(vocab, memo, texts), strict=True):
+            rows.append((i, len(x) // 4, x, d))
+            held += len(t)
+            if held >= FRAME:
+                yield frame(rows)
+                rows, held = [], 0
+        yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"])
+        out["doc_id"] = out["doc_id"].astype("Int64")
+        return out
 
     for pdf in batches:
         for i, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
@@ -152,10 +166,10 @@ def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
             texts.append(t if isinstance(t, str) else "")
             size += len(texts[-1])
             if size >= BATCH:
-                yield flush()
+                yield from flush()
                 ids, texts, size = [], [], 0
     if ids:
-        yield flush()
+        yield from flush()
 
 
 def _digested(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task holds at a time, give or take one document.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _U = np.uint64
 
 
