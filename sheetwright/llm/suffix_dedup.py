@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, forget, materialize, mix, partitions, prepare
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Different surroundings of an anchor hash beyond which its strings are dealt out by digest.
 HOT = 4096
 #: Bytes that multikey quicksort looks at; what still ties is left to blind tries.
@@ -103,7 +103,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[data] * _powers(n, _ODD), out=total[1:])
-    h = mix((total[k:] - total[:-k]) * _powers(n - k + 1, pow(_ODD, -1, 2**64)))
+    h = (total[k:] - total[:-k]) * _powers(n - k + 1, pow(_ODD, -1, 2**64))
+    del total
+    h = mix(h)
     bits = max(22, int(n).bit_length())
     low = _U((1 << bits) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # ties go to the left
