@@ -27,9 +27,14 @@ def number_text(x: Column) -> Column:
 
 
 def round_half_away(x: Column, digits: int) -> Column:
-    """Rounds the binary product, halves away from zero: 2.675 at two digits is 2.67."""
-    f = F.lit(float(10.0**digits))
-    return F.signum(x) * F.floor(F.abs(x * f) + F.lit(0.5)) / f
+    """Rounds the binary product, halves away from zero: 1.005 at two digits is 1."""
+    return round_product(x, F.lit(float(10.0**digits)))
+
+
+def round_product(x: Column, f: Column) -> Column:
+    a = F.abs(x * f)
+    low = F.floor(a)
+    return F.signum(x) * (low + F.when(a - low >= 0.5, 1).otherwise(0)) / f
 
 
 def modulo(n: Column, d: Column) -> Column:

@@ -72,6 +72,10 @@ def _like(kind: str, x: Compiled) -> Compiled:
     return {"num": number, "txt": text, "bool": boolean}[kind](x)
 
 
+def _bare(x: Compiled) -> Compiled:
+    return Compiled("num", number(Compiled(x.kind, x.value)).value)
+
+
 class Compiler:
     def __init__(self, schema: T.StructType) -> None:
         self.schema = {f.name: f.dataType for f in schema.fields}
@@ -129,6 +133,10 @@ class Compiler:
             if "txt" in (a.kind, b.kind):
                 x, y = (cells.fold_ascii(text(v).value) for v in (a, b))
                 test = {"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
+                if a.kind != b.kind:  # a blank cell of a text column is 0 beside a number
+                    blank = (a if a.kind == "txt" else b).value.isNull()
+                    zero = Compiled("num", F.lit(0.0))
+                    test = F.when(blank, self.binary(op, zero if a.kind == "txt" else _bare(a), zero if b.kind == "txt" else _bare(b)).value).otherwise(test)
             else:
                 x, y = number(a).value, number(b).value
                 near = F.abs(x - y) < criteria.EPSILON
@@ -297,7 +305,7 @@ class Compiler:
     def f_round(self, x, d):
         (a, k), e = self._numbers(x, d)
         f = F.pow(F.lit(10.0), F.signum(k) * F.floor(F.abs(k)))
-        return _guard("num", F.signum(a) * F.floor(F.abs(a * f) + 0.5) / f, e)
+        return _guard("num", cells.round_product(a, f), e)
 
     def f_abs(self, x):
         (a,), e = self._numbers(x)

@@ -30,7 +30,7 @@ _formulas("fn_text_value", "orders", ["o_orderkey"], {"p": '=TEXT([o_totalprice]
 _formulas("fn_trim_case", "documents", ["doc_id"], {"t": "=TRIM(LEFT([text],60))", "u": "=UPPER([lang])", "l": "=LOWER([source])"},
     r"SELECT doc_id, trim(regexp_replace(substring(text, 1, 60), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t, upper(lang) AS u, lower(source) AS l FROM documents")
 _formulas("fn_round_mod_int", "lineitem", ["l_orderkey", "l_linenumber"], {"r": "=ROUND([l_extendedprice]*[l_discount],2)", "m": "=MOD([l_quantity],-7)", "i": "=INT(-[l_tax]*100)", "a": "=ABS([l_discount]-0.05)"},
-    """SELECT l_orderkey, l_linenumber, sign(x) * floor(abs(x * 100) + 0.5) / 100 AS r, l_quantity + 7 * floor(l_quantity / -7) AS m, floor(-l_tax * 100) + 0 AS i, abs(l_discount - 0.05) AS a
+    """SELECT l_orderkey, l_linenumber, sign(x) * (floor(abs(x * 100)) + CASE WHEN abs(x * 100) - floor(abs(x * 100)) >= 0.5 THEN 1 ELSE 0 END) / 100 AS r, l_quantity + 7 * floor(l_quantity / -7) AS m, floor(-l_tax * 100) + 0 AS i, abs(l_discount - 0.05) AS a
     FROM (SELECT *, l_extendedprice * l_discount AS x FROM lineitem)""")
 _formulas("fn_trig_log", "lineitem", ["l_orderkey", "l_linenumber"], {"s": "=ROUND(SIN([l_quantity]),9)", "c": "=ROUND(COS([l_discount])+TAN([l_tax]),9)", "l": "=ROUND(LOG([l_quantity],2),9)", "t": "=ROUND(LOG10([l_extendedprice]),9)", "e": "=ROUND(LN([l_quantity])+EXP([l_tax]),9)", "q": "=ROUND(SQRT([l_quantity])+ASIN([l_tax])+ACOS([l_tax])+ATAN([l_tax]),9)"},
     """SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 9) AS s, round(cos(l_discount) + tan(l_tax), 9) AS c, round(ln(l_quantity) / ln(2), 9) AS l, round(log10(l_extendedprice), 9) AS t,

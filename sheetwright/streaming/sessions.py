@@ -14,8 +14,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def use_rocksdb(spark) -> None:
-    """State on disk, as the operators here need it."""
+    """State on disk, as the operators here need it; no batches without data, which processing time would make endless."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
 
 def session_windows(events: DataFrame, user: str, ts: str, gap: str = "5 minutes", watermark: str | None = None) -> DataFrame:
