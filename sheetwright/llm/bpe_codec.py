@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_files import Vocabulary, read_shared
-from .common import prepare
+from .common import prepare, trim_memory
 
 #: Fixed value: how the word-end vocabulary splits normalised text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -136,6 +136,7 @@ def encode_texts(vocab: Vocabulary, memo: dict, texts: list[str]) -> Iterator[tu
         yield b"".join([x for x, _ in got]), " ".join([x for _, x in got])
     if len(memo) > MEMO:
         memo.clear()
+    trim_memory()
 
 
 def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.DataFrame]:

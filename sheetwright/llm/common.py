@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python task holds at a time, give or take one document.
 CHUNK_BYTES = 4 << 20
 _U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -84,8 +86,16 @@ def chunks(batches: Iterator, limit: int = CHUNK_BYTES) -> Iterator[tuple[list,
             if size >= limit:
                 yield ids, texts
                 ids, texts, size = [], [], 0
+                trim_memory()
     if ids:
         yield ids, texts
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Hand freed heap pages back: glibc keeps them for blocks of these sizes, and idle workers would hold their peak."""
+    if _trim is not None:
+        _trim(0)
 
 
 def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:

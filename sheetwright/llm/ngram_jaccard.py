@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, forget, materialize, mix, partitions, prepare, shingle_hashes, sorted_sets, text_bytes, word_hashes
+from .common import chunks, components, forget, materialize, mix, partitions, prepare, shingle_hashes, sorted_sets, text_bytes, trim_memory, word_hashes
 
 #: Sets that differ in at most so many elements are signed by two of three second-level partitions, others by one of two.
 SMALL_K = 16
@@ -267,6 +267,7 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
         links, groups = _groups(sig[order], doc[order], flagged[order])
         rows.append((0, LINK, 0, links))
         rows += [(0, GROUP, g, b) for g, b in groups]
+    trim_memory()
     return pd.DataFrame([r for r in rows if r[3]], columns=["bucket", "kind", "gid", "blob"])
 
 

@@ -54,7 +54,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     byte_own = np.maximum(np.where(last >= 0, own[np.maximum(last, 0)] if len(own) else 0, 0), base[byte_doc])
     x = np.zeros((total, FEATURES), dtype=np.float32)
     size = np.bincount(byte_own, minlength=total) + 1.0
-    pair = byte_own[1:] * _KINDS**2 + kind[:-1] * _KINDS + kind[1:]
+    pair = byte_own * _KINDS**2 + np.append(3, kind[:-1]) * _KINDS + kind  # a blank is before every text
     x[:, : _KINDS**2] = np.bincount(pair, minlength=total * _KINDS**2).reshape(total, -1)
     x[:, _KINDS**2 : _KINDS**2 + _KINDS] = np.bincount(byte_own * _KINDS + kind, minlength=total * _KINDS).reshape(total, -1)
     x[:, : _KINDS**2 + _KINDS] = np.sqrt(x[:, : _KINDS**2 + _KINDS] / size[:, None])
@@ -62,7 +62,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(at):
         stop = np.append(at[1:], len(data))
         length = np.minimum(stop, ends[doc]) - at
-        value = np.add.reduceat(data.astype(np.int64) * (1 + np.arange(len(data)) - np.repeat(np.append(0, at), np.diff(np.append(np.append(0, at), len(data))))), at)
+        value = np.add.reduceat(data * word.astype(np.int64) * (1 + np.arange(len(data)) - np.repeat(np.append(0, at), np.diff(np.append(np.append(0, at), len(data))))), at)
         words = np.bincount(own, minlength=total)
         some = np.maximum(words, 1)
         same = np.append(False, (value[1:] == value[:-1]) & (own[1:] == own[:-1]))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, materialize, mix, partitions, prepare
+from .common import chunks, forget, materialize, mix, partitions, prepare, trim_memory
 
 CHUNK = 2 << 20
 #: Different surroundings of an anchor hash beyond which its strings are dealt out by digest.
@@ -53,6 +53,12 @@ def _unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal neighbours."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))[: len(values)]
+    return list(zip(begin.tolist(), np.append(begin[1:], len(values)).tolist(), strict=True)) if len(values) else []
+
+
 # --- chunks
 
 
@@ -134,9 +140,9 @@ def _anchored(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Ite
             to = (mix(h) % _U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             h, count, to = h[order], np.minimum(count[order], 255).astype(np.uint8), to[order]
-            begin = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, dtype=np.int64)
-            rows = [(0, int(to[b]), chunk, h[b:e].tobytes() + count[b:e].tobytes()) for b, e in zip(begin, np.append(begin[1:], len(to)), strict=True)]
+            rows = [(0, int(to[b]), chunk, h[b:e].tobytes() + count[b:e].tobytes()) for b, e in _runs(to)]
             yield pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "blob"])
+    trim_memory()
 
 
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,9 +161,8 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     h, which, hot = h[use], which[use], (times[use] > HOT).astype(np.uint8)
     order = np.argsort(which, kind="stable")
     h, which, hot = h[order], which[order], hot[order]
-    begin = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
     ids = pdf["chunk"].to_numpy()
-    return pd.DataFrame([(0, 0, ids[which[b]], h[b:e].tobytes() + hot[b:e].tobytes()) for b, e in zip(begin, np.append(begin[1:], len(h)), strict=True)], columns=["kind", "bucket", "chunk", "blob"])
+    return pd.DataFrame([(0, 0, ids[which[b]], h[b:e].tobytes() + hot[b:e].tobytes()) for b, e in _runs(which)], columns=["kind", "bucket", "chunk", "blob"])
 
 
 # --- suffixes
@@ -216,8 +221,7 @@ def _suffixes(chunk_df: pd.DataFrame, repeats: pd.DataFrame, length: int, bucket
         near, far = out[keep & ~hot], out[keep & hot]
         to = (mix(near["h"]) % _U(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(to) else np.zeros(0, dtype=np.int64)
-        for b, e in zip(cut, np.append(cut[1:], len(to)), strict=True):
+        for b, e in _runs(to[order]):
             rows.append((SUFFIX, int(to[order[b]]), chunk, _pack(near[order[b:e]].tobytes())))
         if len(far):
             rows += _dealt(far, chunk, length, buckets)
@@ -425,8 +429,7 @@ def _sorted(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         e, bits = e[order], bits[order]
         out = np.zeros(len(e), dtype=_DUPS)
         out["doc"], out["pos"], out["bits"] = e["doc"], e["pos"], bits
-        cut = np.flatnonzero(np.append(True, np.diff(e["chunk"]) != 0)) if len(e) else np.zeros(0, dtype=np.int64)
-        rows += [(LOCAL, 0, int(e["chunk"][b]), _pack(out[b:end].tobytes())) for b, end in zip(cut, np.append(cut[1:], len(e)), strict=True)]
+        rows += [(LOCAL, 0, int(e["chunk"][b]), _pack(out[b:end].tobytes())) for b, end in _runs(e["chunk"])]
     return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "blob"])
 
 
@@ -468,6 +471,22 @@ def _removed(chunk_df: pd.DataFrame, dups: pd.DataFrame, length: int, texts: boo
     return out
 
 
+def _trimmed(f, sides: int):
+    """f, with freed memory handed back after each group."""
+
+    def one(a: pd.DataFrame) -> pd.DataFrame:
+        out = f(a)
+        trim_memory()
+        return out
+
+    def two(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = f(a, b)
+        trim_memory()
+        return out
+
+    return one if sides == 1 else two
+
+
 def _run(docs: DataFrame, length: int, texts: bool, carry: list[str] | None = None) -> DataFrame:
     if not 16 <= length <= 126:
         raise ValueError("length must lie between 16 and 126")
@@ -480,11 +499,11 @@ def _run(docs: DataFrame, length: int, texts: bool, carry: list[str] | None = No
     work = table.drop("notes")
     heads = work.mapInPandas(lambda it: _anchored(it, length, buckets), _BUCKETS)
     repeats = materialize(heads.groupBy("bucket").applyInPandas(_repeats, _BUCKETS), "dedup-repeats")
-    sent = work.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInPandas(lambda a, b: _suffixes(a, b, length, buckets), _BUCKETS)
-    dups = materialize(sent.groupBy("bucket").applyInPandas(lambda pdf: _sorted(pdf, length), _BUCKETS), "dedup-starts")
+    sent = work.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInPandas(_trimmed(lambda a, b: _suffixes(a, b, length, buckets), 2), _BUCKETS)
+    dups = materialize(sent.groupBy("bucket").applyInPandas(_trimmed(lambda a: _sorted(a, length), 1), _BUCKETS), "dedup-starts")
     forget(repeats)
     kept = "binary" if texts else "string"
-    return table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(lambda a, b: _removed(a, b, length, texts, bool(carry)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, carry string")
+    return table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(_trimmed(lambda a, b: _removed(a, b, length, texts, bool(carry)), 2), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, carry string")
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
