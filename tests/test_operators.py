@@ -138,3 +138,28 @@ def test_vectors(spark):
     assert rel(v((1, 5), (2, 1)), v((1, 5))) == "dominates"
     assert rel(v((1, 1)), v((1, 5))) == "dominated"
     assert rel(v((1, 9)), v((2, 1))) == "concurrent"
+
+
+def test_store(spark, tmp_path):
+    import datetime
+
+    from sheetwright.operators.store import Store, expand_names
+
+    t = lambda h: datetime.datetime(2024, 1, 1, h)
+    s = Store(spark, str(tmp_path / "store"))
+    cols = "id string, name string, updated_at timestamp, content string"
+    s.put(spark.createDataFrame([("a", "A", t(1), "one"), ("b", "B", t(2), "two"), ("c", "C", t(3), "x")], cols))
+    s.put(spark.createDataFrame([("a", "A2", t(4), "new")], cols))
+    s.delete(spark.createDataFrame([("c",)], "id string"), "2024-01-01 05:00:00")
+    assert rows(s.current().select("id", "name", "content")) == [("a", "A2", "new"), ("b", "B", "two")]
+    assert [tuple(r) for r in s.listed(1, 1).select("id", "total").collect()] == [("b", 2)]
+    assert s.get(["c"]).count() == 0
+    assert expand_names("=x+\"x\"+SUM(y)", {"x": "=y*2", "Y": "A1:A3"}) == '=A1:A3*2+"x"+SUM(A1:A3)'
+    assert expand_names("=a", {"a": "b", "b": "a"}) == "=a"
+
+
+def test_kept_blocks_move_together(spark):
+    from sheetwright.operators.pages import paginate_blocks
+
+    df = spark.createDataFrame([("d", 0, 6.0, False), ("d", 1, 3.0, True), ("d", 2, 3.0, False), ("d", 3, 99.0, False), ("e", 0, 1.0, True)], "doc_id string, ord int, height double, keep_next boolean")
+    assert rows(paginate_blocks(df, 10)) == [("d", 0, 1), ("d", 1, 2), ("d", 2, 2), ("d", 3, 3), ("e", 0, 1)]
