@@ -204,24 +204,32 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     def both(df: DataFrame) -> DataFrame:
         return df.unionAll(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
+    # The least neighbours are a table of their own: both sides of the join then come from scans, and Spark may split
+    # the partition of a hub with very many links, which it can't behind an aggregate.
     def large(df: DataFrame) -> DataFrame:
         sym = both(df)
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        out = materialize(sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        forget(least)
+        return out
 
     def small(df: DataFrame) -> DataFrame:
-        down = df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        """Links already lead from the larger end to the smaller one."""
+        least = materialize(df.groupBy("u").agg(F.min("v").alias("m")), name)
+        moved = df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        out = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        forget(least)
+        return out
 
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, name)
     before = stats(edges)
     while before[0]:
-        after = materialize(small(large(edges)), name)
+        wide = large(edges)
+        after = small(wide)
         now = stats(after)
-        forget(edges)
+        forget(edges, wide)
         edges = after
         if now == before:
             break
