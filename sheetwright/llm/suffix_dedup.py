@@ -97,14 +97,17 @@ def _powers(n: int, base: int) -> np.ndarray:
     return _power[base][:n]
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes of the half-length strings there): each string of `length` bytes within one text holds one."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes of the half-length strings there, first and last starts of the strings that they stand for).
+
+    Each string of `length` bytes within one text has one anchor; those of an anchor start one after the other.
+    """
     k = length // 2
     w = length - k + 1
     lens = np.diff(ends, prepend=0)
     starts = np.maximum(lens - length + 1, 0)
     if not starts.sum():
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     n = len(data)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
@@ -126,10 +129,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     np.add.at(real, begin, 1)
     np.add.at(real, begin + starts[starts > 0], -1)
     inside = np.cumsum(real[: len(least)], dtype=np.int8) > 0
-    at = (least[inside] & low).astype(np.int64)
-    at = at[np.append(True, at[1:] != at[:-1])]
-    at = np.unique(at)
-    return at, h[at]
+    start = np.flatnonzero(inside)
+    at = (least[start] & low).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    at = at[begin]
+    return at, h[at], start[begin], start[np.append(begin[1:], len(start)) - 1]
 
 
 def _anchored(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -193,17 +197,18 @@ def _suffixes(chunk_df: pd.DataFrame, repeats: pd.DataFrame, length: int, bucket
         order = np.argsort(known)
         known, hot = known[order], hot[order]
         ids, ends, data = _read_chunk(n, blob)
-        at, h = anchors(data, ends, length)
+        at, h, first_start, last_start = anchors(data, ends, length)
         found = np.minimum(np.searchsorted(known, h), len(known) - 1)
         use = known[found] == h
-        at, h, hot = at[use], h[use], hot[found[use]] > 0
+        at, h, first_start, last_start, hot = at[use], h[use], first_start[use], last_start[use], hot[found[use]] > 0
         doc = np.searchsorted(ends, at, side="right")
         begin = ends[doc] - np.diff(ends, prepend=0)[doc]
         out = np.zeros(len(at), dtype=_entry(length))
         out["h"], out["id"], out["chunk"], out["doc"], out["pos"] = h, ids[doc], chunk, doc, at - begin
-        out["before"], out["after"] = np.minimum(at - begin, reach), np.minimum(ends[doc] - at, length)
+        # what the strings of an anchor cover, no more
+        out["before"], out["after"] = at - first_start, last_start + length - at
         place = at[:, None] + np.arange(-reach, length)
-        ok = (place >= begin[:, None]) & (place < ends[doc][:, None])
+        ok = (place >= first_start[:, None]) & (place < last_start[:, None] + length)
         out["text"] = np.where(ok, data[np.clip(place, 0, max(len(data) - 1, 0))], 0) if len(at) else out["text"]
         order = np.lexsort((out["pos"], out["doc"], out["id"]))
         out, hot = out[order], hot[order]

@@ -436,16 +436,16 @@ def test_hot_anchors_by_digest():
     texts_ = [("".join(r.choice("xyz") for _ in range(9)) + phrase + "".join(r.choice("xyz") for _ in range(20))).encode() for _ in range(12)]
     data = np.frombuffer(b"".join(texts_), np.uint8)
     ends = np.cumsum([len(t) for t in texts_])
-    at, h = suffix_dedup.anchors(data, ends, 20)
+    at, h, first, last = suffix_dedup.anchors(data, ends, 20)
     doc = np.searchsorted(ends, at, side="right")
     begin = ends[doc] - np.array([len(t) for t in texts_])[doc]
     e = np.zeros(len(at), dtype=suffix_dedup._entry(20))
     e["h"], e["id"], e["doc"], e["pos"] = h, doc, doc, at - begin
-    e["before"], e["after"] = np.minimum(at - begin, 10), np.minimum(ends[doc] - at, 20)
+    e["before"], e["after"] = at - first, last + 20 - at
     for k in range(len(at)):
         for j in range(-10, 20):
             p = at[k] + j
-            if begin[k] <= p < ends[doc[k]]:
+            if first[k] <= p < last[k] + 20:
                 e["text"][k][j + 10] = data[p]
     e = e[np.lexsort((e["pos"], e["doc"]))]
     bits = suffix_dedup.repeated_starts(e, 20)
