@@ -31,8 +31,20 @@ def cell_text(df: DataFrame, name: str) -> Column:
 
 
 def filter_values(df: DataFrame, allowed: dict[str, Sequence[str]]) -> DataFrame:
-    """Rows whose cells, as texts, are among the allowed ones in every column named."""
-    return df.where(reduce(Column.__and__, [cell_text(df, c).isin(list(v)) for c, v in allowed.items()], F.lit(True)))
+    """Rows whose cells, as texts, are among the allowed ones in every column named; '' allows blanks."""
+    return df.where(reduce(Column.__and__, [_among(df, c, list(v)) for c, v in allowed.items()], F.lit(True)))
+
+
+def _among(df: DataFrame, name: str, texts: list[str]) -> Column:
+    """A test on the bare column where its type allows, so that it reaches the scan."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        test = c.isin(texts)
+    elif isinstance(kind, T.IntegralType):
+        test = c.isin([int(t) for t in texts if t.lstrip("-").isdigit() and str(int(t)) == t])
+    else:
+        return cell_text(df, name).isin(texts)
+    return F.coalesce(test, F.lit(False)) | c.isNull() if "" in texts else test
 
 
 def filter_text(df: DataFrame, name: str, mode: str, needle: str) -> DataFrame:
