@@ -17,10 +17,9 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bpe_files import Vocabulary, read_shared
-from .common import prepare, trim_memory
+from .common import keyed, prepare, trim_memory, unkeyed
 
 #: Fixed value: how the word-end vocabulary splits normalised text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -157,12 +156,10 @@ def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
         yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"])
 
     for pdf in batches:
-        for i, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+        for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
             ids.append(i)
             texts.append(t if isinstance(t, str) else "")
             size += len(texts[-1])
@@ -181,11 +178,6 @@ def _digested(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.
         )
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for every row of docs(doc_id, text): ids as bytes, four little-endian ones each.
 
@@ -193,11 +185,13 @@ def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     skip_special_tokens=False.  Null texts count as empty: no ids, decoded ''.  Null or repeated doc_ids come out like
     any other; other columns are ignored.  No shuffle; a text is held whole.
     """
+    prepare(docs.sparkSession)
     shared = read_shared(docs.sparkSession, vocabulary)
-    return _rows(docs).mapInPandas(lambda it: _encoded(it, shared, vocabulary), "doc_id long, n_tokens long, ids binary, decoded string")
+    return unkeyed(keyed(docs).mapInPandas(lambda it: _encoded(it, shared, vocabulary), "doc_id long, n_tokens long, ids binary, decoded string"))
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what bpe_encode() gives."""
+    prepare(docs.sparkSession)
     shared = read_shared(docs.sparkSession, vocabulary)
-    return _rows(docs).mapInPandas(lambda it: _digested(it, shared, vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return unkeyed(keyed(docs).mapInPandas(lambda it: _digested(it, shared, vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

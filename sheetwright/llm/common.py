@@ -67,6 +67,20 @@ def forget(*tables: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Stands for a null id in Python, where pandas would turn a column with nulls to floating point and large ids would blur.
+NULL_ID = np.iinfo(np.int64).min
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) as long and string, null ids as NULL_ID."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    """df with NULL_ID read as null again."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+
+
 def text_bytes(text: str | None) -> bytes:
     """UTF-8; lone surrogates, which no valid text has, become question marks."""
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""

@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     prepare(spark)
     shape = "part int, dim int, ids binary, vectors binary"
     size = F.octet_length("vectors")
-    own = [materialize(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(_blocks, shape), "nearest-blocks") for df in (vectors, queries)]
+    own = [materialize(df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(_blocks, shape), "nearest-blocks") for df in (vectors, queries)]
     bytes_of = [t.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] for t in own]
     slots, groups = max(1, -(-bytes_of[0] // SLOT_BYTES)), max(1, -(-bytes_of[1] // GROUP_BYTES))
     candidates = own[0].withColumn("slot", F.pmod(F.xxhash64("part", "ids"), F.lit(slots)).cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, forget, materialize, mix, partitions, prepare, shingle_hashes, sorted_sets, text_bytes, trim_memory, word_hashes
+from .common import NULL_ID, chunks, components, forget, keyed, materialize, mix, partitions, prepare, shingle_hashes, sorted_sets, text_bytes, trim_memory, word_hashes
 
 #: Sets that differ in at most so many elements are signed by two of three second-level partitions, others by one of two.
 SMALL_K = 16
@@ -187,8 +187,8 @@ def _signed(batches: Iterator[pd.DataFrame], words: int, num: int, den: int, buc
         hashes, counts = word_hashes(texts)
         sets = sorted_sets(*shingle_hashes(hashes, counts, words))
         del hashes
-        real = np.array([i is not None and i == i for i in ids], dtype=bool)
-        doc = np.array([int(i) if r else 0 for i, r in zip(ids, real, strict=True)], dtype=np.int64)
+        doc = np.array(ids, dtype=np.int64)
+        real = doc != NULL_ID
         rows: list[tuple[int, int, int, bytes]] = []
         info = np.zeros(len(ids), dtype=_SIZES)
         info["doc"], info["n"] = doc, [len(s) for s in sets]
@@ -424,7 +424,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     prepare(spark)
     buckets = 2 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInPandas(lambda it: _signed(it, words, num, den, buckets), SCHEMA)
+    signed = keyed(docs).mapInPandas(lambda it: _signed(it, words, num, den, buckets), SCHEMA)
     met = materialize(signed.groupBy("bucket").applyInPandas(_met, SCHEMA), "jaccard-met")
     sizes, groups = _open(met, SIZES), _open(met, GROUP)
     texts = docs.where("doc_id is not null")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, materialize, mix, partitions, prepare, trim_memory
+from .common import NULL_ID, chunks, forget, materialize, mix, partitions, prepare, trim_memory, unkeyed
 
 CHUNK = 2 << 20
 #: Different surroundings of an anchor hash beyond which its strings are dealt out by digest.
@@ -41,7 +41,6 @@ _DUPS = np.dtype([("doc", "<u4"), ("pos", "<u4"), ("bits", "<u8")])
 _ODD = 0x2545F4914F6CDD1D
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 SUFFIX, DIGEST, LOCAL = range(3)
-_NULL = np.iinfo(np.int64).min
 _power: dict[int, np.ndarray] = {}
 
 
@@ -72,7 +71,7 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf
 
     for at, (ids, texts) in enumerate(chunks(noted(), CHUNK)):
-        docs = np.array([_NULL if i is None or i != i else int(i) for i in ids], dtype="<i8")
+        docs = np.array(ids, dtype="<i8")
         lens = np.array([len(t) for t in texts], dtype="<i8")
         notes = _pack("\x1e".join(carried[: len(ids)]).encode("utf-8", "replace"))  # JSON has no bare control characters
         del carried[: len(ids)]
@@ -470,10 +469,8 @@ def _removed(chunk_df: pd.DataFrame, dups: pd.DataFrame, length: int, texts: boo
             if whole and cut:
                 kept = kept.decode("utf-8", "ignore").encode()
             spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (e > b and g[0])) if cut else 0
-            rows.append((None if i == _NULL else i, e - b, cut, spans, kept if texts else hashlib.sha256(kept).hexdigest(), note))
-    out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carry"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+            rows.append((i, e - b, cut, spans, kept if texts else hashlib.sha256(kept).hexdigest(), note))
+    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carry"])
 
 
 def _trimmed(f, sides: int):
@@ -499,7 +496,7 @@ def _run(docs: DataFrame, length: int, texts: bool, carry: list[str] | None = No
     prepare(spark)
     buckets = 2 * partitions(spark)
     notes = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), notes.alias("carry"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"), F.col("text").cast("string").alias("text"), notes.alias("carry"))
     table = materialize(rows.mapInPandas(_chunked, "chunk long, n int, blob binary, notes binary"), "dedup-chunks")
     work = table.drop("notes")
     heads = work.mapInPandas(lambda it: _anchored(it, length, buckets), _BUCKETS)
@@ -508,7 +505,8 @@ def _run(docs: DataFrame, length: int, texts: bool, carry: list[str] | None = No
     dups = materialize(sent.groupBy("bucket").applyInPandas(_trimmed(lambda a: _sorted(a, length), 1), _BUCKETS), "dedup-starts")
     forget(repeats)
     kept = "binary" if texts else "string"
-    return table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(_trimmed(lambda a, b: _removed(a, b, length, texts, bool(carry)), 2), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, carry string")
+    out = table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(_trimmed(lambda a, b: _removed(a, b, length, texts, bool(carry)), 2), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, carry string")
+    return unkeyed(out)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:

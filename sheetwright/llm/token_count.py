@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_files import Vocabulary, read_shared
-from .common import prepare
+from .common import keyed, prepare, unkeyed
 
 #: Fixed value: how the byte-level vocabularies split text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -101,7 +101,7 @@ def _counted(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
             if size >= BATCH or at == len(texts):
                 counts += count_tokens(vocab, memo, texts[begin:at])
                 begin, size = at, 0
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": counts})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": counts})
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
@@ -113,6 +113,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     spark = docs.sparkSession
     prepare(spark)
     shared = read_shared(spark, vocabulary)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(lambda it: _counted(it, shared, vocabulary), "doc_id long, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = keyed(docs).mapInPandas(lambda it: _counted(it, shared, vocabulary), "doc_id long, n_bytes long, n_tokens long")
+    return unkeyed(out).withColumn("over_limit", F.col("n_tokens") > limit)

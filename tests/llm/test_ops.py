@@ -138,6 +138,15 @@ def test_components(spark):
     assert got == up
 
 
+def test_large_ids_beside_null_ones(spark):
+    big = 2**62 + 1
+    rows = [(big, "a b c d e"), (big + 1, "a b c d e"), (None, "a b c d e")]
+    df = documents(spark, rows)
+    assert sorted(map(tuple, ngram_jaccard.jaccard_components(df).collect()), key=repr) == sorted([(big, 2, big), (big + 1, 2, big), (None, 2, None)], key=repr)
+    for out in (suffix_dedup.repeated_digests(df), token_count.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")), bpe_codec.bpe_digests(df, public_tokenizers.path("word_bpe_49k.json"))):
+        assert {r["doc_id"] for r in out.collect()} == {big, big + 1, None}
+
+
 # --- op 2
 
 
