@@ -63,15 +63,15 @@ def within(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor_id, distance) for trees without paths, by a recursive query over parent links."""
     spark = nodes.sparkSession
-    nodes.select("doc_id", "node_id", "parent_id").createOrReplaceTempView("_tree_nodes")
     return spark.sql(
         """
         WITH RECURSIVE up(doc_id, node_id, ancestor_id, distance) AS (
-          SELECT doc_id, node_id, parent_id, 1 FROM _tree_nodes WHERE parent_id IS NOT NULL
+          SELECT doc_id, node_id, parent_id, 1 FROM {tree_nodes} WHERE parent_id IS NOT NULL
           UNION ALL
-          SELECT u.doc_id, u.node_id, n.parent_id, u.distance + 1 FROM up u JOIN _tree_nodes n
+          SELECT u.doc_id, u.node_id, n.parent_id, u.distance + 1 FROM up u JOIN {tree_nodes} n
           ON n.doc_id = u.doc_id AND n.node_id = u.ancestor_id WHERE n.parent_id IS NOT NULL AND u.distance < 100)
-        SELECT doc_id, node_id, ancestor_id, distance FROM up"""
+        SELECT doc_id, node_id, ancestor_id, distance FROM up""",
+        tree_nodes=nodes.select("doc_id", "node_id", "parent_id"),
     )
 
 
@@ -163,15 +163,15 @@ def settle_changes(nodes: DataFrame, accept: bool) -> DataFrame:
 def resolve_styles(styles: DataFrame) -> DataFrame:
     """(style_id, attrs): attributes with those inherited; the nearest style's value counts, cycles end after 32 steps."""
     spark = styles.sparkSession
-    styles.createOrReplaceTempView("_styles")
     chain = spark.sql(
         """
         WITH RECURSIVE up(style_id, from_id, depth) AS (
-          SELECT style_id, style_id, 0 FROM _styles
+          SELECT style_id, style_id, 0 FROM {styles}
           UNION ALL
-          SELECT u.style_id, s.parent_id, u.depth + 1 FROM up u JOIN _styles s ON s.style_id = u.from_id
+          SELECT u.style_id, s.parent_id, u.depth + 1 FROM up u JOIN {styles} s ON s.style_id = u.from_id
           WHERE s.parent_id IS NOT NULL AND u.depth < 32)
-        SELECT u.style_id, u.depth, a.key, a.value FROM up u JOIN _styles s ON s.style_id = u.from_id LATERAL VIEW explode(s.attrs) a AS key, value"""
+        SELECT u.style_id, u.depth, a.key, a.value FROM up u JOIN {styles} s ON s.style_id = u.from_id LATERAL VIEW explode(s.attrs) a AS key, value""",
+        styles=styles,
     )
     near = chain.groupBy("style_id", "key").agg(F.min_by("value", "depth").alias("value"))
     found = near.groupBy("style_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))

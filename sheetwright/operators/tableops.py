@@ -215,9 +215,9 @@ def merge_owner(cells_df: DataFrame, merges: DataFrame) -> DataFrame:
 
 def regions(cells_df: DataFrame) -> DataFrame:
     """(first_row, last_row, rows): runs of rows that hold any cell, as islands between empty rows."""
-    rows = cells_df.where("value <> ''").select("row").distinct()
+    rows = numbered(cells_df.where("value <> ''").select("row").distinct(), ["row"])
     # consecutive numbers less their rank are constant within a run
-    runs = rows.withColumn("_g", F.col("row") - F.row_number().over(Window.orderBy("row")))
+    runs = rows.withColumn("_g", F.col("row") - F.col("ord"))
     return runs.groupBy("_g").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count(F.lit(1)).alias("rows")).drop("_g")
 
 
