@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,15 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and return the table: lineage ends here, and lost executors cost no recomputation."""
+def materialize(df: DataFrame, name: str, sweep: bool = True) -> DataFrame:
+    """Write df as Parquet to the shared folder and return the table: lineage ends here, and lost executors cost no recomputation.
+
+    sweep: also have the shuffle files behind it deleted, which takes a moment.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the shuffle files behind the table
+    for _ in range(2 * sweep):  # lets the context cleaner, which works aside, drop the shuffle files behind the table
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
     out = spark.read.schema(schema).parquet(path)
     out._sheetwright_path = path
     return out
@@ -222,22 +228,22 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     # the partition of a hub with very many links, which it can't behind an aggregate.
     def large(df: DataFrame) -> DataFrame:
         sym = both(df)
-        least = materialize(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        out = materialize(sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        least = materialize(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name, sweep=False)
+        out = materialize(sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name, sweep=False)
         forget(least)
         return out
 
     def small(df: DataFrame) -> DataFrame:
         """Links already lead from the larger end to the smaller one."""
-        least = materialize(df.groupBy("u").agg(F.min("v").alias("m")), name)
+        least = materialize(df.groupBy("u").agg(F.min("v").alias("m")), name, sweep=False)
         moved = df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        out = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        out = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name, sweep=False)
         forget(least)
         return out
 
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, name)
+    edges = materialize(edges, name, sweep=False)
     before = stats(edges)
     while before[0]:
         wide = large(edges)

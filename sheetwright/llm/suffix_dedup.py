@@ -44,8 +44,8 @@ SUFFIX, DIGEST, LOCAL = range(3)
 _power: dict[int, np.ndarray] = {}
 
 
-def _pack(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _pack(raw: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _unpack(blob: bytes) -> bytes:
@@ -75,7 +75,7 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lens = np.array([len(t) for t in texts], dtype="<i8")
         notes = _pack("\x1e".join(carried[: len(ids)]).encode("utf-8", "replace"))  # JSON has no bare control characters
         del carried[: len(ids)]
-        yield pd.DataFrame([((part << 32) + at, len(docs), _pack(docs.tobytes() + lens.tobytes() + b"".join(texts)), notes)], columns=["chunk", "n", "blob", "notes"])
+        yield pd.DataFrame([((part << 32) + at, len(docs), _pack(docs.tobytes() + lens.tobytes() + b"".join(texts), 5), notes)], columns=["chunk", "n", "blob", "notes"])
 
 
 def _read_chunk(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
