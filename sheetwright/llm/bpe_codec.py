@@ -153,7 +153,8 @@ def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
             if held >= FRAME:
                 yield frame(rows)
                 rows, held = [], 0
-        yield frame(rows)
+        if rows:
+            yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"])

@@ -264,6 +264,17 @@ def test_bpe_codec(spark):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in full)
 
 
+def test_codec_yields_no_empty_frames(monkeypatch):
+    """A text that ends a frame leaves nothing over; an empty frame's columns have no type."""
+    import pandas as pd
+
+    monkeypatch.setattr(bpe_codec, "FRAME", 4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    shared = type("Shared", (), {"value": open(path).read()})
+    batches = [pd.DataFrame({"doc_id": [1, 2, 3], "text": ["abcd", "x", "efgh"]}), pd.DataFrame({"doc_id": [4], "text": [None]})]
+    assert [len(f) for f in bpe_codec._digested(iter(batches), shared, path)] == [1, 2, 1]
+
+
 def test_memo_may_be_forgotten(monkeypatch):
     monkeypatch.setattr(token_count, "MEMO", 5)
     monkeypatch.setattr(bpe_codec, "MEMO", 5)
