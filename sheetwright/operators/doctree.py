@@ -190,9 +190,9 @@ def selection(nodes: DataFrame, first: list[int], last: list[int]) -> DataFrame:
 
 
 def comment_threads(comments: DataFrame) -> DataFrame:
-    """(comment_id, parent_id, replies): replies point at their comment."""
-    r = comments.where("parent_id is not null").groupBy(F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("replies"))
-    return comments.join(r, comments.comment_id == F.col("_p"), "left").select("comment_id", "parent_id", F.coalesce("replies", F.lit(0)).alias("replies"))
+    """(doc_id, comment_id, parent_id, replies): replies point at a comment of their own document."""
+    r = comments.where("parent_id is not null").groupBy(F.col("doc_id").alias("_d"), F.col("parent_id").alias("_p")).agg(F.count(F.lit(1)).alias("replies"))
+    return comments.join(r, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("comment_id") == F.col("_p")), "left").select("doc_id", "comment_id", "parent_id", F.coalesce("replies", F.lit(0)).alias("replies"))
 
 
 def numbering(items: DataFrame, abstract: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -34,12 +34,12 @@ def _marked(spark: SparkSession) -> DataFrame:
 _q("node_type_counts", f"SELECT doc_id, 'Paragraph' AS type, count(*) AS n FROM {_LINES} WHERE l <> '---' GROUP BY 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Body', 1 FROM documents UNION ALL SELECT doc_id, 'PageBreak', count(*) FROM {_LINES} WHERE l = '---' GROUP BY 1",
     lambda s, d: doctree.type_counts(_nodes(s, d)))
 _q("plain_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(ltrim(regexp_replace(text, '\\n+', chr(10), 'g'), chr(10))) AS h FROM documents WHERE NOT regexp_matches(text, '(^|\\n)(#{1,6} | *- | *\\d+\\. |---)') AND NOT regexp_matches(text, '\\n\\n|\\n$|^\\n')",
-    lambda s, d: doctree.plain_text(doctree.from_text(table(s, d, "documents").where(~F.col("text").rlike(r"(^|\n)(#{1,6} | *- | *\d+\. |---)") & ~F.col("text").rlike(r"\n\n|\n$|^\n")), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
+    lambda s, d: doctree.plain_text(doctree.from_text(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
 _q("headings", "SELECT * FROM (VALUES ('1', 1, 'One'), ('1', 2, 'Two'), ('3', 3, 'Three'), ('3', 4, 'Four')) AS t(doc_id, level, text)", lambda s, d: doctree.headings(_marked(s)).select("doc_id", "level", "text"))
 _q("toc_entries", "SELECT * FROM (VALUES ('1', 1, 'TOC1', 'One'), ('1', 2, 'TOC2', 'Two'), ('3', 1, 'TOC3', 'Three')) AS t(doc_id, entry, style, text)", lambda s, d: doctree.toc_entries(_marked(s)))
 _q("list_counters", "SELECT * FROM (VALUES ('1', '0.3', 0, 1), ('1', '0.4', 0, 2), ('1', '0.5', 1, 1), ('1', '0.6', 0, 3), ('1', '0.8', 0, 1)) AS t(doc_id, node_id, level, counter)", lambda s, d: doctree.list_counters(_marked(s)))
 _q("text_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS h FROM documents WHERE NOT regexp_matches(text, '(^|\\n) *\\d+\\. ')",
-    lambda s, d: doctree.render_text(doctree.from_text(table(s, d, "documents").where(~F.col("text").rlike(r"(^|\n) *\d+\. ")), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
+    lambda s, d: doctree.render_text(doctree.from_text(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
 _q("body_paragraph_count", f"SELECT doc_id, count(*) AS n FROM {_LINES} WHERE l <> '---' GROUP BY 1", lambda s, d: doctree.body_paragraphs(_nodes(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
 _q("hierarchy_errors", "SELECT * FROM (VALUES ('d', 'c', 'TableRow', 'Body')) AS t(doc_id, node_id, type, parent_type)", lambda s, d: doctree.hierarchy_errors(_small_tree(s)).where("node_id = 'c'"))
 
@@ -66,13 +66,20 @@ _q("style_resolution", "SELECT * FROM (VALUES ('base', 'bold', '0'), ('base', 's
 _q("attr_merge", "SELECT * FROM (VALUES ('a', '1'), ('b', '9'), ('c', '3')) AS t(k, v)",
     lambda s, d: s.createDataFrame([({"a": "1", "b": "2"}, {"b": "9", "c": "3"})], "l map<string,string>, r map<string,string>").select(F.explode(doctree.merge_attrs(F.col("l"), F.col("r"))).alias("k", "v")))
 _q("comment_threads", "SELECT c.turn AS comment_id, CASE WHEN c.turn > 0 THEN 0 END AS parent_id, CASE WHEN c.turn = 0 THEN (SELECT count(*) FROM conversations WHERE conv_id = 1 AND turn > 0) ELSE 0 END AS replies FROM conversations c WHERE conv_id = 1",
-    lambda s, d: doctree.comment_threads(table(s, d, "conversations").where("conv_id = 1").select(F.col("turn").alias("comment_id"), F.expr("case when turn > 0 then 0 end").alias("parent_id"))))
+    lambda s, d: doctree.comment_threads(_comments(s, d).where("doc_id = 1")).drop("doc_id"))
+_q("comment_threads_all", "SELECT conv_id AS doc_id, turn AS comment_id, CASE WHEN turn > 0 THEN 0 END AS parent_id, CASE WHEN turn = 0 THEN count(*) FILTER (turn > 0) OVER (PARTITION BY conv_id) ELSE 0 END AS replies FROM conversations",
+    lambda s, d: doctree.comment_threads(_comments(s, d)))
 _q("numbering_override", "SELECT * FROM (VALUES (1, 0, 'decimal'), (1, 1, 'roman')) AS t(num_id, level, format)",
     lambda s, d: doctree.numbering(s.createDataFrame([(1, 0), (1, 1)], "num_id int, level int"), s.createDataFrame([(1, 0, "decimal"), (1, 1, "alpha")], "num_id int, level int, format string"), s.createDataFrame([(1, 1, "roman")], "num_id int, level int, format string")))
 _q("block_change_detection", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, text FROM documents WHERE doc_id % 7 = 0) GROUP BY 1",
     lambda s, d: _changed(s, d))
 
 
+def _comments(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as comments: each turn after the first replies to it."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("comment_id"), F.expr("case when turn > 0 then 0 end").alias("parent_id"))
+
+
 def _changed(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose content hash is not in the earlier snapshot, in which those divisible by seven read otherwise."""
     docs = table(spark, d, "documents")

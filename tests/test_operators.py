@@ -1,5 +1,6 @@
 """Operators on small tables: nulls, ties, blanks and the semantics that the query tables don't reach."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -105,6 +106,23 @@ def test_style_cycles_end(spark):
     assert {r["style_id"]: r["attrs"] for r in doctree.resolve_styles(s).collect()} == {"a": {"x": "1", "y": "3"}, "b": {"x": "2", "y": "3"}}
 
 
+def test_threads_stay_in_their_document(spark):
+    df = spark.createDataFrame([(1, 0, None), (1, 1, 0), (2, 0, None), (2, 1, 0), (2, 2, 0), (2, 3, 1), (3, 0, None), (None, 0, None), (None, 1, 0)], "doc_id long, comment_id long, parent_id long")
+    got = rows(doctree.comment_threads(df))
+    assert got == sorted([(1, 0, None, 1), (1, 1, 0, 0), (2, 0, None, 2), (2, 1, 0, 1), (2, 2, 0, 0), (2, 3, 1, 0), (3, 0, None, 0), (None, 0, None, 1), (None, 1, 0, 0)], key=repr)
+
+
+def test_text_queries_keep_every_document(spark, tmp_path):
+    from sheetwright.plans import registry
+
+    texts = {"1": "plain\nlines", "2": "# One\npara\n1. a\n2. b\n- c\n---\n## Two", "3": "a\n\nb\n", "4": "\nx", "5": None, "6": ""}
+    spark.createDataFrame([(int(k), v) for k, v in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert rows(registry.QUERIES["text_roundtrip"](spark, str(tmp_path))) == [(k, md5(v or "")) for k, v in sorted(texts.items())]
+    plain = {"1": "plain\nlines", "2": "One\npara\na\nb\nc\nTwo", "3": "a\nb\n", "4": "x", "5": "", "6": ""}
+    assert rows(registry.QUERIES["plain_text"](spark, str(tmp_path))) == [(k, md5(v)) for k, v in sorted(plain.items())]
+
+
 def test_text_replicas_converge():
     ops = [("InsertText", 1, 1, None, "h"), ("InsertText", 2, 1, (1, 1), "i"), ("InsertText", 2, 2, (1, 1), "X"), ("InsertText", 3, 2, (2, 2), "Y"), ("DeleteText", 4, 1, (2, 1), None)]
     want = oplog.text_replica(ops)
