@@ -29,6 +29,8 @@ _formulas("fn_text_value", "orders", ["o_orderkey"], {"p": '=TEXT([o_totalprice]
     "SELECT o_orderkey, format('{:.1f}%', o_totalprice / 1000000 * 100) AS p, 1250.5::DOUBLE AS v, -1::DOUBLE AS w, CAST(o_orderkey AS VARCHAR) AS t FROM orders")
 _formulas("fn_trim_case", "documents", ["doc_id"], {"t": "=TRIM(LEFT([text],60))", "u": "=UPPER([lang])", "l": "=LOWER([source])"},
     r"SELECT doc_id, trim(regexp_replace(substring(text, 1, 60), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t, upper(lang) AS u, lower(source) AS l FROM documents")
+_formulas("fn_trim_whole", "documents", ["doc_id"], {"t": "=TRIM([text])"},
+    r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents")
 _formulas("fn_round_mod_int", "lineitem", ["l_orderkey", "l_linenumber"], {"r": "=ROUND([l_extendedprice]*[l_discount],2)", "m": "=MOD([l_quantity],-7)", "i": "=INT(-[l_tax]*100)", "a": "=ABS([l_discount]-0.05)"},
     """SELECT l_orderkey, l_linenumber, sign(x) * (floor(abs(x * 100)) + CASE WHEN abs(x * 100) - floor(abs(x * 100)) >= 0.5 THEN 1 ELSE 0 END) / 100 AS r, l_quantity + 7 * floor(l_quantity / -7) AS m, floor(-l_tax * 100) + 0 AS i, abs(l_discount - 0.05) AS a
     FROM (SELECT *, l_extendedprice * l_discount AS x FROM lineitem)""")
@@ -79,6 +81,12 @@ _q("auto_heading", """
     WHEN regexp_matches(t, '^\\d+(\\.\\d+)*[.)]?\\s+\\S') THEN CASE WHEN regexp_matches(t, '^\\d+\\.\\d+') THEN 3 ELSE 2 END WHEN ends_with(t, ':') THEN 3
     WHEN regexp_matches(t, '^(\\p{Lu}[\\p{L}\\p{N}''’-]*)(\\s+(\\p{Lu}[\\p{L}\\p{N}''’-]*|a|an|and|of|or|the|to|in|for|on))*$') AND length(t) <= 60 THEN 2 ELSE 0 END AS INT) AS level FROM p""",
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.heading_level(F.get(F.split("text", "\n"), F.lit(0))).alias("level")))
+_q("auto_heading_lines", """
+    WITH l AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), p AS (SELECT conv_id, turn, CAST(unnest(range(len(l))) AS INT) AS line, trim(unnest(l)) AS t FROM l)
+    SELECT conv_id, turn, line, CAST(CASE WHEN length(t) = 0 OR length(t) > 80 OR regexp_matches(t, '[.!?,;]$') THEN 0 WHEN upper(t) = t AND lower(t) <> t AND length(t) <= 50 THEN 1
+    WHEN regexp_matches(t, '^\\d+(\\.\\d+)*[.)]?\\s+\\S') THEN CASE WHEN regexp_matches(t, '^\\d+\\.\\d+') THEN 3 ELSE 2 END WHEN ends_with(t, ':') THEN 3
+    WHEN regexp_matches(t, '^(\\p{Lu}[\\p{L}\\p{N}''’-]*)(\\s+(\\p{Lu}[\\p{L}\\p{N}''’-]*|a|an|and|of|or|the|to|in|for|on))*$') AND length(t) <= 60 THEN 2 ELSE 0 END AS INT) AS level FROM p""",
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "l")).select("conv_id", "turn", "line", text.heading_level(F.col("l")).alias("level")))
 _q("autocorrect_replace", "SELECT item_id, list_aggregate(list_transform(string_split(text, ' '), lambda w: CASE w WHEN 'teh' THEN 'the' WHEN 'th' THEN 'the' WHEN 'nd' THEN 'and' ELSE w END), 'string_agg', ' ') AS text FROM benchmark",
     lambda s, d: table(s, d, "benchmark").select("item_id", text.autocorrect(F.col("text"), {"teh": "the", "th": "the", "nd": "and"}).alias("text")))
 _q("find_whole_word", r"""
@@ -147,6 +155,10 @@ _q("type_infer", """
     SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN starts_with(t, '=') OR starts_with(t, '{=') THEN 'formula' WHEN lower(t) IN ('true', 'false') THEN 'boolean'
     WHEN regexp_matches(t, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN 'number' ELSE 'string' END AS kind FROM v""",
     lambda s, d: table(s, d, "conversations").select("conv_id", "turn", cells.infer_type(F.expr("case turn % 4 when 0 then cast(conv_id as string) when 1 then 'TRUE' when 2 then concat('=A1+', turn) else substring(text, 1, 5) end")).alias("kind")))
+_q("type_infer_text", """
+    SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN starts_with(text, '=') OR starts_with(text, '{=') THEN 'formula' WHEN lower(text) IN ('true', 'false') THEN 'boolean'
+    WHEN regexp_matches(text, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN 'number' ELSE 'string' END AS kind FROM conversations""",
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", cells.infer_type(F.col("text")).alias("kind")))
 _q("format_by_name", "SELECT url, CASE WHEN regexp_matches(url, '\\.md$') THEN 'md' END AS format FROM (SELECT 'x/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.md' ELSE '.bin' END AS url FROM pages)",
     lambda s, d: table(s, d, "pages").select(F.expr("concat('x/', page_id, case when page_id % 2 = 0 then '.md' else '.bin' end)").alias("url")).select("url", detect.format_by_name(F.col("url")).alias("format")))
 _q("csv_cells", f"""

@@ -123,6 +123,19 @@ def test_text_queries_keep_every_document(spark, tmp_path):
     assert rows(registry.QUERIES["plain_text"](spark, str(tmp_path))) == [(k, md5(v)) for k, v in sorted(plain.items())]
 
 
+def test_scalar_queries_read_whole_texts(spark, tmp_path):
+    from sheetwright.plans import registry
+
+    run = lambda name: rows(registry.QUERIES[name](spark, str(tmp_path)))
+    long = "word " * 20
+    spark.createDataFrame([(1, long + "  \u00a0 end\t\n"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert run("fn_trim_whole") == [(1, long + "end"), (2, "")]
+    said = [(1, 0, "123456789"), (1, 1, "12345 apples"), (1, 2, "=A1"), (1, 3, "FALSE"), (1, 4, "plain words,\nINTRODUCTION\n\n2.1 Scope"), (1, 5, None)]
+    spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r[2] for r in run("type_infer_text")] == ["number", "string", "formula", "boolean", "string", "empty"]
+    assert [r[2:] for r in run("auto_heading_lines") if r[1] >= 4] == [(0, 0), (1, 1), (2, 0), (3, 3), (0, 0)]
+
+
 def test_text_replicas_converge():
     ops = [("InsertText", 1, 1, None, "h"), ("InsertText", 2, 1, (1, 1), "i"), ("InsertText", 2, 2, (1, 1), "X"), ("InsertText", 3, 2, (2, 2), "Y"), ("DeleteText", 4, 1, (2, 1), None)]
     want = oplog.text_replica(ops)
