@@ -74,8 +74,22 @@ def _read(pdf: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pdf["ids"]), "<i8"), np.frombuffer(b"".join(pdf["vectors"]), "<f8").reshape(-1, dim)
 
 
+def _distinct(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that differ in id or vector, those of an id together."""
+    rows = np.column_stack([ids.view("<f8"), v + 0.0])  # + 0.0: no negative zeros
+    some = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1] * 8}")[:, 0], return_index=True)[1]
+    some = some[np.argsort(ids[some], kind="stable")]
+    return ids[some], v[some]
+
+
 def search(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, cosine) of each query's k nearest candidates of another id, ties to the smaller id."""
+    """(query, candidate, cosine) of each query's k nearest candidates of another id, ties to the smaller id.
+
+    Of rows that repeat an id the nearest counts: bounds, floors and heaps are those of ids, not of rows.
+    """
+    repeats = len(np.unique(cids)) < len(cids)
+    if repeats:
+        cids, c = _distinct(cids, c)
     qu, qn = _unit(q)
     cu, cn = _unit(c)
     q8, qs, qe = quantise(qu)
@@ -90,21 +104,37 @@ def search(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray, k:
             error = qe[rows, None] * (1 + ce[None, cols]) + ce[None, cols] + 1e-12
             near[qids[rows, None] == cids[None, cols]] = -np.inf
             floor = np.array([h[0][0] if len(h) == k else -np.inf for h in best[rows]])
-            if near.shape[1] > k:
-                floor = np.maximum(floor, np.partition(near - error, -k, axis=1)[:, -k])
-            left, right = np.nonzero((near + error >= floor[:, None]) & (near > -np.inf))
+            least, floors = near - error, floor[:, None]
+            if repeats:  # ids are in order: one column an id, and no row counts that is surely farther than another of its id
+                begins = np.flatnonzero(np.r_[True, np.diff(cids[cols]) != 0])
+                least = np.maximum.reduceat(least, begins, axis=1)
+                floors = np.repeat(least, np.diff(np.r_[begins, near.shape[1]]), axis=1)
+            if least.shape[1] > k:
+                floor = np.maximum(floor, np.partition(least, -k, axis=1)[:, -k])
+            floors = np.maximum(floors, floor[:, None])
+            left, right = np.nonzero((near + error >= floors) & (near > -np.inf))
             score = np.empty(len(left))
             for some in np.array_split(np.arange(len(left)), 1 + len(left) * q.shape[1] // (1 << 21)):
                 i, j = a + left[some], b + right[some]
                 score[some] = (q[i] * c[j]).sum(axis=1) / (qn[i] * cn[j])
             ids = cids[b + right]
             order = np.lexsort((ids, -score, left))
+            if repeats:
+                best_of = np.lexsort((-score, ids, left))
+                same = np.r_[False, (np.diff(left[best_of]) == 0) & (np.diff(ids[best_of]) == 0)]
+                first = np.zeros(len(order), dtype=bool)
+                first[best_of[~same[: len(best_of)]]] = True
+                order = order[first[order]]
             begin = np.searchsorted(left[order], np.arange(len(floor) + 1))
             for row in range(len(floor)):
                 heap = best[a + row]
                 for at in order[begin[row] : min(begin[row + 1], begin[row] + k)].tolist():
                     item = (float(score[at]), -int(ids[at]))
-                    if len(heap) < k:
+                    known = next((n for n, x in enumerate(heap) if x[1] == item[1]), -1) if repeats else -1
+                    if known >= 0:  # an id whose rows lie in two tiles
+                        heap[known] = max(heap[known], item)
+                        heapq.heapify(heap)
+                    elif len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
                         heapq.heapreplace(heap, item)

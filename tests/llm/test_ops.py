@@ -332,6 +332,29 @@ def test_exact_copies_tie_to_the_smaller_id():
     assert sorted(i for _, i, _ in got) == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("tile", [7, 64, 2048])
+def test_repeated_ids_leave_room_for_others(monkeypatch, tile):
+    monkeypatch.setattr(nearest, "TILE", tile)
+    r = np.random.default_rng(3)
+    rows = [(i - 20, [float(x) for x in r.normal(size=8)]) for i in range(60)]
+    near = rows[0][1]
+    rows += [(100, near)] * 9 + [(101, [x + 0.01 * n for x in near]) for n in range(9)]  # exact copies, and other vectors of one id
+    rows += rows[:60]  # each row twice
+    r.shuffle(rows)
+    ids, v = np.array([int(i) for i, _ in rows]), np.array([[float(x) for x in e] for _, e in rows])
+    rows = [(int(i), list(e)) for i, e in zip(ids, v)]
+    want = brute_nearest(rows, {int(i) for i in ids}, 5)
+    got = collections.defaultdict(list)
+    for q, i, s in nearest.search(ids[:60], v[:60], ids, v, 5):
+        got[q].append((i, s))
+    single = [q for q in got if q < 100 and list(ids[:60]).count(q) == 1]
+    assert single
+    for q in single:
+        assert [i for i, _ in sorted(got[q], key=lambda x: (-x[1], x[0]))] == [i for i, _ in want[q]]
+    few = nearest.search(np.array([-20]), np.array([near]), np.array([100] * 9 + [101] * 9), v[:18], 5)
+    assert sorted(i for _, i, _ in few) == [100, 101]
+
+
 # --- op 6
 
 
