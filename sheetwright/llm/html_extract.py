@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags.  Pass 1 classifies each by itself: its place in the markup, its length,
 its density of stop words and of links make it good, bad, or, when it is short, undecided.  In pass 2 undecided blocks
-take the label of the nearest decided neighbours, within the article if the page marks one.
+take the label of the nearest decided neighbours, within the article if the page marks one.  Where the words of a page
+that marks no article belong to no language with stop words here, long blocks with few links are good.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import prepare
 
 #: Characters under which a block is short; share of characters in links over which it is bad; shares of stop words.
 SHORT, LINKS, STOP_LOW, STOP_HIGH, LONG = 70, 0.4, 0.10, 0.25, 200
+#: Share of stop words in a page's long blocks under which its language isn't one of those below.
+FOREIGN = 0.2
 
 #: Common words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -34,7 +37,8 @@ STOP_WORDS = frozenset(
 )
 #: Fixed values of the HTML language: elements that begin and end blocks, that hold no text to read, that never have content.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DEAD = "script|style|noscript|template|svg|math|canvas|iframe|object|audio|video|textarea|select|button|head|title"
+_RAW = "script|style|textarea|title"  # hold no tags, and run to the page's end if they aren't closed
+_DEAD = frozenset("noscript template svg math canvas iframe object audio video select button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEST = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form header main menu nav ol section table tbody td tfoot th thead tr ul".split())
 _OUTSIDE = frozenset("nav footer aside form menu dialog".split())
@@ -46,10 +50,11 @@ _BESIDE = frozenset(
     search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget""".split()
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(" + _DEAD + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(" + _RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _WORD = re.compile(r"[^\W\d_]+")
 _white = re.compile(r"\s+")
 
@@ -81,6 +86,22 @@ def _beside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _closed(tokens: list[re.Match]) -> dict[int, int]:
+    """Of the dead elements that are closed, where they begin and end among the tokens; each end tag closes the nearest open one."""
+    begun: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, m in enumerate(tokens):
+        name = m[3].lower() if m[3] else ""
+        if name not in _DEAD:
+            continue
+        if m[2]:
+            if begun.get(name):
+                ends[begun[name].pop()] = i
+        elif name not in ("svg", "math") or not m[4].endswith("/"):
+            begun.setdefault(name, []).append(i)
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, those without text left out."""
     out: list[Block] = []
@@ -104,8 +125,12 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 block.links += len("".join(text.split()))
 
-    last = 0
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    dead = _closed(tokens)
+    last = through = 0
+    for i, m in enumerate(tokens):
+        if i < through:
+            continue
         say(page[last : m.start()])
         last = m.end()
         name = m[3]
@@ -114,6 +139,11 @@ def blocks_of(page: str) -> list[Block]:
                 block.parts.append(" ")
             continue
         name, end = name.lower(), bool(m[2])
+        if name in _DEAD:  # one that isn't closed hides only its tag
+            block.parts.append(" ")
+            if i in dead:
+                through, last = dead[i] + 1, tokens[dead[i]].end()
+            continue
         if name == "a":
             links = max(0, links - 1) if end else 1
         elif name == "br":
@@ -144,19 +174,34 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def judge(b: Block) -> bool | None:
-    """Pass 1: True good, False bad, None undecided."""
+def _linked(b: Block) -> float:
+    return b.links / max(1, len(b.text) - b.text.count(" "))
+
+
+def _size(text: str) -> int:
+    """Characters, those of scripts with a syllable or a word a character threefold."""
+    return len(text) + 2 * len(_WIDE.findall(text))
+
+
+def _foreign(blocks: list[Block]) -> bool:
+    """Whether the words of the long blocks belong to no language of STOP_WORDS."""
+    words = [w for b in blocks if not b.outside and _size(b.text) >= SHORT and _linked(b) <= LINKS for w in _WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) < FOREIGN * len(words)
+
+
+def judge(b: Block, foreign: bool = False) -> bool | None:
+    """Pass 1: True good, False bad, None undecided; of a foreign page by length and links alone."""
     if b.outside:
         return False
-    size = len(b.text)
-    dense = b.links / max(1, size - b.text.count(" "))
+    size = _size(b.text) if foreign else len(b.text)
+    dense = _linked(b)
     if dense > LINKS and not (b.room and size < SHORT):
         return False
     if not b.room and ("©" in b.text or "all rights reserved" in b.text.lower()):
         return False
     if size < SHORT:
         return None if b.room or not b.links else False
-    if b.room:
+    if b.room or foreign:
         return True
     words = _WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -170,7 +215,10 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if any(b.room and not b.outside for b in blocks):  # the page marks its article
         blocks = [b for b in blocks if b.room]
-    first = [judge(b) for b in blocks]
+        foreign = False
+    else:
+        foreign = _foreign(blocks)
+    first = [judge(b, foreign) for b in blocks]
     decided = [i for i, x in enumerate(first) if x is not None]
     kept = []
     for i, (b, good) in enumerate(zip(blocks, first, strict=True)):

@@ -424,6 +424,55 @@ def test_html_without_article():
     assert html_extract.main_text(page) == "\n\n".join(["Title", long.strip(), "Short end.", long.strip()])
 
 
+_PROSE = "It is said that this is the text of the article and that it was written by those who were there for all of us to read it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><script>a()</script><body><p>{}</p></body></html>",
+        "<html><head><title>T</title><style>p{{}}</style><p>{}</p></html>",
+        "<p><svg class='i' viewBox='0 0 1 1' />{}</p><p><svg><path d=x /><text>no</text></svg></p>",
+        "<math/><p>{}</p>",
+        "<p><button>{}</p><div><button>no</button></div>",
+        "<video src=x><p>{}</p>",
+        "<noscript><p>{}</p>",
+        "<object data=x><object data=y>no</object><p>{}</p>",
+        "<p>{}</p><object data=x>no<object data=y>no</object>no</object>",
+        "<p>{}</p><noscript>no <script>'</noscript>'</script> no</noscript>",
+        "<p>{}</p><textarea>no",
+        "<p>{}</p><title>no",
+        "<p>{}</p><style>no",
+        "<p>{}</p><script>no",
+    ],
+)
+def test_html_dead_elements(page):
+    assert html_extract.main_text(page.format(_PROSE)) == _PROSE
+
+
+def test_html_many_unclosed_elements():
+    page = "<button><svg><object>" * 20000
+    assert html_extract.main_text(f"{page}<p>{_PROSE}</p>") == _PROSE
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Hükümet bugün krizden etkilenen aileleri ve işletmeleri desteklemek için yeni ekonomik önlemler açıkladı, partiler arasında haftalar süren görüşmelerden sonra.",
+        "Правительство объявило сегодня о новых мерах поддержки семей и предприятий, пострадавших от кризиса, после нескольких недель переговоров. " * 3,
+        "Il governo italiano ha annunciato oggi nuove misure economiche per sostenere le famiglie e le imprese colpite dalla crisi, dopo settimane di trattative.",
+        "政府は本日、危機の影響を受けた家庭と企業を支援するための新しい経済対策を発表した。",
+    ],
+)
+def test_html_other_languages(text):
+    text = text.strip()
+    links = "".join(f"<li><a href=x>{text[:30]} {n}</a></li>" for n in range(9))
+    page = f"<ul>{links}</ul><p>{text}</p><p>{text}</p><div class=footer><p>{text}</p></div>"
+    assert html_extract.main_text(page) == f"{text}\n\n{text}"
+    english = f"<p>{_PROSE}</p>" * 3 + f"<p>{'Alpha beta gamma ' * 20}</p>"
+    assert html_extract.main_text(english) == "\n\n".join([_PROSE] * 3)
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "a < b > c", "<script>x", "<!--", "<p>&#xZZ; &nope; &#0;", "</div></div>x", "<a>" * 500 + "t", "<div>" * 3000 + "deep"])
 def test_html_broken(page):
     html_extract.main_text(page)
