@@ -345,12 +345,12 @@ def _similar(batches: Iterator[pd.DataFrame], words: int, num: int, den: int) ->
     def one(text: str | None) -> np.ndarray:
         return np.unique(shingle_hashes(*word_hashes([text_bytes(text)]), words)[0])
 
-    last_id, last = None, np.zeros(0, dtype=np.uint64)
+    last_row, last = None, np.zeros(0, dtype=np.uint64)  # an id may stand on rows with different texts
     for pdf in batches:
         keep = []
         for u, a, b in zip(pdf["u"], pdf["text_u"], pdf["text_v"], strict=True):
-            if u != last_id or not len(last):
-                last_id, last = u, one(a)
+            if (u, a) != last_row or not len(last):
+                last_row, last = (u, a), one(a)
             other = one(b)
             common = len(np.intersect1d(last, other, assume_unique=True))
             keep.append(den * common >= num * (len(last) + len(other) - common) and common > 0)

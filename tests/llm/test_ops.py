@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -89,6 +90,18 @@ def test_jaccard_edges(spark):
     assert sorted(r[0] is None or r[0] for r in kept.collect()) == [1, 1, True, True]
 
 
+def test_repeated_ids_link_by_each_text():
+    pair = [(1, "p q r s t u", "a b c d e f"), (1, "a b c d e f", "a b c d e f")]
+    for rows in (pair, pair[::-1]):
+        frames = [pd.DataFrame([(u, 2, a, b) for u, a, b in rows], columns=["u", "v", "text_u", "text_v"])]
+        assert [len(x) for x in ngram_jaccard._similar(iter(frames), 4, 85, 100)] == [1]
+
+
+def test_repeated_ids_in_components(spark):
+    rows = [(1, "p q r s t u"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "k l m n o p")]
+    assert {r[0]: r[2] for r in ngram_jaccard.jaccard_components(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 @pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (50, 100)])
 def test_pairs_share_a_signature(num, den):
     r = np.random.default_rng(5)
