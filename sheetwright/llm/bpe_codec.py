@@ -148,7 +148,7 @@ def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
         rows: list[tuple] = []
         held = 0
         for i, t, (x, d) in zip(ids, texts, encode_texts(vocab, memo, texts), strict=True):
-            rows.append((i, len(x) // 4, x, d))
+            rows.append((*i, len(x) // 4, x, d))
             held += len(t)
             if held >= FRAME:
                 yield frame(rows)
@@ -157,11 +157,11 @@ def _encoded(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
             yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"])
+        return pd.DataFrame(rows, columns=["doc_id", "no_id", "n_tokens", "ids", "decoded"])
 
     for pdf in batches:
-        for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-            ids.append(i)
+        for i, none, t in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"], strict=True):
+            ids.append((i, none))
             texts.append(t if isinstance(t, str) else "")
             size += len(texts[-1])
             if size >= BATCH:
@@ -175,7 +175,7 @@ def _digested(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.
     """As bpe_encode() followed by bpe_digests(), without moving ids and texts out of the worker."""
     for pdf in _encoded(batches, shared, key):
         yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "n_tokens": pdf["n_tokens"], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in pdf["ids"]], "decoded_sha256": [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in pdf["decoded"]]}
+            {"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_tokens": pdf["n_tokens"], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in pdf["ids"]], "decoded_sha256": [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in pdf["decoded"]]}
         )
 
 
@@ -188,11 +188,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     prepare(docs.sparkSession)
     shared = read_shared(docs.sparkSession, vocabulary)
-    return unkeyed(keyed(docs).mapInPandas(lambda it: _encoded(it, shared, vocabulary), "doc_id long, n_tokens long, ids binary, decoded string"))
+    return unkeyed(keyed(docs).mapInPandas(lambda it: _encoded(it, shared, vocabulary), "doc_id long, no_id boolean, n_tokens long, ids binary, decoded string"))
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what bpe_encode() gives."""
     prepare(docs.sparkSession)
     shared = read_shared(docs.sparkSession, vocabulary)
-    return unkeyed(keyed(docs).mapInPandas(lambda it: _digested(it, shared, vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return unkeyed(keyed(docs).mapInPandas(lambda it: _digested(it, shared, vocabulary), "doc_id long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string"))

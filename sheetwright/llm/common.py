@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import gc
 import os
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task holds at a time, give or take one document.
@@ -35,30 +35,66 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size in bytes; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def bucket_count(df: DataFrame, each: int) -> int:
+    """Buckets of about `each` bytes of df, at least two for each task of a shuffle."""
+    return max(2 * partitions(df.sparkSession), -(-plan_bytes(df) // each))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sheetwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, sweep: bool = True) -> DataFrame:
-    """Write df as Parquet to the shared folder and return the table: lineage ends here, and lost executors cost no recomputation.
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sheetwright-{spark.sparkContext.applicationId}"
 
-    sweep: also have the shuffle files behind it deleted, which takes a moment.
-    """
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder; results that read them must have been used."""
+    _delete(spark, _own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end within leave no shuffle files: their result is a table, and nothing else reads these."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and return the table: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    for _ in range(2 * sweep):  # lets the context cleaner, which works aside, drop the shuffle files behind the table
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
-    out = spark.read.schema(schema).parquet(path)
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._sheetwright_path = path
     return out
 
@@ -68,23 +104,42 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_sheetwright_path", None)
         if path:
-            spark = df.sparkSession
-            jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+            _delete(df.sparkSession, path)
 
 
-#: Stands for a null id in Python, where pandas would turn a column with nulls to floating point and large ids would blur.
-NULL_ID = np.iinfo(np.int64).min
+#: Rows of a few numbers each that may be broadcast.
+FEW = 1_000_000
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as long and string, null ids as NULL_ID."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def few(df: DataFrame) -> DataFrame:
+    """df marked for broadcasting if it has at most FEW rows, else as it is; df must be cheap to count."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def bounded_sample(docs: DataFrame, labelled: DataFrame, rows: int, size: int) -> DataFrame:
+    """(doc_id, text, y): labelled rows of docs, at most `rows` and `size` bytes of whole texts, in the order of the hash of doc_id.
+
+    Of repeated labels of an id the larger counts, of repeated rows of an id the text that is smallest as a string.
+    """
+    labels = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # the sample has at most `rows` rows of two numbers, so it may be broadcast
+    each = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    each = materialize(each.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "labelled-texts")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most `rows` rows of two numbers
+    fit = each.select("doc_id", "size").withColumn("held", F.sum("size").over(order)).where(F.col("held") <= size).select("doc_id")
+    return each.drop("size").join(F.broadcast(fit), "doc_id")
+
+
+def keyed(docs: DataFrame, *others: Column) -> DataFrame:
+    """(doc_id, no_id, text, others ...): null ids as 0 with a flag, since pandas would turn a column with nulls to floating point and blur large ids."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("doc_id"), own.isNull().alias("no_id"), F.col("text").cast("string").alias("text"), *others)
 
 
 def unkeyed(df: DataFrame) -> DataFrame:
-    """df with NULL_ID read as null again."""
-    return df.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    """df without no_id, ids null where it is set."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def text_bytes(text: str | None) -> bytes:
@@ -93,14 +148,14 @@ def text_bytes(text: str | None) -> bytes:
 
 
 def chunks(batches: Iterator, limit: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts as bytes) of about `limit` bytes of text each, from pandas batches whose first two columns are id and text."""
+    """(ids, texts as bytes) of about `limit` bytes of text each, from pandas batches of keyed(); a null id is None."""
     ids: list = []
     texts: list[bytes] = []
     size = 0
     for pdf in batches:
-        for i, t in zip(pdf.iloc[:, 0].tolist(), pdf.iloc[:, 1].tolist(), strict=True):
+        for i, none, t in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["text"].tolist(), strict=True):
             b = text_bytes(t)
-            ids.append(i)
+            ids.append(None if none else i)
             texts.append(b)
             size += len(b) + 64
             if size >= limit:
@@ -158,16 +213,39 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of all texts in order, word counts by text).
+#: Bytes of text that are looked at at a time; a longer text is cut at white space.
+SEGMENT = 4 << 20
+_blank = re.compile(rb"[\x20\x09-\x0D]")
 
-    A word is a run of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; `keep` (256 flags)
-    names other bytes that belong to words.
-    """
+
+def segments(text: bytes, limit: int = SEGMENT) -> list[bytes]:
+    """The text cut before white space into parts of about `limit` bytes, more where it has none."""
+    out, last = [], 0
+    while len(text) - last > limit:
+        cut = _blank.search(text, last + limit)
+        if not cut:
+            break
+        out.append(text[last : cut.start()])
+        last = cut.start()
+    return [*out, text[last:]] if last else [text]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts in order, word counts by text): a word is a run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased."""
+    if sum(map(len, texts)) <= 2 * SEGMENT:
+        return _word_hashes(texts)
+    cut = [segments(t) for t in texts]
+    found = [_word_hashes(some) for some in pieces([x for c in cut for x in c], SEGMENT)]
+    owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+    counts = np.concatenate([n for _, n in found])
+    return np.concatenate([h for h, _ in found]), np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     low = _LOWER[data]
-    inside = ~_SPACE[low] if keep is None else keep[low]
+    inside = ~_SPACE[low]
     ends_of = np.cumsum(lens + 1) - 1
     inside[ends_of[ends_of < len(inside)]] = False
     at = np.flatnonzero(inside)
@@ -228,22 +306,22 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     # the partition of a hub with very many links, which it can't behind an aggregate.
     def large(df: DataFrame) -> DataFrame:
         sym = both(df)
-        least = materialize(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name, sweep=False)
-        out = materialize(sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name, sweep=False)
+        least = materialize(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        out = materialize(sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         forget(least)
         return out
 
     def small(df: DataFrame) -> DataFrame:
         """Links already lead from the larger end to the smaller one."""
-        least = materialize(df.groupBy("u").agg(F.min("v").alias("m")), name, sweep=False)
+        least = materialize(df.groupBy("u").agg(F.min("v").alias("m")), name)
         moved = df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        out = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name, sweep=False)
+        out = materialize(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
         forget(least)
         return out
 
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, name, sweep=False)
+    edges = materialize(edges, name)
     before = stats(edges)
     while before[0]:
         wide = large(edges)

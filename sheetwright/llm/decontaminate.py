@@ -1,18 +1,22 @@
 """Benchmark decontamination, DataFrame functions only: size-partitioned MinHash containment search, exact.
 
 An item is the set of its five-word shingles.  Items are partitioned by set size (powers of two); in a partition of
-sizes up to u, an item's signature is its k = u - ceil(t*u) + 1 smallest shingle hashes.  A text that holds at least the
-share t of an item's shingles must hold one of those k, so the search misses nothing, however long the text is.  The
-same broadcast table carries the items' other shingles, so candidates are verified by exact containment in the one
-scan of the texts: no text is shuffled and no second pass is needed.
+sizes up to u, an item's signature is its k = u - ceil(t*u) + 1 first shingles in one order of all shingles: those of fewer
+items come first, then those of smaller hash.  A text that holds at least the share t of an item's shingles must hold one
+of those k, so the search misses nothing, however long the text is.
+
+The texts are probed with the broadcast signatures alone, and no text is shuffled for that.  Only texts that hold a piece
+of a signature are shingled again, to be verified by exact containment of the whole items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shingles of benchmark items that are broadcast at a time (about 100 MB as a hash table); more go in blocks.
+from .common import few, forget, materialize
+
+#: Shingles of items that are broadcast at a time (about 100 MB as a hash table): signatures beyond go in blocks, whole items are joined by a shuffle.
 BLOCK_ROWS = 1_000_000
 
 
@@ -31,11 +35,10 @@ def shingles(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def item_table(items: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(item_id, h, n_item, signature): the items' distinct shingles, and whether each belongs to its item's signature."""
-    from pyspark.sql import Window
-
     own = shingles(items, "item_id", n).distinct()
+    own = own.join(own.groupBy("h").agg(F.count(F.lit(1)).alias("held_by")), "h")
     by = Window.partitionBy("item_id")
-    sized = own.withColumn("n_item", F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy("h")))
+    sized = own.withColumn("n_item", F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy("held_by", "h")))
     upper = F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("long")
     length = upper - F.ceil(upper * num / den).cast("long") + 1
     return sized.select("item_id", "h", "n_item", (F.col("place") <= length).alias("signature"))
@@ -52,22 +55,29 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    table = item_table(wanted, n, num, den)
-    blocks = max(1, -(-table.count() // BLOCK_ROWS))
-    out = None
+    table = materialize(item_table(wanted, n, num, den), "leak-items")
+    signature = table.where("signature").select("item_id", "h")
+    blocks = max(1, -(-signature.count() // BLOCK_ROWS))
+    found = None
     for block in range(blocks):
-        part = table.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else table
-        hits = shingles(texts, "doc_id", n).join(F.broadcast(part), "h").distinct()
-        found = hits.groupBy("doc_id", "item_id").agg(F.max("signature").alias("candidate"), F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"))
-        found = found.where(F.col("candidate") & (F.col("n_shared") * den >= F.col("n_item") * num))
-        out = found if out is None else out.unionAll(found)
-    return out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+        part = signature.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block) if blocks > 1 else signature
+        hits = shingles(texts, "doc_id", n).join(F.broadcast(part), "h").select("doc_id", "item_id")
+        found = hits if found is None else found.unionAll(hits)
+    candidates = materialize(found.distinct(), "leak-candidates")
+    suspects = shingles(texts.join(few(candidates.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", n)
+    items_of = candidates.join(table.drop("signature"), "item_id")
+    shared = suspects.distinct().join(items_of, ["doc_id", "h"])
+    out = shared.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"))
+    out = out.where(F.col("n_shared") * den >= F.col("n_item") * num)
+    out = materialize(out.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")), "leaks")
+    forget(table, candidates)
+    return out
 
 
 def without_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without the rows whose text holds an item; all columns stay, and so do rows with a null doc_id."""
-    bad = contained_items(docs, items, n, num, den).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = contained_items(docs, items, n, num, den).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(few(bad), docs["doc_id"] == bad["_leak"], "left_anti")
 
 
 ORACLE = r"""

@@ -248,5 +248,5 @@ def with_main_text(pages: DataFrame) -> DataFrame:
     """
     prepare(pages.sparkSession)
     extract = F.pandas_udf(_extracted, "string")
-    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
+    columns = [pages[f"`{c}`"] for c in pages.columns if c not in ("text", "n_chars")]
     return pages.select(*columns, extract(F.col("html").cast("string")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

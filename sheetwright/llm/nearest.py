@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import forget, materialize, prepare
 
 #: Bytes of candidates in a slot and of queries in a group, about.
-SLOT_BYTES, GROUP_BYTES = 16 << 20, 8 << 20
+SLOT_BYTES, GROUP_BYTES = 16 << 20, 32 << 20
 #: Rows and columns of a tile.
 TILE = 2048
 #: Products of int8 summed exactly in float32.
@@ -32,7 +32,7 @@ def _blocks(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.Da
 
     def pour(dim: int) -> pd.DataFrame:
         ids, vectors = held.pop(dim)
-        part = int(np.array(ids, dtype=np.uint64).sum() & np.uint64(0x7FFFFFFF))
+        part = int(np.array(ids, dtype=np.int64).sum()) & 0x7FFFFFFF
         return pd.DataFrame([(part, dim, np.array(ids, dtype="<i8").tobytes(), np.stack(vectors).astype("<f8").tobytes())], columns=["part", "dim", "ids", "vectors"])
 
     for pdf in batches:
@@ -43,7 +43,7 @@ def _blocks(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.Da
             if np.isfinite(x).all() and x.any():
                 ids, vectors = held.setdefault(len(x), ([], []))
                 ids.append(int(i))
-                vectors.append(x)
+                vectors.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]))  # a power of two: no cosine changes, and no square overflows
                 if len(ids) >= rows:
                     yield pour(len(x))
     for dim in list(held):
@@ -151,7 +151,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     vectors and queries have vec_id and embedding (an array of numbers); other columns are ignored.  Candidates are all
     rows of another vec_id and of the same length; fewer than k are all returned.  Vectors that are null, empty, zero or
-    hold null or non-finite components, and rows without an id, take no part.  Rows that repeat a vec_id count once, with
+    hold null or non-finite components, and rows without an id, take no part; ids may be negative, components of any size.  Rows that repeat a vec_id count once, with
     the best score.  score is in double precision on the original vectors.
     """
     spark = vectors.sparkSession
@@ -167,4 +167,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     found = candidates.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda key, a, b: _searched(key, a, b, k), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(once.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    forget(*own)
+    return out

@@ -9,10 +9,14 @@ digest of a set's elements in such a subset, so each qualifying pair shares one.
 strangers; a set with more empty signatures than a pair is sure to share signs again under another seed.
 
 Links, not pairs, are wanted: in a signature's group only the pairs with the smallest id are compared exactly, then
-components are found, and groups that still span several components are compared across these, in blocks.  Before texts
-are fetched, a pair must pass an exact lower bound on its difference: bit i of a set's parity map says whether an odd
-number of elements falls into cell i, and two sets differ at least where their maps do (a longer map folds onto a shorter
-one by exclusive or).  No link between different texts is lost.
+components are found.  A pair must first pass an exact lower bound on its difference: bit i of a set's parity map says
+whether an odd number of elements falls into cell i, and two sets differ at least where their maps do (a longer map folds
+onto a shorter one by exclusive or).  Groups that still span several components are opened in two steps, in blocks that meet
+within tasks.  First the maps tell which documents still have a possible partner in another component; what such pairs
+connect within a task becomes a group of its own.  Then the texts of these are sent, their sets are compared, and a task
+gives a forest of true links.  Neither step gives more rows than its tasks hold documents.
+
+No link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, components, forget, keyed, materialize, mix, partitions, prepare, shingle_hashes, sorted_sets, text_bytes, trim_memory, word_hashes
+from .common import bucket_count, chunks, components, forget, keyed, materialize, mix, prepare, shingle_hashes, sorted_sets, text_bytes, trim_memory, word_hashes
 
 #: Sets that differ in at most so many elements are signed by two of three second-level partitions, others by one of two.
 SMALL_K = 16
@@ -32,8 +36,14 @@ SMALL_K = 16
 SEEDS = 12
 #: A signature held by so many documents of one chunk is grouped there; its smallest id alone goes on.
 HEAVY = 64
-#: Documents in a block of a group that is compared across components.
-BLOCK = 512
+#: Documents in a block of a group that is compared across components; bytes of their sets, where these are sent.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Bytes of the input whose signatures share a bucket, and of sets that a task of the last round holds, about.
+BUCKET_BYTES, TASK_BYTES = 32 << 20, 32 << 20
+#: Buckets over which groups with the same smallest id are spread.
+SALTS = 4
+#: Ids in a cell of a group.
+CELL = 1 << 16
 _U = np.uint64
 SCHEMA = "bucket int, kind int, gid long, blob binary"
 DIGEST, SIGNATURE, FLAGGED, SIZES, GROUP, LINK, SAME = range(7)
@@ -115,7 +125,7 @@ def _pack(sig: np.ndarray, doc: np.ndarray) -> bytes:
     """Signatures with ascending ids: differences in as few bytes as hold them."""
     order = np.argsort(doc, kind="stable")
     sig, doc = sig[order], doc[order]
-    step = np.diff(doc, prepend=doc[:1])
+    step = np.diff(doc.view(np.uint64), prepend=doc[:1].view(np.uint64))  # ids may lie over 2^63 apart
     code = next(c for c in "BHIQ" if step.max() <= np.iinfo(c).max)
     return code.encode() + doc[:1].tobytes() + sig.tobytes() + step.astype(code).tobytes()
 
@@ -124,8 +134,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     kind = np.dtype(chr(blob[0]))
     n = (len(blob) - 9) // (8 + kind.itemsize)
     sig = np.frombuffer(blob, dtype=np.uint64, offset=9, count=n)
-    step = np.frombuffer(blob, dtype=kind, offset=9 + 8 * n, count=n).astype(np.int64)
-    return sig, np.cumsum(step) + np.frombuffer(blob, dtype=np.int64, offset=1, count=1)[0]
+    step = np.frombuffer(blob, dtype=kind, offset=9 + 8 * n, count=n).astype(np.uint64)
+    return sig, (np.cumsum(step, dtype=np.uint64) + np.frombuffer(blob, dtype=np.uint64, offset=1, count=1)).view(np.int64)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,13 +192,13 @@ def plausible(maps: np.ndarray, offset: np.ndarray, words: np.ndarray, n: np.nda
     return ok
 
 
-def _signed(batches: Iterator[pd.DataFrame], words: int, num: int, den: int, buckets: int) -> Iterator[pd.DataFrame]:
+def _signed(batches: Iterator[pd.DataFrame], words: int, num: int, den: int, buckets: int, many: int) -> Iterator[pd.DataFrame]:
     for ids, texts in chunks(batches):
         hashes, counts = word_hashes(texts)
         sets = sorted_sets(*shingle_hashes(hashes, counts, words))
         del hashes
-        doc = np.array(ids, dtype=np.int64)
-        real = doc != NULL_ID
+        doc = np.array([i or 0 for i in ids], dtype=np.int64)
+        real = np.array([i is not None for i in ids])
         rows: list[tuple[int, int, int, bytes]] = []
         info = np.zeros(len(ids), dtype=_SIZES)
         info["doc"], info["n"] = doc, [len(s) for s in sets]
@@ -216,7 +226,7 @@ def _signed(batches: Iterator[pd.DataFrame], words: int, num: int, den: int, buc
         order = np.argsort(sig, kind="stable")
         sig, which = sig[order], which[order]
         begin, size = _runs(sig)
-        heavy = np.flatnonzero(size >= HEAVY)
+        heavy = np.flatnonzero(size >= many)
         flagged: list[tuple[int, int]] = []
         keep = np.ones(len(sig), dtype=bool)
         seen: set[bytes] = set()
@@ -266,7 +276,7 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
         order = order[same | np.append(False, same[:-1])]
         links, groups = _groups(sig[order], doc[order], flagged[order])
         rows.append((0, LINK, 0, links))
-        rows += [(0, GROUP, g, b) for g, b in groups]
+        rows += [(0, GROUP, g, b[at : at + 8 * CELL]) for g, b in groups for at in range(0, len(b), 8 * CELL)]
     trim_memory()
     return pd.DataFrame([r for r in rows if r[3]], columns=["bucket", "kind", "gid", "blob"])
 
@@ -373,79 +383,182 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return links
 
 
-def _across(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Of blocks of groups, the pairs of different components that sizes and parity maps don't rule out."""
-    at = pdf.groupby(["doc_id", "map"], sort=False).ngroup().to_numpy()
-    first = np.unique(at, return_index=True)[1]
-    ids = pdf["doc_id"].to_numpy()[first]
-    n, comp = (pdf[c].to_numpy()[first] for c in ("n", "component"))
-    maps, offset, words = _laid([pdf["map"].iloc[i] for i in first])
+def _root(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
+def _pairs_apart(pdf: pd.DataFrame, member: np.ndarray, node: np.ndarray, up: list[int], n: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs of members of different trees and of sizes n that may link, over the blocks (gid, i, j) of pdf, some at a time, each once.
+
+    Trees may grow while this runs: what they join isn't compared any more.
+    """
     side = pdf["side"].to_numpy()
-    _, key = np.unique(pdf[["gid", "i", "j"]].to_numpy(), axis=0, return_inverse=True)
-    order = np.lexsort((side, key.ravel()))
-    at, side, key = at[order], side[order], key.ravel()[order]
+    order = np.lexsort((n[member], side, pdf["j"], pdf["i"], pdf["gid"]))
+    at, side = member[order], side[order]
+    names = pdf[["gid", "i", "j"]].to_numpy()[order]
+    begin = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(axis=1)))
+    tree, most = node.copy(), len(node)
     found: list[np.ndarray] = []
+    seen = np.zeros(0, dtype=np.int64)
     held = 0
 
-    def settle() -> None:
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        found.clear()
-        done.append(both[plausible(maps, offset, words, n, both[:, 0], both[:, 1], num, den)])
+    def fresh() -> np.ndarray:
+        nonlocal seen
+        new = np.setdiff1d(np.concatenate(found), seen)
+        if len(seen) < 1 << 22:
+            seen = np.union1d(seen, new)
+        return np.stack(np.divmod(new, most), axis=1)
 
-    done: list[np.ndarray] = []
-    for b, s in zip(*_runs(key), strict=True):
+    for b, s in zip(begin.tolist(), np.diff(np.append(begin, len(at))).tolist(), strict=True):
         a = at[b : b + s]
-        if side[b + s - 1]:
-            cut = np.searchsorted(side[b : b + s], 1)
-            x, y = np.repeat(a[:cut], s - cut), np.tile(a[cut:], cut)
-        else:
-            x, y = (a[i] for i in np.triu_indices(s, 1))
-        ok = comp[x] != comp[y]
+        t = tree[a]
+        if (t == t[0]).all():
+            continue
+        cut = int(np.searchsorted(side[b : b + s], 1)) if side[b + s - 1] else 0
+        # within a side members ascend by size: each meets those behind it, or of the other side, that aren't too large or too small
+        x, y = (a[:cut], a[cut:]) if cut else (a, a)
+        low = np.searchsorted(n[y], (num * n[x] + den - 1) // den) if cut else np.arange(1, s + 1)
+        high = np.searchsorted(n[y], den * n[x] // num, side="right")
+        count = np.maximum(high - low, 0)
+        left = np.repeat(np.arange(len(x)), count)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + low[left]
+        x, y = x[left], y[right]
+        ok = tree[x] != tree[y]
         x, y = x[ok], y[ok]
-        found.append(np.stack([x, y], axis=1))
+        found.append(np.minimum(x, y) * most + np.maximum(x, y))
         held += len(x)
         if held > 1 << 20:
-            settle()
-            held = 0
-    settle()
-    both = ids[np.concatenate(done)]
+            yield fresh()
+            tree = np.array([_root(up, v) for v in node.tolist()])
+            found, held = [], 0
+    if found:
+        yield fresh()
+
+
+def _members(pdf: pd.DataFrame, what: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(member of each row, first row of each member, node of each member, union-find over nodes): a member is a row's id and `what`, a node its component."""
+    member = pdf.groupby(["doc_id", what], sort=False).ngroup().to_numpy()
+    first = np.unique(member, return_index=True)[1]
+    _, node = np.unique(pdf["component"].to_numpy()[first], return_inverse=True)
+    return member, first, node.ravel(), list(range(int(node.max(initial=-1)) + 1))
+
+
+def _unsure(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """(gid, doc_id, component, n) of what pairs of different components that sizes and parity maps allow connect: a gid for each connected part."""
+    member, first, node, up = _members(pdf, "map")
+    n, ids = pdf["n"].to_numpy()[first], pdf["doc_id"].to_numpy()[first]
+    maps, offset, words = _laid([pdf["map"].iloc[i] for i in first])
+    part = list(range(len(first)))
+    paired = np.zeros(len(first), dtype=bool)
+    for both in _pairs_apart(pdf, member, node, up, n, num, den):
+        both = both[plausible(maps, offset, words, n, both[:, 0], both[:, 1], num, den)]
+        paired[both] = True
+        for x, y in both.tolist():
+            part[_root(part, y)] = _root(part, x)
+    at = np.flatnonzero(paired)
+    gid = np.array([_root(part, x) for x in at.tolist()], dtype=np.int64) + (int(pdf["bucket"].iloc[0]) << 40)
+    trim_memory()
+    return pd.DataFrame({"gid": gid, "doc_id": ids[at], "component": pdf["component"].to_numpy()[first][at], "n": n[at]})
+
+
+def _linked(pdf: pd.DataFrame, words: int, num: int, den: int) -> pd.DataFrame:
+    """A forest over the components of pairs whose texts' sets meet the threshold."""
+    pdf = pdf.assign(text=pdf["text"].fillna(""))
+    member, first, node, up = _members(pdf, "text")
+    sets = sorted_sets(*shingle_hashes(*word_hashes([text_bytes(pdf["text"].iloc[i]) for i in first]), words))
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    maps, offset, wide = _laid([parity_map(x).tobytes() for x in sets])
+    kept: list[tuple[int, int]] = []
+    for both in _pairs_apart(pdf, member, node, up, n, num, den):
+        for x, y in both[plausible(maps, offset, wide, n, both[:, 0], both[:, 1], num, den)].tolist():
+            a, b = _root(up, node[x]), _root(up, node[y])
+            if a != b:
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if common and den * common >= num * (len(sets[x]) + len(sets[y]) - common):
+                    up[b] = a
+                    kept.append((x, y))
+    both = pdf["doc_id"].to_numpy()[first][np.array(kept, dtype=np.int64).reshape(-1, 2)]
+    trim_memory()
     return pd.DataFrame({"u": both.min(axis=1), "v": both.max(axis=1)})
 
 
+def _still_open(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(gid, doc_id, component) of the groups that span several components."""
+    own = groups.select("gid", "doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("gid", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    own = materialize(own, "jaccard-groups")
+    spans = own.groupBy("gid").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gid")
+    out = materialize(own.join(spans, "gid").distinct(), "jaccard-open")
+    forget(own)
+    return out
+
+
+def _blocked(rows: DataFrame, blocks: Column, buckets: int) -> DataFrame:
+    """rows(gid, doc_id ...) in the blocks (gid, i, j) of their groups that meet, with side and bucket; `blocks` is an aggregate by gid.
+
+    Groups with the same smallest id, which tend to be much the same, share a few buckets, so that a pair counts once in
+    them; a document has so many signatures and no more, which bounds a bucket.
+    """
+    size = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lead"), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(blocks, F.lit(1))))).cast("int").alias("blocks"))
+    cut = rows.join(size.where("m > 1").drop("m"), "gid")
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1))
+    return cut.withColumn("bucket", F.pmod(F.xxhash64("lead", "blocks", "i", "j", F.pmod("gid", F.lit(SALTS))), F.lit(buckets))).drop("lead", "blocks", "mine", "other")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found(id, component) after more links(u, v): their ends' components are joined, and ids that had none come in."""
+    ends = links.join(found.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left").join(found.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
+    new = materialize(components(ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), "jaccard-star"), "jaccard-new")
+    renamed = new.select(F.col("id").alias("component"), F.col("component").alias("least"))
+    out = found.join(renamed, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    out = materialize(out.unionAll(new.join(found.select("id"), "id", "left_anti").select("id", "component")), "jaccard-found")
+    forget(new, found)
+    return out
+
+
+def _opened_up(groups: DataFrame, found: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
+    """found with the links of the groups that span several components."""
+    open_ = _still_open(groups, found)
+    maps = sizes.where("doc_id is not null")
+    placed = _blocked(open_, F.count(F.lit(1)) / BLOCK, 4 * buckets).join(maps, "doc_id")
+    rows = materialize(placed.groupBy("bucket").applyInPandas(lambda pdf: _unsure(pdf, num, den), "gid long, doc_id long, component long, n long"), "jaccard-unsure")
+    held = rows.agg(F.sum("n")).first()[0]
+    if held:
+        rows = rows.groupBy("gid", "doc_id", "component").agg(F.max("n").alias("n"))  # an id may stand on several rows
+        wanted = materialize(texts.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "jaccard-texts")
+        placed = _blocked(rows, F.sum("n") * 8 / BLOCK_BYTES, max(buckets, 8 * held // TASK_BYTES)).drop("n").join(wanted, "doc_id")
+        more = materialize(placed.groupBy("bucket").applyInPandas(lambda pdf: _linked(pdf, words, num, den), "u long, v long").distinct(), "jaccard-links")
+        found = _merged(found, more)
+        forget(more, wanted)
+    forget(open_)
+    return found
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text); other columns are ignored.
 
     Words are runs of `[^\\x20\\x09-\\x0D]`, A-Z lower-cased; a text of fewer than `words` words is one shingle; null and
     empty texts have none and link with nothing.  Rows link when intersection * den >= union * num; component_id is the
     smallest doc_id reachable.  Rows that repeat a doc_id come out once each, in one component; a null doc_id links with
-    nothing and has a null component.  An empty table gives an empty result.
+    nothing and has a null component.  An empty table gives an empty result.  A text and its set are held whole in a task,
+    some 40 bytes for a byte of text.
     """
     spark = docs.sparkSession
     prepare(spark)
-    buckets = 2 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = keyed(docs).mapInPandas(lambda it: _signed(it, words, num, den, buckets), SCHEMA)
+    buckets = bucket_count(docs, BUCKET_BYTES)
+    signed = keyed(docs).mapInPandas(lambda it: _signed(it, words, num, den, buckets, HEAVY), SCHEMA)
     met = materialize(signed.groupBy("bucket").applyInPandas(_met, SCHEMA), "jaccard-met")
-    sizes, groups = _open(met, SIZES), _open(met, GROUP)
+    sizes = _open(met, SIZES)
     texts = docs.where("doc_id is not null")
-    links = _verified(_filtered(_leading(met, buckets), sizes, num, den), texts, words, num, den).unionAll(_open(met, SAME))
-    found = materialize(components(links, "jaccard-star"), "jaccard-found")
-    # groups that still span components
-    labelled = groups.join(found, groups.doc_id == found.id, "left").select("gid", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    labelled = materialize(labelled, "jaccard-groups")
-    spans = labelled.groupBy("gid").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b").select("gid", "m")
-    open_ = materialize(labelled.join(spans, "gid").distinct(), "jaccard-open")
-    forget(labelled)
-    if not open_.isEmpty():
-        blocks = open_.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = other.select("gid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component")
-        placed = placed.join(sizes.where("doc_id is not null"), "doc_id").withColumn("bucket", F.pmod(F.xxhash64("gid", "i", "j"), F.lit(4 * buckets)))
-        across = placed.groupBy("bucket").applyInPandas(lambda pdf: _across(pdf, num, den), "u long, v long").distinct()
-        more = _verified(across, texts, words, num, den)
-        links = more.unionAll(found.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        found = materialize(components(links, "jaccard-all"), "jaccard-found")
-    forget(open_)
+    verified = _verified(_filtered(_leading(met, buckets), sizes, num, den), texts, words, num, den)
+    found = materialize(components(verified.unionAll(_open(met, SAME)), "jaccard-star"), "jaccard-found")
+    forget(verified)
+    groups = materialize(_open(met, GROUP), "jaccard-groups")
+    found = _opened_up(groups, found, sizes, texts, words, num, den, buckets)
     out = sizes.join(found, sizes.doc_id == found.id, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -455,5 +568,5 @@ def one_per_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
 
     Rows without words and rows with a null doc_id stay.  Rows that repeat one doc_id stay or go together.
     """
-    drop = jaccard_components(docs, words, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = jaccard_components(docs, words, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(drop, docs["doc_id"] == drop["_copy"], "left_anti")

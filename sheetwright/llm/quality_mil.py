@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import bounded_sample, prepare, text_bytes
 
 #: Labelled rows to learn from at most: those of the smallest hashes of their id.
 TRAIN_ROWS = 6_000
+#: Bytes of their texts at most: the sample ends before the first text that doesn't fit.
+TRAIN_BYTES = 64 << 20
 #: Words in a passage; a text's last passage may be shorter.
 PASSAGE = 48
 WIDTH, GATE = 24, 16
@@ -185,16 +187,16 @@ def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> Attention:
-    """Fit on labelled(doc_id, y): at most `rows` of them, those of the smallest hash of doc_id, in one task."""
-    some = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # the sample has at most `rows` rows of two numbers, so it may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").repartition(1)
+    """Fit on labelled(doc_id, y): at most `rows` of them and TRAIN_BYTES of text, those of the smallest hash of doc_id, in one task."""
+    texts = bounded_sample(docs, labelled, rows, TRAIN_BYTES).repartition(1)
     got = texts.mapInPandas(_fitted, "model binary").collect()
     return Attention.load(bytes(got[0][0])) if got else Attention().fit([], np.zeros(0))
 
 
-def with_quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with `score` (double, 0 to 1) and `predicted` (int, 1 if score >= threshold); all other columns stay.
+def with_quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, rows: int = TRAIN_ROWS, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with `score` (double, 0 to 1) and `predicted` (int, 1 if score >= threshold), or other `names`; all other columns stay.
+
+    Columns that have these names already are replaced.
 
     labelled(doc_id, y) holds the labels to learn from, y = 1 for good texts; of repeated labels of one id the larger
     counts.  Only texts are inputs of a score: null texts count as empty, and empty ones are a bag of one empty passage.
@@ -209,5 +211,6 @@ def with_quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, r
         for s in batches:
             yield pd.Series(model.scores([text_bytes(t) for t in s]), index=s.index, dtype="float64")
 
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*columns, score(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    first, second = names
+    columns = [docs[f"`{c}`"] for c in docs.columns if c not in names]
+    return docs.select(*columns, score(docs["text"].cast("string")).alias(first)).withColumn(second, (F.col(first) >= threshold).cast("int"))

@@ -12,8 +12,9 @@ place that its content alone decides, and a string that repeats holds an anchor
                 sorting; shared prefixes of neighbours in both orders tell which strings around the anchors are equal;
 5. `_removed`   each chunk gets the starts of its repeated strings and cuts what they cover.
 
-Chunks are rows of a table in the shared folder, so steps 1, 3 and 5 see the same ones.  An anchor hash with very many
-different surroundings is dealt out by the digests of the strings around it instead (`HOT`): no bucket meets them all.
+Chunks are rows of a table in the shared folder, so steps 1, 3 and 5 see the same ones.  The strings around an anchor hash
+with very many different surroundings (`HOT`) are dealt out by their content, so that no bucket meets them all, and each
+bucket orders its share by deep-shallow sorting too.
 """
 
 from __future__ import annotations
@@ -23,15 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import NULL_ID, chunks, forget, materialize, mix, partitions, prepare, trim_memory, unkeyed
+from .common import bucket_count, forget, keyed, materialize, mix, prepare, trim_memory, unkeyed
 
 CHUNK = 2 << 20
-#: Different surroundings of an anchor hash beyond which its strings are dealt out by digest.
+#: Starts of strings whose anchors are looked for at a time, whatever a text's length.
+SEGMENT = 4 << 20
+#: Bytes of the input whose anchors share a bucket, about.
+BUCKET_BYTES = 16 << 20
+#: Occurrences of an anchor hash beyond which the strings around it are dealt out by their content.
 HOT = 4096
 #: Bytes that multikey quicksort looks at; what still ties is left to blind tries.
 SHALLOW = 32
@@ -40,7 +47,7 @@ _BUCKETS = "kind int, bucket int, chunk long, blob binary"
 _DUPS = np.dtype([("doc", "<u4"), ("pos", "<u4"), ("bits", "<u8")])
 _ODD = 0x2545F4914F6CDD1D
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-SUFFIX, DIGEST, LOCAL = range(3)
+SUFFIX, WINDOW, LOCAL = range(3)
 _power: dict[int, np.ndarray] = {}
 
 
@@ -61,28 +68,50 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 # --- chunks
 
 
-def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, no_id, text, others ...) in chunks of about CHUNK bytes of text; the others travel as an Arrow stream."""
     part = TaskContext.get().partitionId()
-    carried: list = []
-
-    def noted() -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            carried.extend(pdf["carry"])
-            yield pdf
-
-    for at, (ids, texts) in enumerate(chunks(noted(), CHUNK)):
-        docs = np.array(ids, dtype="<i8")
-        lens = np.array([len(t) for t in texts], dtype="<i8")
-        notes = _pack("\x1e".join(carried[: len(ids)]).encode("utf-8", "replace"))  # JSON has no bare control characters
-        del carried[: len(ids)]
-        yield pd.DataFrame([((part << 32) + at, len(docs), _pack(docs.tobytes() + lens.tobytes() + b"".join(texts), 5), notes)], columns=["chunk", "n", "blob", "notes"])
+    held: list[pa.RecordBatch] = []
+    number = size = 0
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        texts = [x or b"" for x in t["text"].cast(pa.large_binary()).to_pylist()]
+        docs = t["doc_id"].to_numpy().astype("<i8")
+        lens = np.array([len(x) for x in texts], dtype="<i8")
+        real = (~t["no_id"].to_numpy().astype(bool)).astype(np.uint8)
+        sink = pa.BufferOutputStream()
+        notes = t.drop_columns(["doc_id", "no_id", "text"])
+        with pa.ipc.new_stream(sink, notes.schema) as out:
+            out.write_table(notes)
+        blob = _pack(docs.tobytes() + lens.tobytes() + real.tobytes() + b"".join(texts), 5)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(part << 32) + number], pa.int64()), pa.array([len(docs)], pa.int32()), pa.array([blob], pa.binary()), pa.array([_pack(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "n", "blob", "notes"]
+        )
+
+    for batch in batches:
+        lens = [len(x or b"") + 64 for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+        last = 0
+        for at, n in enumerate(lens, 1):
+            size += n
+            if size >= CHUNK:
+                held.append(batch.slice(last, at - last))
+                yield flush()
+                last, size, number = at, 0, number + 1
+                held.clear()
+                trim_memory()
+        if last < len(lens):
+            held.append(batch.slice(last))
+    if held:
+        yield flush()
+    trim_memory()
 
 
-def _read_chunk(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, ends, bytes) of a chunk's texts."""
+def _read_chunk(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, flags of real ids, ends, bytes) of a chunk's texts."""
     raw = _unpack(blob)
     docs, lens = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n)
-    return docs, np.cumsum(lens), np.frombuffer(raw, np.uint8, offset=16 * n)
+    return docs, np.frombuffer(raw, np.uint8, n, 16 * n), np.cumsum(lens), np.frombuffer(raw, np.uint8, offset=17 * n)
 
 
 # --- anchors
@@ -96,11 +125,25 @@ def _powers(n: int, base: int) -> np.ndarray:
     return _power[base][:n]
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(places, hashes of the half-length strings there, first and last starts of the strings that they stand for).
 
-    Each string of `length` bytes within one text has one anchor; those of an anchor start one after the other.
+    Each string of `length` bytes within one text has one anchor; those of an anchor start one after the other.  Long
+    data is searched in segments of starts, so that memory stays bounded; an anchor may come out of two of them, each
+    time with its own starts.
     """
+    if len(data) <= segment + length:
+        return _anchors(data, ends, length)
+    found = []
+    for a in range(0, len(data), segment):
+        some = data[a : a + segment + length - 1]
+        low, high = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, a + len(some)) + 1
+        at, h, first, last = _anchors(some, np.clip(ends[low:high] - a, 0, len(some)), length)
+        found.append((at + a, h, first + a, last + a))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     k = length // 2
     w = length - k + 1
     lens = np.diff(ends, prepend=0)
@@ -138,7 +181,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 def _anchored(batches: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for chunk, n, blob in zip(pdf["chunk"], pdf["n"], pdf["blob"], strict=True):
-            _, ends, data = _read_chunk(n, blob)
+            _, _, ends, data = _read_chunk(n, blob)
             h, count = np.unique(anchors(data, ends, length)[1], return_counts=True)
             to = (mix(h) % _U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -173,7 +216,7 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _entry(length: int) -> np.dtype:
     k = length // 2
-    return np.dtype([("h", "<u8"), ("id", "<i8"), ("chunk", "<i8"), ("doc", "<u4"), ("pos", "<u4"), ("before", "<u2"), ("after", "<u2"), ("text", "u1", length - k + length)])
+    return np.dtype([("h", "<u8"), ("real", "u1"), ("id", "<i8"), ("chunk", "<i8"), ("doc", "<u4"), ("pos", "<u4"), ("before", "<u2"), ("after", "<u2"), ("text", "u1", length - k + length)])
 
 
 def _starts(before: np.ndarray, after: np.ndarray, length: int) -> np.ndarray:
@@ -195,7 +238,7 @@ def _suffixes(chunk_df: pd.DataFrame, repeats: pd.DataFrame, length: int, bucket
         hot = np.concatenate([np.frombuffer(b, np.uint8, len(b) // 9, 8 * (len(b) // 9)) for b in repeats["blob"]])
         order = np.argsort(known)
         known, hot = known[order], hot[order]
-        ids, ends, data = _read_chunk(n, blob)
+        ids, real, ends, data = _read_chunk(n, blob)
         at, h, first_start, last_start = anchors(data, ends, length)
         found = np.minimum(np.searchsorted(known, h), len(known) - 1)
         use = known[found] == h
@@ -203,13 +246,13 @@ def _suffixes(chunk_df: pd.DataFrame, repeats: pd.DataFrame, length: int, bucket
         doc = np.searchsorted(ends, at, side="right")
         begin = ends[doc] - np.diff(ends, prepend=0)[doc]
         out = np.zeros(len(at), dtype=_entry(length))
-        out["h"], out["id"], out["chunk"], out["doc"], out["pos"] = h, ids[doc], chunk, doc, at - begin
+        out["h"], out["real"], out["id"], out["chunk"], out["doc"], out["pos"] = h, real[doc], ids[doc], chunk, doc, at - begin
         # what the strings of an anchor cover, no more
         out["before"], out["after"] = at - first_start, last_start + length - at
         place = at[:, None] + np.arange(-reach, length)
         ok = (place >= first_start[:, None]) & (place < last_start[:, None] + length)
         out["text"] = np.where(ok, data[np.clip(place, 0, max(len(data) - 1, 0))], 0) if len(at) else out["text"]
-        order = np.lexsort((out["pos"], out["doc"], out["id"]))
+        order = np.lexsort((out["pos"], out["doc"], out["id"], out["real"]))
         out, hot = out[order], hot[order]
         # of equal surroundings the first goes on; the others' strings all start earlier
         first: dict[bytes, None] = {}
@@ -232,11 +275,12 @@ def _suffixes(chunk_df: pd.DataFrame, repeats: pd.DataFrame, length: int, bucket
     return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "blob"])
 
 
-_WINDOW = np.dtype([("digest", "S16"), ("id", "<i8"), ("chunk", "<i8"), ("doc", "<u4"), ("pos", "<u4")])
+def _window(length: int) -> np.dtype:
+    return np.dtype([("real", "u1"), ("id", "<i8"), ("chunk", "<i8"), ("doc", "<u4"), ("pos", "<u4"), ("text", "u1", length)])
 
 
 def _dealt(far: np.ndarray, chunk: int, length: int, buckets: int) -> list[tuple]:
-    """Every string around hot anchors by its digest; of equal ones of the chunk, the first goes on."""
+    """Every string around hot anchors, to a bucket that its content decides; of equal ones of the chunk, the first goes on."""
     reach = length - length // 2
     first: dict[bytes, tuple] = {}
     local: list[tuple] = []
@@ -247,18 +291,22 @@ def _dealt(far: np.ndarray, chunk: int, length: int, buckets: int) -> list[tuple
             if (doc, pos - j) in done:
                 continue
             done.add((doc, pos - j))
-            key = hashlib.blake2b(text[reach - j : reach - j + length], digest_size=16).digest()
-            mine = (int(e["id"]), chunk, doc, pos - j)
+            key = text[reach - j : reach - j + length]
+            mine = (int(e["real"]), int(e["id"]), chunk, doc, pos - j)
             old = first.setdefault(key, mine)
             if old != mine:
                 if mine < old:
                     first[key], mine = mine, old
-                local.append((mine[2], mine[3], 1))
+                local.append((mine[3], mine[4], 1))
     rows = [(LOCAL, int(chunk) % buckets, chunk, _pack(np.array(local, dtype=_DUPS).tobytes()))] if local else []
-    by: dict[int, list] = {}
-    for key, v in first.items():
-        by.setdefault(int.from_bytes(key[:6], "little") % buckets, []).append((key, *v))
-    return rows + [(DIGEST, to, chunk, np.array(v, dtype=_WINDOW).tobytes()) for to, v in by.items()]
+    out = np.zeros(len(first), dtype=_window(length))
+    out["text"] = np.frombuffer(b"".join(first), np.uint8).reshape(-1, length)
+    for k, name in enumerate(("real", "id", "chunk", "doc", "pos")):
+        out[name] = [v[k] for v in first.values()]
+    digest = np.frombuffer(b"".join(hashlib.blake2b(key, digest_size=8).digest() for key in first), "<u8")
+    to = (digest % _U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return rows + [(WINDOW, int(to[order[b]]), chunk, _pack(out[order[b:e]].tobytes())) for b, e in _runs(to[order])]
 
 
 # --- deep-shallow sorting
@@ -415,18 +463,23 @@ def repeated_starts(e: np.ndarray, length: int) -> np.ndarray:
 def _sorted(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     rows = [(LOCAL, 0, c, b) for k, c, b in zip(pdf["kind"], pdf["chunk"], pdf["blob"], strict=True) if k == LOCAL]
     suffixes = list(pdf["blob"][pdf["kind"] == SUFFIX])
-    windows = list(pdf["blob"][pdf["kind"] == DIGEST])
+    windows = list(pdf["blob"][pdf["kind"] == WINDOW])
     del pdf
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if suffixes:
         e = np.concatenate([np.frombuffer(_unpack(b), _entry(length)) for b in suffixes])
-        e = e[np.lexsort((e["pos"], e["doc"], e["chunk"], e["id"]))]
-        bits = repeated_starts(e, length)
-        found.append((e, bits))
+        e = e[np.lexsort((e["pos"], e["doc"], e["chunk"], e["id"], e["real"]))]
+        found.append((e, repeated_starts(e, length)))
     if windows:
-        e = np.concatenate([np.frombuffer(b, _WINDOW) for b in windows])
-        e = e[np.lexsort((e["pos"], e["doc"], e["chunk"], e["id"], e["digest"]))]
-        found.append((e, np.append(False, e["digest"][1:] == e["digest"][:-1]).astype(np.uint64)))
+        e = np.concatenate([np.frombuffer(_unpack(b), _window(length)) for b in windows])
+        e = e[np.lexsort((e["pos"], e["doc"], e["chunk"], e["id"], e["real"]))]
+        order, shared = deep_shallow_sort(np.ascontiguousarray(e["text"]), np.zeros(len(e), dtype=np.int64))
+        same = np.empty(len(e), dtype=np.int64)
+        same[order] = np.cumsum(shared < length)
+        order = np.argsort(same, kind="stable")  # of equal strings the first in the corpus leads
+        later = np.zeros(len(e), dtype=np.uint64)
+        later[order[np.append(False, np.diff(same[order]) == 0)]] = 1
+        found.append((e, later))
     for e, bits in found:
         e, bits = e[bits > 0], bits[bits > 0]
         order = np.argsort(e["chunk"], kind="stable")
@@ -451,26 +504,31 @@ def covered(ends: np.ndarray, total: int, dups: np.ndarray, length: int) -> np.n
     at = np.flatnonzero(hit)
     step[at] += 1
     step[at + length] -= 1
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
-def _removed(chunk_df: pd.DataFrame, dups: pd.DataFrame, length: int, texts: bool, whole: bool) -> pd.DataFrame:
-    rows = []
-    for n, blob, notes in zip(chunk_df["n"], chunk_df["blob"], chunk_df["notes"], strict=True):
-        ids, ends, data = _read_chunk(n, blob)
-        carry = _unpack(notes).decode().split("\x1e")
-        d = np.frombuffer(b"".join(_unpack(b) for b in dups["blob"]), _DUPS)
+def _removed(chunks: pa.Table, dups: pa.Table, length: int, texts: bool, whole: bool) -> pa.Table:
+    out = []
+    d = np.frombuffer(b"".join(_unpack(b) for b in dups["blob"].to_pylist()), _DUPS)
+    for n, blob, notes in zip(chunks["n"].to_pylist(), chunks["blob"].to_pylist(), chunks["notes"].to_pylist(), strict=True):
+        ids, real, ends, data = _read_chunk(n, blob)
         gone = covered(ends, len(data), d, length)
         begin = np.append(0, ends[:-1])
-        for i, b, e, note in zip(ids.tolist(), begin.tolist(), ends.tolist(), carry, strict=True):
+        rows = []
+        for b, e in zip(begin.tolist(), ends.tolist(), strict=True):
             g = gone[b:e]
             cut = int(g.sum())
             kept = data[b:e][~g].tobytes() if cut else data[b:e].tobytes()
             if whole and cut:
                 kept = kept.decode("utf-8", "ignore").encode()
             spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (e > b and g[0])) if cut else 0
-            rows.append((i, e - b, cut, spans, kept if texts else hashlib.sha256(kept).hexdigest(), note))
-    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carry"])
+            rows.append((e - b, cut, spans, kept if texts else hashlib.sha256(kept).hexdigest()))
+        size, cut, spans, kept = zip(*rows, strict=True)
+        carried = pa.ipc.open_stream(_unpack(notes)).read_all()
+        own = [pa.array(ids), pa.array(real == 0), *(pa.array(x, pa.int64()) for x in (size, cut, spans)), pa.array(kept, pa.binary() if texts else pa.string())]
+        out.append(pa.table([*own, *carried.columns], names=["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept", *carried.column_names]))
+    trim_memory()
+    return pa.concat_tables(out)
 
 
 def _trimmed(f, sides: int):
@@ -489,24 +547,24 @@ def _trimmed(f, sides: int):
     return one if sides == 1 else two
 
 
-def _run(docs: DataFrame, length: int, texts: bool, carry: list[str] | None = None) -> DataFrame:
+def _run(docs: DataFrame, length: int, texts: bool, others: list[Column] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, _0, _1 ...): the other columns come out by number."""
     if not 16 <= length <= 126:
         raise ValueError("length must lie between 16 and 126")
-    spark = docs.sparkSession
-    prepare(spark)
-    buckets = 2 * partitions(spark)
-    notes = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")).alias("doc_id"), F.col("text").cast("string").alias("text"), notes.alias("carry"))
-    table = materialize(rows.mapInPandas(_chunked, "chunk long, n int, blob binary, notes binary"), "dedup-chunks")
+    prepare(docs.sparkSession)
+    buckets, whole = bucket_count(docs, BUCKET_BYTES), others is not None
+    carried = docs.select(*[c.alias(f"_{k}") for k, c in enumerate(others or [])])
+    rows = keyed(docs, *[c.alias(f"_{k}") for k, c in enumerate(others or [])])
+    table = materialize(rows.mapInArrow(_chunked, "chunk long, n int, blob binary, notes binary"), "dedup-chunks")
     work = table.drop("notes")
     heads = work.mapInPandas(lambda it: _anchored(it, length, buckets), _BUCKETS)
     repeats = materialize(heads.groupBy("bucket").applyInPandas(_repeats, _BUCKETS), "dedup-repeats")
     sent = work.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInPandas(_trimmed(lambda a, b: _suffixes(a, b, length, buckets), 2), _BUCKETS)
     dups = materialize(sent.groupBy("bucket").applyInPandas(_trimmed(lambda a: _sorted(a, length), 1), _BUCKETS), "dedup-starts")
     forget(repeats)
-    kept = "binary" if texts else "string"
-    out = table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInPandas(_trimmed(lambda a, b: _removed(a, b, length, texts, bool(carry)), 2), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, carry string")
-    return unkeyed(out)
+    schema = StructType.fromDDL(f"doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")
+    schema = StructType([*schema.fields, *carried.schema.fields])
+    return unkeyed(table.groupBy("chunk").cogroup(dups.groupBy("chunk")).applyInArrow(lambda a, b: _removed(a, b, length, texts, whole), schema))
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -515,14 +573,15 @@ def repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     Texts are UTF-8 bytes, null ones empty; strings never cross texts.  A byte goes when a `length`-byte string that
     covers it also starts earlier: in a row of a smaller doc_id, or in the same text.  A null doc_id counts as the
     smallest; rows that share one are taken in the order in which they were read, so of equal rows one stays whole.
-    Other columns are ignored; an empty table gives an empty result.
+    Other columns are ignored; an empty table gives an empty result.  A text is held whole, anchors are looked for in
+    segments of it.
     """
-    return _run(docs, length, True).drop("carry")
+    return _run(docs, length, True)
 
 
 def repeated_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """As repeated_bytes(), with kept_sha256 in place of the bytes."""
-    return _run(docs, length, False).withColumnRenamed("kept", "kept_sha256").drop("carry")
+    return _run(docs, length, False).withColumnRenamed("kept", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -532,12 +591,11 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     has n_chars, it is counted again for texts that were cut.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keep = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").isNull().alias("_no_text"))
-    found = _run(docs.withColumn("_no_text", F.col("text").isNull()), length, True, [*others, "_no_text"])
-    found = found.where("n_removed = 0 or n_removed < n_bytes").withColumn("carry", F.from_json("carry", keep.schema))
-    text = F.when(F.col("carry._no_text"), None).otherwise(F.col("kept").cast("string"))
-    found = found.select("doc_id", text.alias("text"), "n_removed", "carry.*")
-    if "n_chars" in others:
-        kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *[c for c in docs.columns if c != "doc_id"]).select(*docs.columns)
+    found = _run(docs, length, True, [*[docs[f"`{c}`"] for c in others], docs["text"].isNull()])
+    found = found.where("n_removed = 0 or n_removed < n_bytes")
+    new = {c: F.col(f"_{k}") for k, c in enumerate(others)}
+    new["text"] = F.when(~F.col(f"_{len(others)}"), F.col("kept").cast("string"))
+    new["doc_id"] = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return found.select(*[new[c].alias(c) for c in docs.columns])

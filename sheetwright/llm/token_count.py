@@ -101,7 +101,7 @@ def _counted(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
             if size >= BATCH or at == len(texts):
                 counts += count_tokens(vocab, memo, texts[begin:at])
                 begin, size = at, 0
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": counts})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_bytes": [len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": counts})
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
@@ -113,5 +113,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     spark = docs.sparkSession
     prepare(spark)
     shared = read_shared(spark, vocabulary)
-    out = keyed(docs).mapInPandas(lambda it: _counted(it, shared, vocabulary), "doc_id long, n_bytes long, n_tokens long")
+    out = keyed(docs).mapInPandas(lambda it: _counted(it, shared, vocabulary), "doc_id long, no_id boolean, n_bytes long, n_tokens long")
     return unkeyed(out).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _power_table, chunks, mix, pieces, prepare, text_bytes
+from .common import _LOWER, _power_table, bounded_sample, chunks, mix, pieces, prepare, text_bytes
 
 #: Labelled rows that the evidence is weighed on at most: those of the smallest hashes of their id.
 TRAIN_ROWS = 20_000
+#: Bytes of their texts at most: the sample ends before the first text that doesn't fit.
+TRAIN_BYTES = 128 << 20
 #: Texts with a piece of evidence that the model keeps must number so many.
 LEAST_TEXTS = 3
 _U = np.uint64
@@ -59,7 +61,7 @@ def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def letter_model(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b) at [a, b, c]: trigram counts over all texts (at most 28^3 cells reach the driver), backed off by bigrams and letters."""
-    rows = docs.select(F.lit(0).alias("id"), "text").mapInPandas(_trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.lit(0).alias("doc_id"), F.lit(False).alias("no_id"), F.col("text").cast("string").alias("text")).mapInPandas(_trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(_LETTERS**3)
     for cell, count in rows:
         n[cell] = count
@@ -336,10 +338,8 @@ def _fitted(batches: Iterator[pd.DataFrame], logp: np.ndarray) -> Iterator[pd.Da
 
 
 def train(docs: DataFrame, labelled: DataFrame, logp: np.ndarray, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on labelled(doc_id, y): at most `rows` of them, those of the smallest hash of doc_id, in one task."""
-    some = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # the sample has at most `rows` rows of two numbers, so it may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").repartition(1)
+    """Fit on labelled(doc_id, y): at most `rows` of them and TRAIN_BYTES of text, those of the smallest hash of doc_id, in one task."""
+    texts = bounded_sample(docs, labelled, rows, TRAIN_BYTES).repartition(1)
     got = texts.mapInPandas(lambda it: _fitted(it, logp), "keys binary, weights binary, beta binary, rate double").collect()
     if not got:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), None, 0.0)
@@ -347,8 +347,10 @@ def train(docs: DataFrame, labelled: DataFrame, logp: np.ndarray, rows: int = TR
     return Model(np.frombuffer(r[0], "<u8"), np.frombuffer(r[1], "<f8"), np.frombuffer(r[2], "<f8") if r[2] else None, r[3])
 
 
-def with_toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with `score` (double, 0 to 1) and `predicted` (int, 1 if score >= threshold); all other columns stay.
+def with_toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7, rows: int = TRAIN_ROWS, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with `score` (double, 0 to 1) and `predicted` (int, 1 if score >= threshold), or other `names`; all other columns stay.
+
+    Columns that have these names already are replaced.
 
     labelled(doc_id, y) holds the labels to learn from, y = 1 for toxic texts; of repeated labels of one id the larger
     counts.  Only texts are inputs of a score: null texts count as empty, and any text without letters gets the score of
@@ -365,8 +367,9 @@ def with_toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7,
             found = [model.scores(restorer.restore(some)) for some in pieces([text_bytes(t) for t in s])]
             yield pd.Series(np.concatenate([np.zeros(0), *found]), index=s.index)
 
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*columns, score(F.col("text").cast("string")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    first, second = names
+    columns = [docs[f"`{c}`"] for c in docs.columns if c not in names]
+    return docs.select(*columns, score(docs["text"].cast("string")).alias(first)).withColumn(second, (F.col(first) >= threshold).cast("int"))
 
 
 def learned_rows(labels: DataFrame, column: str, modulus: int, kept_out: int) -> DataFrame:

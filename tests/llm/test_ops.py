@@ -119,17 +119,57 @@ def test_pairs_share_a_signature(num, den):
                 assert ngram_jaccard.plausible(maps, off, words, np.array([len(a), len(b)]), np.array([0]), np.array([1]), num, den).all()
 
 
-def test_heavy_groups_and_across():
-    """Groups made within chunks and the search across components give what all pairs give."""
-    r = np.random.default_rng(3)
-    base = r.integers(0, 2**63, 60).astype(np.uint64)
-    sets = [np.unique(np.append(base[int(k) :], r.integers(0, 2**63, 3).astype(np.uint64))) for k in r.integers(0, 9, 150)]
-    sig, doc = ngram_jaccard.signatures(sets, 85, 100)
-    order = np.argsort(sig, kind="stable")
-    _, size = ngram_jaccard._runs(sig[order])
-    assert size.max() >= ngram_jaccard.HEAVY
-    links, groups = ngram_jaccard._groups(sig, doc, np.zeros(len(sig), dtype=bool))
-    assert links and groups
+@pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100)])
+def test_heavy_and_split_groups(spark, monkeypatch, n, num, den):
+    """Groups made within chunks, groups in blocks and groups that span components give what all pairs give."""
+    monkeypatch.setattr(ngram_jaccard, "HEAVY", 3)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_BYTES", 3000)
+    r = random.Random(n)
+    rows = []
+    for k in range(4):  # windows that move along a text: neighbours link, others don't
+        line = r.choices(WORDS, k=260)
+        rows += [" ".join(line[at : at + 90]) for at in range(0, 160, (3, 6, 9, 12)[k])]
+        base = line[:90]  # copies with a word changed each, most of them too far from the smallest id
+        rows += [" ".join([*base[: at % 90], f"x{at}", *base[at % 90 + 1 :], *([f"y{at}"] * (at % 17))]) for at in range(60)]
+    ids = [r.randrange(-(2**63), 2**63) for _ in rows]
+    rows = list(zip(ids, rows, strict=True))
+    sets = shingle_sets(rows, n)
+    want = classes(sets, num, den)
+    assert 4 < len(set(want.values())) < len(rows)
+    opened = []
+    monkeypatch.setattr(ngram_jaccard, "_merged", lambda *a, f=ngram_jaccard._merged: opened.append(1) or f(*a))
+    got = {x[0]: (x[1], x[2]) for x in ngram_jaccard.jaccard_components(documents(spark, rows), n, num, den).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    assert opened
+
+
+def test_open_groups_give_no_more_rows_than_members():
+    """Of 300 sets that all link, a task gives a forest, not the pairs."""
+    words = [f"w{k}" for k in range(120)]
+    text = [" ".join([*words, f"own{k}"]) for k in range(300)]
+    sets = [np.unique(ngram_jaccard.shingle_hashes(*ngram_jaccard.word_hashes([t.encode()]), 4)[0]) for t in text]
+    frame = pd.DataFrame({"gid": 5, "i": 0, "j": 0, "side": 0, "bucket": 3, "doc_id": range(300), "component": range(300), "n": [len(x) for x in sets], "map": [ngram_jaccard.parity_map(x).tobytes() for x in sets], "text": text})
+    twice = pd.concat([frame, frame.assign(gid=6)])
+    members = ngram_jaccard._unsure(twice, 85, 100)
+    assert len(members) == 300 and members["gid"].nunique() == 1
+    links = ngram_jaccard._linked(twice.drop(columns=["n", "map"]), 4, 85, 100)
+    assert len(links) == 299 and set(links["u"]) | set(links["v"]) == set(range(300))
+
+
+def test_ids_far_apart():
+    ids = np.array([-6917529027641081861, 6917529027641081856, -(2**63), 2**63 - 1, 0], dtype=np.int64)
+    sig = np.arange(5, dtype=np.uint64)
+    got = ngram_jaccard._unpack(ngram_jaccard._pack(sig, ids))
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(sig.tolist(), ids.tolist(), strict=True))
+
+
+def test_the_smallest_id_is_an_id(spark):
+    low = -(2**63)
+    df = documents(spark, [(low, "a b c d e"), (None, "a b c d e"), (2**63 - 1, "a b c d e")])
+    assert sorted(map(tuple, ngram_jaccard.jaccard_components(df).collect()), key=repr) == sorted([(low, 2, low), (2**63 - 1, 2, low), (None, 2, None)], key=repr)
+    for out in (suffix_dedup.repeated_digests(df), token_count.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")), bpe_codec.bpe_digests(df, public_tokenizers.path("word_bpe_49k.json"))):
+        assert {r["doc_id"] for r in out.collect()} == {low, 2**63 - 1, None}
 
 
 def test_components(spark):
@@ -534,31 +574,58 @@ def test_repeats_edges(spark):
     assert got[3]["text"] is None and got[4]["text"] == "short" and got[5]["text"].endswith("é tail") and got[5]["n"] == 7
 
 
-def test_hot_anchors_by_digest():
-    """The way of hot anchors finds what sorting finds."""
-    r = random.Random(6)
-    phrase = "".join(r.choice("abcdef ") for _ in range(60))
-    texts_ = [("".join(r.choice("xyz") for _ in range(9)) + phrase + "".join(r.choice("xyz") for _ in range(20))).encode() for _ in range(12)]
-    data = np.frombuffer(b"".join(texts_), np.uint8)
-    ends = np.cumsum([len(t) for t in texts_])
-    at, h, first, last = suffix_dedup.anchors(data, ends, 20)
-    doc = np.searchsorted(ends, at, side="right")
-    begin = ends[doc] - np.array([len(t) for t in texts_])[doc]
-    e = np.zeros(len(at), dtype=suffix_dedup._entry(20))
-    e["h"], e["id"], e["doc"], e["pos"] = h, doc, doc, at - begin
-    e["before"], e["after"] = at - first, last + 20 - at
-    for k in range(len(at)):
-        for j in range(-10, 20):
-            p = at[k] + j
-            if first[k] <= p < last[k] + 20:
-                e["text"][k][j + 10] = data[p]
-    e = e[np.lexsort((e["pos"], e["doc"]))]
-    bits = suffix_dedup.repeated_starts(e, 20)
-    sort_way = {(int(x["doc"]), int(x["pos"]) - j) for x, b in zip(e, bits, strict=True) for j in range(11) if int(b) >> j & 1}
-    rows = suffix_dedup._dealt(e, 0, 20, 4)
-    local = [np.frombuffer(suffix_dedup._unpack(b), suffix_dedup._DUPS) for k, _, _, b in rows if k == suffix_dedup.LOCAL]
-    hot_way = {(int(x["doc"]), int(x["pos"])) for part in local for x in part}
-    assert hot_way == sort_way and sort_way
+@pytest.mark.parametrize("length", [16, 100])
+def test_hot_anchors(spark, monkeypatch, length):
+    """Strings around hot anchors, dealt out by content, and texts in segments: the same as by brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    rows = repeating(length)
+    docs = documents(spark, rows)
+    frame = docs.select("doc_id", "text").toPandas()
+
+    def chunked(ids, texts, number):
+        raw = [(t or "").encode() for t in texts]
+        real = np.array([not pd.isna(i) for i in ids], dtype=np.uint8)
+        docs_ = np.array([0 if pd.isna(i) else int(i) for i in ids], dtype="<i8")
+        return number, len(ids), suffix_dedup._pack(docs_.tobytes() + np.array([len(x) for x in raw], dtype="<i8").tobytes() + real.tobytes() + b"".join(raw))
+
+    chunks = pd.DataFrame([chunked(frame["doc_id"][k::3], frame["text"][k::3], k) for k in range(3)], columns=["chunk", "n", "blob"])
+    heads = pd.concat(suffix_dedup._anchored(iter([chunks]), length, 4))
+    repeats = pd.concat([suffix_dedup._repeats(x) for _, x in heads.groupby("bucket")])
+    sent = pd.concat([suffix_dedup._suffixes(chunks[chunks["chunk"] == k], repeats[repeats["chunk"] == k], length, 4) for k in range(3)])
+    assert (sent["kind"] == suffix_dedup.WINDOW).any() and (sent["kind"] == suffix_dedup.SUFFIX).any()
+    dups = pd.concat([suffix_dedup._sorted(x, length) for _, x in sent.groupby("bucket")])
+    want = brute_repeats(rows, length)
+    for _, (chunk, n, blob) in chunks.iterrows():
+        ids, real, ends, data = suffix_dedup._read_chunk(n, blob)
+        d = np.frombuffer(b"".join(suffix_dedup._unpack(b) for b in dups["blob"][dups["chunk"] == chunk]), suffix_dedup._DUPS)
+        gone = suffix_dedup.covered(ends, len(data), d, length)
+        for i, r, b, e in zip(ids, real, np.append(0, ends[:-1]), ends):
+            assert gone[b:e].sum() == want[int(i) if r else None][1]
+
+
+def test_anchors_in_segments():
+    r = np.random.default_rng(8)
+    data = r.integers(97, 100, 5000).astype(np.uint8)
+    ends = np.array([0, 30, 1700, 1700, 1816, 5000])
+
+    def starts(found):
+        return {(s, int(a), int(h)) for a, h, b, e in zip(*found, strict=True) for s in range(b, e + 1)}
+
+    assert starts(suffix_dedup.anchors(data, ends, 100)) == starts(suffix_dedup.anchors(data, ends, 100, segment=257))
+
+
+def test_other_columns_stay_as_they_are(spark):
+    t = " ".join(WORDS[:60]) + " "
+    rows = [(1, t, "2024-01-02 03:04:05.123456", 1.5, "a"), (2, t + "more of it", "2024-01-02 03:04:05.654321", None, None), (None, None, None, 2.5, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at string, `n_removed` double, `a.b` string")
+    df = df.withColumn("at", F.col("at").cast("timestamp")).withColumn("kept", F.array(F.lit(1), F.lit(None)))
+    out = suffix_dedup.without_repeats(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1] == next(r for r in df.collect() if r["doc_id"] == 1) and got[2]["at"].microsecond == 654321
+    assert got[2]["text"] == "more of it" and got[None]["text"] is None and got[None]["n_removed"] == 2.5
+    near = ngram_jaccard.one_per_group(df)
+    assert near.columns == df.columns and near.count() == 2
 
 
 def test_deep_shallow_sort():
