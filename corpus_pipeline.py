@@ -12,7 +12,7 @@ from sheetwright.llm.common import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more for toxicity go; labels of two thirds of the ids teach the score."""
     labels = toxicity.learned_rows(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", 3, 1)
-    return toxicity.with_toxicity(docs, labels, threshold=0.7).where("predicted = 0").select(*docs.columns)
+    return toxicity.with_toxicity(docs, labels, threshold=0.7, names=("_toxicity", "_toxic")).where("_toxic = 0").drop("_toxicity", "_toxic")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
