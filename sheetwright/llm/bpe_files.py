@@ -16,6 +16,11 @@ def read_shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+#: Characters of a text that are split into pre-tokens at a time.
+LONG = 1 << 20
+_gap = regex.compile(r"[a-z](?= [a-z])")
+
+
 @lru_cache(1)
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
@@ -66,6 +71,16 @@ class Vocabulary:
         ids[last] = self.last_ids[raw[last]]
         return ids, n
 
+    def parts(self, text: str, limit: int = LONG) -> list[str]:
+        """The text cut into parts of about `limit` characters, between a word and the blank before the next one, where no pre-token or special string goes on."""
+        if len(text) <= limit or any(" " in s for s in self.special):
+            return [text]
+        out, last = [], 0
+        while len(text) - last > limit and (cut := _gap.search(text, last + limit)):
+            out.append(text[last : cut.end()])
+            last = cut.end()
+        return [*out, text[last:]]
+
     def pieces(self, text: str) -> list[str]:
         """The text cut at special strings: odd places hold these."""
         if self.split is None or not any(s in text for s in self.special):

@@ -218,11 +218,11 @@ SEGMENT = 4 << 20
 _blank = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def segments(text: bytes, limit: int = SEGMENT) -> list[bytes]:
-    """The text cut before white space into parts of about `limit` bytes, more where it has none."""
+def segments(text: bytes, limit: int = SEGMENT, at: re.Pattern = _blank) -> list[bytes]:
+    """The text cut where `at` matches, before white space, into parts of about `limit` bytes, more where it matches nowhere."""
     out, last = [], 0
     while len(text) - last > limit:
-        cut = _blank.search(text, last + limit)
+        cut = at.search(text, last + limit)
         if not cut:
             break
         out.append(text[last : cut.start()])

@@ -1,9 +1,9 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass 1 classifies each by itself: its place in the markup, its length,
+A page is cut into blocks at block-level tags, by a scanner that never looks at a stretch twice.  Pass 1 classifies each by itself: its place in the markup, its length,
 its density of stop words and of links make it good, bad, or, when it is short, undecided.  In pass 2 undecided blocks
-take the label of the nearest decided neighbours, within the article if the page marks one.  Where the words of a page
-that marks no article belong to no language with stop words here, long blocks with few links are good.
+take the label of the nearest decided neighbours, within the article if the page marks one.  Where the words of a page's
+long blocks belong to no language with stop words here, long blocks with few links are good.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ STOP_WORDS = frozenset(
 )
 #: Fixed values of the HTML language: elements that begin and end blocks, that hold no text to read, that never have content.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_RAW = "script|style|textarea|title"  # hold no tags, and run to the page's end if they aren't closed
+_RAW = ("script", "style", "textarea", "title")  # hold no tags, and run to the page's end if they aren't closed
 _DEAD = frozenset("noscript template svg math canvas iframe object audio video select button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEST = frozenset("address article aside blockquote center details dialog div dl fieldset figure footer form header main menu nav ol section table tbody td tfoot th thead tr ul".split())
@@ -49,10 +49,13 @@ _BESIDE = frozenset(
     newsletter notice notices notification pager pagination popup promo promoted recommended related replies reply respond
     search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget""".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(" + _RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+#: Words of these that say little as a part of a longer name (`tags-x`): there the text's density decides.
+_VAGUE = frozenset(
+    "ads banner complementary copyright disclaimer legal login modal navigation notice notices notification pager pagination popup recommended reply replies respond search signup skip subscribe tags teaser toolbar widget".split()
 )
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in _RAW}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,53 +63,116 @@ _white = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("links", "outside", "parts", "room", "text")
+    __slots__ = ("links", "outside", "parts", "perhaps", "room", "text")
 
-    def __init__(self, room: int, outside: bool) -> None:
+    def __init__(self, room: int, outside: bool, perhaps: bool = False) -> None:
         self.parts: list[str] = []
         self.links = 0
-        self.room, self.outside = room, outside  # which marked article it lies in (0: none), whether beside the main text
+        self.room, self.outside, self.perhaps = room, outside, perhaps  # which marked article it lies in (0: none), whether beside the main text, or perhaps so
         self.text = ""
 
 
-def _beside(name: str, attrs: str, in_article: bool) -> bool:
+class Token:
+    """A tag, with name, end and attrs, or a stretch without text (name None)."""
+
+    __slots__ = ("attrs", "end", "name", "start", "stop")
+
+    def __init__(self, start: int, stop: int, name: str | None = None, end: bool = False, attrs: str = "") -> None:
+        self.start, self.stop, self.name, self.end, self.attrs = start, stop, name, end, attrs
+
+
+def tokens_of(page: str) -> list[Token]:
+    """Tags, comments and raw elements in order, in time that grows with the page's length.
+
+    A tag ends at the first > outside quotes.  Where none follows, quotes don't count from there on; a < that begins
+    nothing is text.
+    """
+    out: list[Token] = []
+    quotes = True
+    last = page.rfind(">")
+    at = page.find("<")
+
+    def tag_end(p: int) -> int:
+        nonlocal quotes
+        first = p
+        while quotes:
+            m = _STOP.search(page, p)
+            if m and m[0] == ">":
+                return m.end()
+            p = page.find(m[0], m.end()) + 1 if m else 0
+            quotes = p > 0
+        return page.find(">", first) + 1
+
+    while 0 <= at:
+        nxt = at + 1
+        if page.startswith("<!--", at):
+            nxt = page.find("-->", at + 4) + 3
+            nxt = nxt if nxt > 2 else len(page)
+            out.append(Token(at, nxt))
+        elif page.startswith("<![CDATA[", at):
+            nxt = page.find("]]>", at + 9) + 3
+            nxt = nxt if nxt > 2 else len(page)
+            out.append(Token(at, nxt))
+        elif page.startswith(("<!", "<?"), at):
+            nxt = page.find(">", at) + 1 or len(page)
+            out.append(Token(at, nxt))
+        elif at < last and (m := _NAME.match(page, at + 1)):
+            nxt = tag_end(m.end())
+            name, end = m[2].lower(), bool(m[1])
+            attrs = page[m.end() : nxt - 1]
+            if name in _RAW and not end:
+                closed = _RAW_END[name].search(page, nxt)
+                nxt = closed.end() if closed else len(page)
+                out.append(Token(at, nxt, attrs="raw"))
+            else:
+                out.append(Token(at, nxt, name, end, attrs))
+        at = page.find("<", nxt)
+    return out
+
+
+def _beside(name: str, attrs: str, in_article: bool) -> bool | None:
+    """Whether an element lies beside the main text; None: perhaps, its text's density decides."""
     if name in _OUTSIDE or name == "header" and not in_article:
         return True
     if not attrs.strip():
         return False
+    perhaps = False
     for key, *values in _ATTR.findall(attrs):
         value = "".join(values).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
-            words = _WORD.findall(value)
-            if _BESIDE.intersection(words) or not in_article and "header" in words:
-                return True
-    return False
+            for token in value.split():
+                words = _WORD.findall(token)
+                marks = _BESIDE.intersection(words)
+                if not in_article and "header" in words or len(marks) > 1 or marks - _VAGUE or marks and len(words) == 1:
+                    return True
+                perhaps |= bool(marks)
+    return None if perhaps else False
 
 
-def _closed(tokens: list[re.Match]) -> dict[int, int]:
+def _closed(tokens: list[Token]) -> dict[int, int]:
     """Of the dead elements that are closed, where they begin and end among the tokens; each end tag closes the nearest open one."""
     begun: dict[str, list[int]] = {}
     ends: dict[int, int] = {}
-    for i, m in enumerate(tokens):
-        name = m[3].lower() if m[3] else ""
-        if name not in _DEAD:
+    for i, t in enumerate(tokens):
+        if t.name not in _DEAD:
             continue
-        if m[2]:
-            if begun.get(name):
-                ends[begun[name].pop()] = i
-        elif name not in ("svg", "math") or not m[4].endswith("/"):
-            begun.setdefault(name, []).append(i)
+        if t.end:
+            if begun.get(t.name):
+                ends[begun[t.name].pop()] = i
+        elif t.name not in ("svg", "math") or not t.attrs.endswith("/"):
+            begun.setdefault(t.name, []).append(i)
     return ends
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, those without text left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether beside the main text, whether an article
-    outside = articles = rooms = links = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, whether beside the main text, perhaps so, whether an article
+    outside = perhaps = articles = rooms = links = 0
+    open_now: dict[str, int] = {}
     block = Block(0, False)
 
     def close() -> None:
@@ -116,7 +182,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 block.text = text
                 out.append(block)
-        block = Block(rooms if articles else 0, outside > 0)
+        block = Block(rooms if articles else 0, outside > 0, perhaps > 0)
 
     def say(raw: str) -> None:
         if raw:
@@ -125,50 +191,55 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 block.links += len("".join(text.split()))
 
-    tokens = list(_TOKEN.finditer(page))
+    tokens = tokens_of(page)
     dead = _closed(tokens)
     last = through = 0
-    for i, m in enumerate(tokens):
+    for i, t in enumerate(tokens):
         if i < through:
             continue
-        say(page[last : m.start()])
-        last = m.end()
-        name = m[3]
+        say(page[last : t.start])
+        last = t.stop
+        name = t.name
         if name is None:
-            if m[1]:
+            if t.attrs:
                 block.parts.append(" ")
             continue
-        name, end = name.lower(), bool(m[2])
         if name in _DEAD:  # one that isn't closed hides only its tag
             block.parts.append(" ")
             if i in dead:
-                through, last = dead[i] + 1, tokens[dead[i]].end()
+                through, last = dead[i] + 1, tokens[dead[i]].stop
             continue
         if name == "a":
-            links = max(0, links - 1) if end else 1
+            links = max(0, links - 1) if t.end else 1
         elif name == "br":
             block.parts.append(" ")
         if name not in _BLOCK:
             continue
         if name in _NEST:
-            if end:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if at >= 0:
-                    for _, b, a in stack[at:]:
-                        outside -= b
-                        articles -= a
-                    del stack[at:]
-            elif not m[4].endswith("/") or name not in _VOID:
+            if t.end:
+                while open_now.get(name):  # closes what was opened since, too
+                    n, b, p, a = stack.pop()
+                    open_now[n] -= 1
+                    outside -= b
+                    perhaps -= p
+                    articles -= a
+                    if n == name:
+                        break
+            elif not t.attrs.endswith("/") or name not in _VOID:
                 article = name in ("article", "main")
-                beside = _beside(name, m[4], articles > 0)
-                stack.append((name, beside, article))
+                beside = _beside(name, t.attrs, articles > 0)
+                stack.append((name, beside is True, beside is None, article))
+                open_now[name] = open_now.get(name, 0) + 1
                 rooms += article
-                outside += beside
+                outside += beside is True
+                perhaps += beside is None
                 articles += article
         links = 0
         close()
-        if name not in _NEST and not end and m[4] and _beside(name, m[4], articles > 0):
-            block.outside = True
+        if name not in _NEST and not t.end and t.attrs:
+            beside = _beside(name, t.attrs, articles > 0)
+            block.outside |= beside is True
+            block.perhaps |= beside is None
     say(page[last:])
     close()
     return out
@@ -200,14 +271,16 @@ def judge(b: Block, foreign: bool = False) -> bool | None:
     if not b.room and ("©" in b.text or "all rights reserved" in b.text.lower()):
         return False
     if size < SHORT:
-        return None if b.room or not b.links else False
-    if b.room or foreign:
-        return True
+        return False if b.perhaps else None if b.room or not b.links else False
+    if foreign:
+        return not b.perhaps
     words = _WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stop >= STOP_HIGH or stop >= STOP_LOW and size >= LONG:
         return True
-    return None if stop >= STOP_LOW else False
+    if b.perhaps:
+        return False
+    return None if b.room or stop >= STOP_LOW or size < LONG else False
 
 
 def main_text(page: str) -> str:
@@ -215,9 +288,7 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if any(b.room and not b.outside for b in blocks):  # the page marks its article
         blocks = [b for b in blocks if b.room]
-        foreign = False
-    else:
-        foreign = _foreign(blocks)
+    foreign = _foreign(blocks)
     first = [judge(b, foreign) for b in blocks]
     decided = [i for i, x in enumerate(first) if x is not None]
     kept = []

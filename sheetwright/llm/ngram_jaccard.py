@@ -41,7 +41,7 @@ BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Bytes of the input whose signatures share a bucket, and of sets that a task of the last round holds, about.
 BUCKET_BYTES, TASK_BYTES = 32 << 20, 32 << 20
 #: Buckets over which groups with the same smallest id are spread.
-SALTS = 4
+SALTS = 16
 #: Ids in a cell of a group.
 CELL = 1 << 16
 _U = np.uint64
@@ -570,3 +570,16 @@ def one_per_group(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
     """
     drop = jaccard_components(docs, words, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(drop, docs["doc_id"] == drop["_copy"], "left_anti")
+
+
+#: Of op 1's query: exact links by shared shingles, and their components.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(x) AS h FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 85 * (a.n + b.n - i)),
+r(doc_id, reached) AS (SELECT u, v FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least_id, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS least_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""

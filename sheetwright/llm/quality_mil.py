@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, prepare, text_bytes
+from .common import SEGMENT, bounded_sample, prepare, text_bytes
 
 #: Labelled rows to learn from at most: those of the smallest hashes of their id.
 TRAIN_ROWS = 6_000
@@ -34,8 +34,25 @@ _SPACE = (_KIND == 3) | (_KIND == 4)
 FEATURES = _KINDS**2 + _KINDS + 9
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, passages by text); a text without words is one empty passage."""
+def passages(texts: list[bytes], limit: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """(features of every passage, passages by text); a text without words is one empty passage, a long one is cut between passages."""
+    if max(map(len, texts), default=0) <= limit:
+        return _passages(texts)
+    x, count = [], []
+    for t in texts:
+        word = ~_SPACE[np.frombuffer(t, dtype=np.uint8)]
+        first = np.flatnonzero(word & np.append(True, ~word[:-1])[: len(word)])[::PASSAGE]
+        cuts = [0]
+        for at in first[1:].tolist():
+            if at - cuts[-1] >= limit and t[at - 1] == 0x20:  # the blank that a text's end counts as
+                cuts.append(at)
+        found = [_passages([t[a:b]]) for a, b in zip(cuts, [*(c - 1 for c in cuts[1:]), len(t)], strict=True)]
+        x += [f[0] for f in found]
+        count.append(sum(int(f[1][0]) for f in found))
+    return np.concatenate(x), np.array(count)
+
+
+def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lens + 1) - 1
@@ -121,6 +138,22 @@ class Attention:
             out.append(self.forward(*passages(some))[-1])
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
+    def gradient(self, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of bags, by the weights."""
+        h, t, s, a, z, p = self.forward(x, count)
+        dp = (p - y) / len(count)
+        g = {"c": np.append(z.T @ dp, dp.sum())}
+        dz = np.repeat(dp[:, None] * self.w["c"][:-1], count, axis=0)
+        da = (dz * h).sum(axis=1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, np.cumsum(count) - count), count))
+        dg = de[:, None] * self.w["v"]
+        g["v"] = (t * s).T @ de
+        dt, du = dg * s * (1 - t * t), dg * t * s * (1 - s)
+        g["V"], g["U"] = h.T @ dt, h.T @ du
+        dh = a[:, None] * dz + dt @ self.w["V"].T + du @ self.w["U"].T
+        g["E"] = ((x - self.mean) * self.scale).T @ (dh * (1 - h * h))
+        return g
+
     def fit(self, texts: list[bytes], y: np.ndarray) -> Attention:
         """Adam on the mean log loss of bags."""
         if not len(y) or y.min() == y.max():
@@ -140,18 +173,7 @@ class Attention:
                 n = count[bags]
                 rows = np.repeat(begin[bags] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 bx = x[rows]
-                h, t, s, a, z, p = self.forward(bx, n)
-                dp = (p - y[bags]) / len(bags)
-                g = {"c": np.append(z.T @ dp, dp.sum())}
-                dz = np.repeat(dp[:, None] * self.w["c"][:-1], n, axis=0)
-                da = (dz * h).sum(axis=1)
-                de = a * (da - np.repeat(np.add.reduceat(a * da, np.cumsum(n) - n), n))
-                dg = de[:, None] * self.w["v"]
-                g["v"] = (t * s).T @ de
-                dt, du = dg * s * (1 - t * t), dg * t * s * (1 - s)
-                g["V"], g["U"] = h.T @ dt, h.T @ du
-                dh = a[:, None] * dz + dt @ self.w["V"].T + du @ self.w["U"].T
-                g["E"] = ((bx - self.mean) * self.scale).T @ (dh * (1 - h * h))
+                g = self.gradient(bx, n, y[bags])
                 step += 1
                 rate = RATE * (1 - epoch / EPOCHS)
                 for k in self.NAMES:

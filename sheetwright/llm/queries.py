@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import chat_format, decontaminate, nearest, ngram_jaccard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,21 +18,20 @@ def _held_out(modulus: int, remainder: int) -> Column:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_jaccard import jaccard_components
-
-    return jaccard_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contained_items
-
-    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=5, num=80, den=100)
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=5, num=80, den=100)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import formatted
+    return chat_format.formatted(_table(spark, sf_dir, "conversations"))
+
 
-    return formatted(_table(spark, sf_dir, "conversations"))
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3 on calls and results that are made of the messages, since the given tables hold none."""
+    return chat_format.formatted(*chat_format.as_tool_calls(_table(spark, sf_dir, "conversations")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +41,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .nearest import nearest
-
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return nearest.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +93,14 @@ QUERIES = {
         op8_html_extraction,
         op9_suffix_array_dedup,
         op10_quality_classifier,
+        chat_tool_calls,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_jaccard.ORACLE,
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op3_chat_formatting": chat_format.ORACLE,
+    "op5_nearest_neighbours": nearest.ORACLE,
+    "chat_tool_calls": chat_format.TOOLS_ORACLE,
+}

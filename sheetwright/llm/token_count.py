@@ -26,6 +26,7 @@ MEMO = 400_000
 BATCH = 4 << 20
 
 _state: dict = {}
+_find = regex.compile(SPLIT).findall
 
 
 def merged_counts(vocab: Vocabulary, words: list[bytes]) -> np.ndarray:
@@ -73,12 +74,11 @@ def _worker(key: str, text: str) -> tuple[Vocabulary, dict[str, int]]:
 
 def count_tokens(vocab: Vocabulary, memo: dict[str, int], texts: list[str]) -> list[int]:
     """Token counts of the texts, as the vocabulary's library gives them without added special tokens."""
-    find = regex.compile(SPLIT).findall
     cut: list[tuple[int, list[str]]] = []
     fresh: set[str] = set()
     for text in texts:
         parts = vocab.pieces(text)
-        words = find(text) if len(parts) == 1 else [w for p in parts[::2] for w in find(p)]
+        words = _find(text) if len(parts) == 1 else [w for p in parts[::2] for w in _find(p)]
         fresh.update(words)
         cut.append((len(parts) // 2, words))
     new = [w for w in fresh if w not in memo]
@@ -94,13 +94,19 @@ def _counted(batches: Iterator[pd.DataFrame], shared, key: str) -> Iterator[pd.D
     vocab, memo = _worker(key, shared.value)
     for pdf in batches:
         texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-        counts: list[int] = []
-        begin = size = 0
-        for at, t in enumerate(texts, 1):
-            size += len(t)
-            if size >= BATCH or at == len(texts):
-                counts += count_tokens(vocab, memo, texts[begin:at])
-                begin, size = at, 0
+        counts = np.zeros(len(texts), dtype=np.int64)
+        some: list[str] = []
+        owner: list[int] = []
+        size = 0
+        for at, t in enumerate(texts):
+            for part in vocab.parts(t):
+                some.append(part)
+                owner.append(at)
+                size += len(part)
+                if size >= BATCH:
+                    np.add.at(counts, owner, count_tokens(vocab, memo, some))
+                    some, owner, size = [], [], 0
+        np.add.at(counts, owner, count_tokens(vocab, memo, some))
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "n_bytes": [len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], "n_tokens": counts})
 
 
@@ -108,7 +114,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs(doc_id, text); other columns are ignored.
 
     `vocabulary` is the path of a byte-level BPE file in the tokenizers JSON format.  Null texts count as empty: 0 bytes,
-    0 tokens.  Rows with a null or repeated doc_id come out like any other.  No shuffle; a text is held whole.
+    0 tokens.  Rows with a null or repeated doc_id come out like any other.  No shuffle; a text is held whole and split in parts.
     """
     spark = docs.sparkSession
     prepare(spark)

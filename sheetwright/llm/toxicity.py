@@ -8,7 +8,7 @@ on labelled rows: the strongest pieces of a text decide, so long harmless texts
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _power_table, bounded_sample, chunks, mix, pieces, prepare, text_bytes
+from .common import _LOWER, SEGMENT, _power_table, bounded_sample, chunks, mix, pieces, prepare, segments, text_bytes
 
 #: Labelled rows that the evidence is weighed on at most: those of the smallest hashes of their id.
 TRAIN_ROWS = 20_000
@@ -39,11 +39,20 @@ _SIGN = np.zeros(256, dtype=bool)
 _SIGN[[ord(c) for c in [*LEET, ".", "-", "_", "'", "~", "^", ","]]] = True
 _HEAD = np.zeros(256, dtype=bool)
 _HEAD[[ord(c) for c in "0123456789@$!|+("]] = True
+_TAIL = np.zeros(256, dtype=bool)
+_TAIL[[ord(c) for c in "0123456789@$"]] = True
 #: Log probabilities of the channel: a sign for a letter, a sign put in (one that may stand for a letter; another), a sign between words, a stretched letter, a doubled one.
 SUBSTITUTE, LOST, INSERT, BREAK, STRETCH, DOUBLE = -1.0, -9.0, -2.0, -5.0, -0.5, -4.0
+#: A star for a letter that isn't a vowel.
+MASK = -2.5
 #: Weight of the character model against the channel.
 MODEL = 0.5
 _MEMO = 100_000
+#: Signs in a row within a word at most that may hide letters.
+RUN = 6
+#: Long texts are cut between two plain words, where no disguise goes on.
+_gap = re.compile(rb"(?<=[a-z]{2})\s(?=[a-z]{2})")
+_white = re.compile(r"\s+")
 
 
 # --- the language model
@@ -96,6 +105,8 @@ def _lattice(span: str) -> list[list[tuple[int, str, float]]]:
             at = run
             continue
         choices = [(int(_CLASS[ord(x)]), x, SUBSTITUTE) for x in LEET.get(c, "")]
+        if c == "*":
+            choices += [(k, chr(96 + k), MASK) for k in range(1, 27) if chr(96 + k) not in LEET[c]]
         if c.isspace():
             choices += [(-1, "", INSERT), (0, " ", -0.5)]
         else:
@@ -127,27 +138,38 @@ def decode(span: str, logp: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def suspicious(data: np.ndarray) -> np.ndarray:
-    """Places of a lower-case text's bytes at which a word looks disguised; the bytes must end in white space on both sides."""
+def suspicious(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of a lower-case text's bytes at which a word looks disguised, whether by its last bytes alone).
+
+    The bytes must begin and end with white space.  Disguised are letters with one to RUN signs between them, a leading
+    sign before letters, digits, @ or $ after two letters at a word's end, a letter three times, and three or more letters
+    by themselves.
+    """
     n = len(data)
-    if n < 8:
-        return np.zeros(0, dtype=np.int64)
+    if n < RUN + 3:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     letter, sign, head, space = _LETTER[data], _SIGN[data], _HEAD[data], _SPACE[data]
     flag = np.zeros(n, dtype=bool)
-    for k in (1, 2, 3):  # up to three signs between letters
-        inner = letter[: -k - 1] & letter[k + 1 :]
-        for i in range(1, k + 1):
-            inner = inner & sign[i : n - k - 1 + i]
-        flag[1 : n - k] |= inner
-    flag[1:-2] |= space[:-3] & head[1:-2] & letter[2:-1] & letter[3:]
+    signs = np.ones(n, dtype=bool)  # whether the k bytes after a place are signs
+    for k in range(1, RUN + 1):
+        signs = signs[: n - k - 1] & sign[k : n - 1]
+        flag[1 : n - k] |= letter[: n - k - 1] & signs & letter[k + 1 :]
+    flag[1:-2] |= space[:-3] & head[1:-2] & letter[2:-1] & (letter | head)[3:]
     low = _LOWER[data]
     flag[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (data[2:] < 128)
-    one = space[:-2] & (letter | head)[1:-1] & space[2:]  # a letter by itself at i + 1
-    if n >= 8:
-        three = one[:-4] & one[2:-2] & one[4:]
-        for i in (1, 3, 5):
-            flag[i : i + len(three)] |= three
-    return np.flatnonzero(flag)
+    begin = np.flatnonzero(~space[1:] & space[:-1]) + 1
+    alone = (letter | head)[begin] & space[np.minimum(begin + 1, n - 1)]
+    three = np.flatnonzero(alone[:-2] & alone[1:-1] & alone[2:])
+    for i in range(3):
+        flag[begin[three + i]] = True
+    tail = np.zeros(n, dtype=bool)
+    for k in (1, 2, 3):
+        ends = letter[: n - k - 2] & letter[1 : n - k - 1] & space[k + 2 :]
+        for i in range(k):
+            ends = ends & _TAIL[data[i + 2 : n - k + i]]
+        tail[2 : n - k] |= ends
+    at = np.flatnonzero(flag | tail)
+    return at, ~flag[at]
 
 
 class Restorer:
@@ -165,9 +187,14 @@ class Restorer:
         return self.memo[span]
 
     def restore(self, texts: list[bytes]) -> list[bytes]:
-        """The texts in lower case with their suspicious spans decoded; other texts as they are."""
+        """The texts in lower case with their suspicious spans decoded, where only a word's end is suspicious beside the word itself; other texts as they are."""
+        if max(map(len, texts), default=0) > SEGMENT:
+            return [b"".join([x for part in segments(t, SEGMENT, _gap) for x in self._restored([part])]) for t in texts]
+        return self._restored(texts)
+
+    def _restored(self, texts: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b"   ".join([b"", *texts, b""]), dtype=np.uint8)
-        at = suspicious(data)
+        at, tails = suspicious(data)
         if not len(at):
             return texts
         ends = np.cumsum([len(t) + 3 for t in texts])
@@ -175,22 +202,26 @@ class Restorer:
         which = np.searchsorted(ends, at - 3, side="right")
         for doc in np.unique(which).tolist():
             raw = texts[doc]
-            mine = at[which == doc] - (ends[doc] - len(raw))
+            own = which == doc
+            mine = at[own] - (ends[doc] - len(raw))
             space = np.flatnonzero(_SPACE[np.frombuffer(raw, dtype=np.uint8)])
             after = np.searchsorted(space, mine)
             begin = np.where(after > 0, space[np.maximum(after - 1, 0)] + 1 if len(space) else 0, 0)
             end = np.where(after < len(space), space[np.minimum(after, max(len(space) - 1, 0))] if len(space) else len(raw), len(raw))
             parts: list[bytes] = []
             last = 0
-            spans: list[list[int]] = []
-            for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+            spans: list[list[int]] = []  # begin, end, whether of single letters, whether only the end is suspicious
+            for b, e, tail in zip(begin.tolist(), end.tolist(), tails[own].tolist(), strict=True):
                 single = e - b == 1
-                if spans and b <= spans[-1][1] + 1 and single and spans[-1][2]:
-                    spans[-1][1] = max(e, spans[-1][1])
-                elif not spans or b >= spans[-1][1]:
-                    spans.append([b, e, single])
-            for b, e, _ in spans:
-                parts += [raw[last:b], self.read(raw[b:e].decode("utf-8", "replace").lower()).encode()]
+                if spans and b < spans[-1][1]:
+                    spans[-1][3] &= tail
+                elif spans and single and spans[-1][2] and not raw[spans[-1][1] : b].strip():
+                    spans[-1][1] = e
+                else:
+                    spans.append([b, e, single, tail])
+            for b, e, single, tail in spans:
+                span = raw[b:e].decode("utf-8", "replace").lower()
+                parts += [raw[last:e] + b" " if tail else raw[last:b], self.read(_white.sub(" ", span) if single else span).encode()]
                 last = e
             out[doc] = b"".join([*parts, raw[last:]])
         return out
@@ -200,7 +231,17 @@ class Restorer:
 
 
 def evidence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, index of its text) of each word and of each word's first four, five and six bytes."""
+    """(hash, index of its text) of each word and of each word's first four, five and six bytes; of a long text each once."""
+    if sum(map(len, texts)) <= 2 * SEGMENT:
+        return _evidence(texts)
+    found = []
+    for at, t in enumerate(texts):
+        h = np.concatenate([np.unique(_evidence([part])[0]) for part in segments(t)])
+        found.append((np.unique(h), np.full(len(np.unique(h)), at)))
+    return np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found])
+
+
+def _evidence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
     at = np.flatnonzero(_LETTER[data])
@@ -353,7 +394,7 @@ def with_toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7,
     Columns that have these names already are replaced.
 
     labelled(doc_id, y) holds the labels to learn from, y = 1 for toxic texts; of repeated labels of one id the larger
-    counts.  Only texts are inputs of a score: null texts count as empty, and any text without letters gets the score of
+    counts.  Long texts are restored and searched in segments.  Only texts are inputs of a score: null texts count as empty, and any text without letters gets the score of
     an empty one.  Without labels of both kinds every score is the share of label 1 (0 without labels).
     """
     prepare(docs.sparkSession)

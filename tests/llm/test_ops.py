@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -317,6 +318,42 @@ def test_bpe_codec(spark):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in full)
 
 
+def test_every_code_point():
+    """Alone, doubled, between letters and among marks: as the library has it."""
+    for name, encode in (("byte_bpe_50k.json", None), ("word_bpe_49k.json", bpe_codec.encode_texts)):
+        path = public_tokenizers.path(name)
+        lib, vocab, memo = Tokenizer.from_file(path), Vocabulary(open(path).read()), {}
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        forms = ["b{0}b {0}{0}", "x\u0301{0} x{0}\u0338 x\u093c{0}"] if encode else ["b{0}b {0}{0}"]
+        texts = [" ".join(f.format(chr(c)) for c in points[a : a + 2000]) for f in forms for a in range(0, len(points), 2000)]
+        for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            if encode:
+                raw, back = next(encode(vocab, memo, [text]))
+                assert np.frombuffer(raw, "<u4").tolist() == want.ids
+                assert back == lib.decode(want.ids, skip_special_tokens=False)
+            else:
+                assert token_count.count_tokens(vocab, memo, [text]) == [len(want.ids)]
+
+
+def test_texts_in_parts(monkeypatch):
+    text = "It's <|endoftext|> one two  three\n four, five<|startoftext|> six 7 eight.nine ten " * 40
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        lib, vocab = Tokenizer.from_file(path), Vocabulary(open(path).read())
+        vocab.parts = lambda t, f=vocab.parts: f(t, 11)
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert len(vocab.parts(text)) > 40 and "".join(vocab.parts(text)) == text
+        module = token_count if name.startswith("byte") else bpe_codec
+        monkeypatch.setattr(module, "_worker", lambda key, raw: (vocab, {}))
+        pdf = pd.DataFrame({"doc_id": [1, 2], "no_id": [False, True], "text": [text, "one two"]})
+        shared = type("Shared", (), {"value": ""})
+        if module is token_count:
+            assert next(token_count._counted(iter([pdf]), shared, "k"))["n_tokens"].tolist() == [len(ids), 2]
+        else:
+            out = pd.concat(bpe_codec._encoded(iter([pdf]), shared, "k"))
+            assert np.frombuffer(out["ids"].iloc[0], "<u4").tolist() == ids and out["decoded"].iloc[0] == lib.decode(ids, skip_special_tokens=False)
+
+
 def test_codec_yields_no_empty_frames(monkeypatch):
     """A text that ends a frame leaves nothing over; an empty frame's columns have no type."""
     import pandas as pd
@@ -324,7 +361,7 @@ def test_codec_yields_no_empty_frames(monkeypatch):
     monkeypatch.setattr(bpe_codec, "FRAME", 4)
     path = public_tokenizers.path("word_bpe_49k.json")
     shared = type("Shared", (), {"value": open(path).read()})
-    batches = [pd.DataFrame({"doc_id": [1, 2, 3], "text": ["abcd", "x", "efgh"]}), pd.DataFrame({"doc_id": [4], "text": [None]})]
+    batches = [pd.DataFrame({"doc_id": [1, 2, 3], "no_id": False, "text": ["abcd", "x", "efgh"]}), pd.DataFrame({"doc_id": [4], "no_id": False, "text": [None]})]
     assert [len(f) for f in bpe_codec._digested(iter(batches), shared, path)] == [1, 2, 1]
 
 
@@ -418,12 +455,94 @@ def test_restoring_disguised_words():
     np.add.at(total, (c[:-2], c[1:-1], c[2:]), 1)
     logp = np.log((total + 0.01) / (total.sum(axis=2, keepdims=True) + 0.28))
     r = toxicity.Restorer(logp)
-    for bad, good in [("1d10t", "idiot"), ("i d i o t", "idiot"), ("m0r0n", "moron"), ("m.o.r.o.n", "moron"), ("$tup1d", "stupid"), ("looooser", "loser"), ("tr-a-sh", "trash"), ("p@th3t1c", "pathetic"), ("5cum", "scum")]:
+    for bad, good in [("1d10t", "idiot"), ("i d i o t", "idiot"), ("m0r0n", "moron"), ("m.o.r.o.n", "moron"), ("$tup1d", "stupid"), ("looooser", "loser"), ("tr-a-sh", "trash"), ("p@th3t1c", "pathetic"), ("5cum", "scum"), ("m***n", "moron"), ("wor*****s", "worthless"), ("i  d   i o t", "idiot"), ("5c1m", "scim")]:
         assert r.restore([f"said the {bad} and".encode()])[0].decode() == f"said the {good} and"
+    for bad, good in [("idio7", "idiot"), ("l05er", "loser"), ("tra5h", "trash"), ("clow2", None)]:
+        assert good is None or good in r.restore([f"said the {bad} and".encode()])[0].decode().split()
+    assert r.restore([b"said idio7"])[0].split()[1] == b"idio7"  # a word with a suspicious end stays beside its reading
+    long = b"said the idiot and " * 400_000 + b"1d10t m 0 r 0 n"
+    assert r.restore([long])[0].endswith(b"and idiot moron")
     plain = [b"nothing. odd, here!! at all", b"", b"a", b"AND!! The***"]
     assert r.restore(plain) == plain
 
 
+def test_viterbi_is_the_best_of_all_readings():
+    r = np.random.default_rng(4)
+    logp = np.log(r.dirichlet(np.ones(28) * 0.3, (28, 28)) + 1e-9)
+    pick = random.Random(4)
+    for _ in range(150):
+        span = "".join(pick.choice("ab1i0 .*$lls4") for _ in range(pick.randint(1, 6)))
+        best = {(0, 0, ""): 0.0}
+        for choices in toxicity._lattice(span):
+            new = {}
+            for (a, b, text), score in best.items():
+                for cls, piece, cost in choices:
+                    if cls < 0 or cls == 0 and b == 0:
+                        key, s = (a, b, text), score + cost
+                    else:
+                        key, s = (b, cls, text + piece), score + cost + logp[a, b, cls]
+                    new[key] = max(s, new.get(key, -1e9))
+            best = new
+        total = collections.defaultdict(lambda: -1e9)
+        for (a, b, text), score in best.items():
+            total[text] = max(total[text], score + logp[a, b, 0])
+        assert total[toxicity.decode(span, logp)] == pytest.approx(max(total.values()))
+
+
+def test_scores_of_repeated_long_and_clashing_rows(spark):
+    """Rows that repeat score alike, a long text scores by all of it, a sample is bounded in rows and bytes, ties at the threshold count."""
+    bad = "zorgle blaxen quimfo"
+    rows = [(i, (bad if i % 3 == 0 else "w1 w2 w3") + f" word{i}") for i in range(300)] + [(7, None), (7, "x"), (400, "w1 " * 2_000_000 + bad), (400, "w1 " * 2_000_000 + bad)]
+    df = documents(spark, rows).withColumn("score", F.lit(5.0)).withColumn("predicted", F.lit("mine")).withColumn("a.b", F.lit(1))
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] * 2, "doc_id long, y int")
+    for with_scores in (toxicity.with_toxicity, quality_mil.with_quality):
+        out = with_scores(df, lab, names=("_s", "_p")).collect()
+        assert {r["score"] for r in out} == {5.0} and {r["predicted"] for r in out} == {"mine"} and len(out) == len(rows)
+        long = [r["_s"] for r in out if r["doc_id"] == 400]
+        assert long[0] == long[1] and 0 <= long[0] <= 1
+        if with_scores is toxicity.with_toxicity:
+            assert long[0] > 0.7
+        tie = with_scores(df, lab, threshold=long[0]).where("doc_id = 400").select("predicted").collect()
+        assert [r[0] for r in tie] == [1, 1]
+    sample = toxicity.bounded_sample(df, lab, 50, 10**6).collect()
+    assert len(sample) == len({r["doc_id"] for r in sample}) == 50
+    assert sum(len(r["text"]) for r in toxicity.bounded_sample(df, lab, 300, 500).collect()) <= 500
+
+
+def test_attention_gradient():
+    """The training step follows the gradient by finite differences."""
+    r = np.random.default_rng(0)
+    m = quality_mil.Attention()
+    texts_ = [" ".join(r.choice(["Aa", "b!", "c1", "DD."], 130)).encode() for _ in range(6)]
+    y = np.array([0, 1, 0, 1, 1, 0])
+    x, count = quality_mil.passages(texts_)
+    m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
+    x = x.astype(np.float64)
+
+    def loss():
+        p = m.forward(x, count)[-1]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    g = m.gradient(x, count, y)
+    for k in m.NAMES:
+        flat = m.w[k].reshape(-1)
+        for at in r.choice(len(flat), 4, replace=False):
+            old = flat[at]
+            flat[at] = old + 1e-5
+            up = loss()
+            flat[at] = old - 1e-5
+            down = loss()
+            flat[at] = old
+            assert g[k].reshape(-1)[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_passages_of_long_texts():
+    text = ("one two three, four. " * 100).encode()
+    x, n = quality_mil.passages([text, b"x"], limit=300)
+    y, m = quality_mil.passages([text, b"x"])
+    assert n.tolist() == m.tolist() and x == pytest.approx(y, abs=0.01)  # the last word before a cut counts no blank
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(3)
     bad = ["zorgle", "blaxen", "quimfo"]
@@ -503,6 +622,55 @@ def test_html_dead_elements(page):
     assert html_extract.main_text(page.format(_PROSE)) == _PROSE
 
 
+@pytest.mark.parametrize("bad", ["<p a ", '<a href="x', "<p '", "<div ", "<!-- ", "<script>", "<a \"<b '>", "<x> '", "</div>", "<div>", "<p <", "<textarea "])
+def test_html_is_read_in_linear_time(bad):
+    page = f"<p>{_PROSE}</p>" + bad * (1_000_000 // len(bad))
+    begin = time.process_time()
+    assert html_extract.main_text(page).startswith(_PROSE)
+    assert time.process_time() - begin < 5
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<article><div class="entry tags-x"><p>{}</p></div></article>', True),
+        ('<article><p>{}</p><div class="entry tags-x">a b</div></article>', True),
+        ('<article><p>{}</p><div class="tags">{}</div><div class="cookie-notice">{}</div><div class="legal-notice">{}</div></article>', True),
+        ("<article><p>Names Dates Places</p><p>{}</p><p><a href=x>{}</a></p></article>", True),
+        ("<p>{}<p>{}<select><option>x</select", True),
+    ],
+)
+def test_html_vague_names(page, kept):
+    found = html_extract.main_text(page.replace("{}", _PROSE, 1).replace("{}", "No " + _PROSE, 9 if "select" not in page else 0).replace("{}", ""))
+    assert (_PROSE in found) == kept and "No It" not in found and "a b" not in found.splitlines()
+
+
+def test_html_slow_reference():
+    """Blocks, links and elements as a plain parser of well-formed pages has them."""
+    r = random.Random(12)
+    for _ in range(60):
+        out, text, size = [], [], []
+        for _ in range(r.randrange(1, 30)):
+            words = " ".join(r.choices(["the", "of", "sea", "and", "house", "to", "&amp;", "<b>old</b>", "café"], k=r.choice([2, 5, 30])))
+            linked = r.random() < 0.3
+            out.append(f"<{r.choice(['p', 'div', 'li'])} data-x='>'>{'<a href=x>' if linked else ''}{words}{'</a>' if linked else ''}")
+            out.append(f"</{out[-1][1 : out[-1].index(' ')]}>" + r.choice(["", "<!-- <p> -->", "<script>'<p>'</script>", "<br/>"]))
+            plain = re.sub("<[^>]*>", "", words).replace("&amp;", "&")
+            text.append(plain)
+            size.append(len(plain.replace(" ", "")) if linked else 0)
+        blocks = html_extract.blocks_of("".join(out))
+        assert [b.text for b in blocks] == text and [b.links for b in blocks] == size
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, `a.b` string"
+    df = spark.createDataFrame([(1, "u", PAGE, "x")] * 3 + [(2, "u", f"<p>{_PROSE}</p>" * 3000, "y")], schema)
+    out = html_extract.with_main_text(df).collect()
+    assert [r["n_chars"] for r in out if r["page_id"] == 1] == [len(out[0]["text"])] * 3 and out[0]["a.b"] == "x"
+    assert out[3]["n_chars"] == 3000 * len(_PROSE) + 2 * 2999
+    assert html_extract.with_main_text(df.limit(0)).collect() == []
+
+
 def test_html_many_unclosed_elements():
     page = "<button><svg><object>" * 20000
     assert html_extract.main_text(f"{page}<p>{_PROSE}</p>") == _PROSE
