@@ -8,20 +8,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_table, shared_table
+
 #: Which node types may hold which.
 ALLOWED = {
-    "Document": ["Body", "Header", "Footer"],
-    "Body": ["Section", "Paragraph", "Table", "TableOfContents"],
-    "Section": ["Paragraph", "Table", "TableOfContents"],
-    "Header": ["Paragraph", "Table"],
-    "Footer": ["Paragraph", "Table"],
+    "Document": ["Body", "Header", "Footer", "CommentBody", "FootnoteBody", "EndnoteBody"],
+    "Body": ["Section", "Paragraph", "Table", "Image", "TableOfContents", "PageBreak", "ColumnBreak"],
+    "Section": ["Paragraph", "Table", "Image", "TableOfContents"],
     "TableOfContents": ["Paragraph"],
+    "Paragraph": [
+        "Run", "LineBreak", "PageBreak", "ColumnBreak", "Tab", "Image", "Drawing", "Field", "Equation", "BookmarkStart", "BookmarkEnd", "CommentStart", "CommentEnd", "FootnoteRef", "EndnoteRef",
+    ],
+    "Run": ["Text"],
     "Table": ["TableRow"],
     "TableRow": ["TableCell"],
     "TableCell": ["Paragraph", "Table"],
-    "Paragraph": ["Run", "LineBreak", "PageBreak", "Tab", "Image", "Field"],
-    "Run": ["Text", "LineBreak", "Tab"],
-}
+    "Header": ["Paragraph", "Table"],
+    "Footer": ["Paragraph", "Table"],
+    "CommentBody": ["Paragraph"],
+    "FootnoteBody": ["Paragraph"],
+    "EndnoteBody": ["Paragraph"],
+}
 
 
 def from_text(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -61,18 +68,25 @@ def within(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, ancestor_id, distance) for trees without paths, by a recursive query over parent links."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(doc_id, node_id, ancestor_id, distance) AS (
-          SELECT doc_id, node_id, parent_id, 1 FROM {tree_nodes} WHERE parent_id IS NOT NULL
-          UNION ALL
-          SELECT u.doc_id, u.node_id, n.parent_id, u.distance + 1 FROM up u JOIN {tree_nodes} n
-          ON n.doc_id = u.doc_id AND n.node_id = u.ancestor_id WHERE n.parent_id IS NOT NULL AND u.distance < 100)
-        SELECT doc_id, node_id, ancestor_id, distance FROM up""",
-        tree_nodes=nodes.select("doc_id", "node_id", "parent_id"),
-    )
+    """(doc_id, node_id, ancestor_id, distance) for trees without paths, of any depth.
+
+    By doubling: each round joins what is known up to a distance with itself, so rounds grow with the logarithm of the
+    depth; each round is a table in the shared folder.  In a cycle every other node is an ancestor, once.
+    """
+    known = shared_table(nodes.where("parent_id is not null and parent_id <> node_id").select("doc_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")), "ancestors")
+    reach, size = 1, known.count()
+    while True:
+        far = known.where(F.col("distance") == reach).withColumnRenamed("ancestor_id", "_via")
+        up = known.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), "ancestor_id", F.col("distance").alias("_more"))
+        more = far.join(up, (F.col("doc_id") == F.col("_d")) & (F.col("_via") == F.col("_n"))).select("doc_id", "node_id", "ancestor_id", (F.col("distance") + F.col("_more")).alias("distance"))
+        grown = known.unionByName(more.where("ancestor_id <> node_id")).groupBy("doc_id", "node_id", "ancestor_id").agg(F.min("distance").alias("distance"))
+        grown = shared_table(grown, "ancestors")
+        now = grown.count()
+        drop_table(known)
+        known = grown
+        if now == size:
+            return known
+        reach, size = 2 * reach, now
 
 
 def plain_text(nodes: DataFrame) -> DataFrame:
@@ -161,19 +175,11 @@ def settle_changes(nodes: DataFrame, accept: bool) -> DataFrame:
 
 
 def resolve_styles(styles: DataFrame) -> DataFrame:
-    """(style_id, attrs): attributes with those inherited; the nearest style's value counts, cycles end after 32 steps."""
-    spark = styles.sparkSession
-    chain = spark.sql(
-        """
-        WITH RECURSIVE up(style_id, from_id, depth) AS (
-          SELECT style_id, style_id, 0 FROM {styles}
-          UNION ALL
-          SELECT u.style_id, s.parent_id, u.depth + 1 FROM up u JOIN {styles} s ON s.style_id = u.from_id
-          WHERE s.parent_id IS NOT NULL AND u.depth < 32)
-        SELECT u.style_id, u.depth, a.key, a.value FROM up u JOIN {styles} s ON s.style_id = u.from_id LATERAL VIEW explode(s.attrs) a AS key, value""",
-        styles=styles,
-    )
-    near = chain.groupBy("style_id", "key").agg(F.min_by("value", "depth").alias("value"))
+    """(style_id, attrs): attributes with those inherited, however far up; the nearest style's value counts, a cycle is passed once."""
+    own = styles.select("style_id", F.col("style_id").alias("from_id"), F.lit(0).alias("depth"))
+    ups = ancestors(styles.select(F.lit(0).alias("doc_id"), F.col("style_id").alias("node_id"), "parent_id")).select(F.col("node_id").alias("style_id"), F.col("ancestor_id").alias("from_id"), F.col("distance").alias("depth"))
+    held = styles.select(F.col("style_id").alias("from_id"), F.explode("attrs").alias("key", "value"))
+    near = own.unionByName(ups).join(held, "from_id").groupBy("style_id", "key").agg(F.min_by("value", "depth").alias("value"))
     found = near.groupBy("style_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
     return styles.select("style_id").join(found, "style_id", "left").select("style_id", F.coalesce("attrs", F.expr("cast(map() as map<string,string>)")).alias("attrs"))
 

@@ -41,7 +41,7 @@ def lookup_asof(df: DataFrame, key: str, table: DataFrame, table_key: str, take:
         # range bounds are drawn anew each time a plan runs, so it runs once
         parts = shared_table(both.repartitionByRange(n, first).withColumn("_p", F.spark_partition_id()), "asof")
         w = Window.partitionBy("_p").orderBy(*sweep).rowsBetween(Window.unboundedPreceding, 0)
-        ends = parts.where("_s = 0").groupBy("_p").agg(F.max_by("_t", F.col("_k") if back else -F.col("_k").cast("double")).alias("_e"))
+        ends = parts.where("_s = 0").groupBy("_p").agg((F.max_by if back else F.min_by)("_t", "_k").alias("_e"))
         ids = spark.range(n).select(F.col("id").cast("int").alias("_p"))
         carry = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
         heads = ids.join(ends, "_p", "left").select("_p", F.last("_e", ignorenulls=True).over(carry).alias("_h"))  # one row a range

@@ -63,13 +63,17 @@ def once(ops: DataFrame) -> DataFrame:
 def compress(ops: DataFrame, byte_length: bool = True) -> DataFrame:
     """Runs of inserts that continue each other as one: same replica and node, next stamp, next offset.
 
-    A stamp run is as long as the text has characters; offsets continue by its bytes (byte_length) or its characters.
+    A stamp run is as long as the text has characters; offsets continue by its bytes (byte_length) or its characters.  Where
+    ops have left_lamport and left_replica, the next insert must also stand right of the run's last character.
     """
     w = Window.partitionBy("doc_id", "replica", "target").orderBy("lamport")
     n = F.char_length("value")
     span = F.octet_length("value") if byte_length else n
     rows = ops.where("kind = 'InsertText'").withColumns({"_l": F.lag(F.col("lamport") + n).over(w), "_o": F.lag(F.col("offset") + span).over(w)})
-    new = F.when((F.col("lamport") == F.col("_l")) & (F.col("offset") == F.col("_o")), 0).otherwise(1)
+    follows = (F.col("lamport") == F.col("_l")) & (F.col("offset") == F.col("_o"))
+    if {"left_lamport", "left_replica"} <= set(ops.columns):
+        follows &= F.col("left_lamport").eqNullSafe(F.col("_l") - 1) & F.col("left_replica").eqNullSafe(F.col("replica"))
+    new = F.when(follows, 0).otherwise(1)
     rows = rows.withColumn("_run", F.sum(new).over(w))
     g = rows.groupBy("doc_id", "replica", "target", "_run").agg(
         F.min("lamport").alias("lamport"), F.min_by("offset", "lamport").alias("offset"), F.count(F.lit(1)).alias("merged"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lamport", "value"))), lambda x: x["value"]), "").alias("value")
@@ -112,16 +116,20 @@ def catch_up(versioned: DataFrame, version: int) -> DataFrame:
     return versioned.where(F.col("version") > version)
 
 
-#: What a message may ask for.
-MESSAGES = ("op", "cursor", "sync", "join", "leave", "ack", "requestCatchup", "peer-cursor", "ssSetCell", "ssFormat", "ssSync")
+#: What a message may ask for, by its type or, without one, by its action.
+MESSAGE_TYPES = ("op", "join", "awareness", "awareness-batch", "sync", "sync-req", "fullSync", "requestFullSync", "requestCatchup")
+MESSAGE_ACTIONS = ("op", "insert", "delete", "format", "structural", "ssSetCell", "ssFormat", "ssSync", "ssCursor", "peer-join", "peer-leave")
 
 
-def message_errors(body: str, kinds: tuple[str, ...] = MESSAGES, limit: int = 256 * 1024) -> Column:
-    """null for a sound message, else too_large, bad_json, no_type or unknown_type."""
-    kind = F.get_json_object(body, "$.type")
+def message_errors(body: str, limit: int = 256 * 1024) -> Column:
+    """null for a sound message, else too_large, bad_json, unknown_type, unknown_action or no_type; only texts name a type or an action."""
+    v = F.try_parse_json(body)
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    kind, action = text("$.type"), text("$.action")
     return (
-        F.when(F.octet_length(body) > limit, "too_large").when(F.try_parse_json(body).isNull(), "bad_json").when(kind.isNull(), "no_type").when(~kind.isin(list(kinds)), "unknown_type")
-    )
+        F.when(F.octet_length(body) > limit, "too_large").when(v.isNull(), "bad_json").when(kind.isin(list(MESSAGE_TYPES)), None).when(kind.isNotNull(), "unknown_type")
+        .when(action.isin(list(MESSAGE_ACTIONS)), None).when(action.isNotNull(), "unknown_action").otherwise("no_type")
+    )
 
 
 def relay(messages: DataFrame, peers: DataFrame) -> DataFrame:
@@ -145,43 +153,54 @@ def last_cell_writes(ops: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 
 def text_replica(rows: list[tuple]) -> str:
-    """A text from inserts (kind, lamport, replica, left origin, character) and deletes, in any order.
+    """A text from inserts (kind, lamport, replica, left origin, character, right origin) and deletes, in any order.
 
-    An insert stands right of its left origin; of several with one origin the larger op id stands first, each followed by
-    what hangs on it.  Deletes leave tombstones, so the result doesn't depend on the order of delivery.
+    Inserts are integrated by ascending op id, so the result doesn't depend on the order of delivery.  One is looked for a
+    place from its left origin up to its right origin: it goes past characters of the same left origin, whose ids are
+    smaller, and past those whose left origin lies further left, and stops at the first other one.  Deletes leave
+    tombstones.  An origin that isn't there counts as the text's begin or end.
     """
-    kids: dict = {}
-    gone, seen = set(), {}
-    for kind, lamport, replica, left, char in rows:
-        if kind == "DeleteText":
-            gone.add(left)
-        elif (lamport, replica) not in seen:
-            seen[(lamport, replica)] = char
-            kids.setdefault(left, []).append((lamport, replica))
-    out, stack = [], sorted(kids.get(None, []))
-    while stack:
-        at = stack.pop()
+    inserts = {(r[1], r[2]): (r[3], r[4], r[5] if len(r) > 5 else None) for r in rows if r[0] != "DeleteText"}
+    gone = {r[3] for r in rows if r[0] == "DeleteText"}
+    after: dict = {None: None}  # None is what stands before the first character, and what ends the text
+    left_of: dict = {}
+    for op in sorted(inserts):
+        left, _, right = inserts[op]
+        left = left if left in left_of else None
+        right = right if right in left_of else None
+        place, passed = left, set()
+        at = after[left]
+        while at is not None and at != right and left_of[at] not in passed:
+            passed.add(at)
+            place, at = at, after[at]
+        after[op], after[place] = after[place], op
+        left_of[op] = left
+    out, at = [], after[None]
+    while at is not None:
         if at not in gone:
-            out.append(seen[at])
-        stack += sorted(kids.get(at, []))
+            out.append(inserts[at][1])
+        at = after[at]
     return "".join(out)
 
 
 def _texts(pdf: pd.DataFrame) -> pd.DataFrame:
-    def origin(r) -> tuple | None:
-        return None if pd.isna(r.left_lamport) else (int(r.left_lamport), int(r.left_replica))
+    def origin(lamport, replica) -> tuple | None:
+        return None if pd.isna(lamport) else (int(lamport), int(replica))
 
-    rows = [(r.kind, int(r.lamport), int(r.replica), origin(r), r.value) for r in pdf.itertuples(index=False)]
+    right = "right_lamport" in pdf.columns
+    rows = [(r.kind, int(r.lamport), int(r.replica), origin(r.left_lamport, r.left_replica), r.value, origin(r.right_lamport, r.right_replica) if right else None) for r in pdf.itertuples(index=False)]
     return pd.DataFrame([(pdf["doc_id"].iloc[0], pdf["target"].iloc[0], text_replica(rows))], columns=["doc_id", "target", "text"])
 
 
 def converge_text(ops: DataFrame) -> DataFrame:
-    """(doc_id, target, text) of ops with left_lamport, left_replica: each text node in a task."""
+    """(doc_id, target, text) of ops with left_lamport, left_replica and, if there are any, right_lamport, right_replica: each text node in a task."""
     return ops.groupBy("doc_id", "target").applyInPandas(_texts, "doc_id string, target string, text string")
 
 
 def tree_replica(rows: list[tuple]) -> dict:
-    """{node: parent} after (lamport, replica, kind, node, parent): inserts, deletes and moves in op-id order.
+    """{node: parent}, children in order, after (lamport, replica, kind, node, parent): inserts, deletes and moves in op-id order.
+
+    Children stand in the order of the ops that placed them.
 
     The last move wins; one that would put a node below itself is dropped; deleted nodes and what they hold are gone.
     """
@@ -198,6 +217,7 @@ def tree_replica(rows: list[tuple]) -> dict:
                 cyclic = at == node
                 at = parent.get(at)
             if not cyclic:
+                del parent[node]
                 parent[node] = up
 
     def alive(n) -> bool:
@@ -212,13 +232,17 @@ def tree_replica(rows: list[tuple]) -> dict:
 
 def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = [(int(r.lamport), int(r.replica), r.kind, r.target, None if pd.isna(r.value) else r.value) for r in pdf.itertuples(index=False)]
-    out = tree_replica(rows)
-    return pd.DataFrame([(pdf["doc_id"].iloc[0], n, p) for n, p in sorted(out.items())], columns=["doc_id", "node_id", "parent_id"])
+    seen: dict = {}
+    out = []
+    for n, p in tree_replica(rows).items():
+        out.append((pdf["doc_id"].iloc[0], n, p, seen.get(p, 0)))
+        seen[p] = seen.get(p, 0) + 1
+    return pd.DataFrame(out, columns=["doc_id", "node_id", "parent_id", "pos"])
 
 
 def converge_tree(ops: DataFrame) -> DataFrame:
-    """(doc_id, node_id, parent_id) after tree ops; each document in a task."""
-    return ops.groupBy("doc_id").applyInPandas(_trees, "doc_id string, node_id string, parent_id string")
+    """(doc_id, node_id, parent_id, pos) after tree ops, pos counting siblings from 0; each document in a task."""
+    return ops.groupBy("doc_id").applyInPandas(_trees, "doc_id string, node_id string, parent_id string, pos int")
 
 
 def apply_edits(text: str, edits: list[tuple]) -> tuple[str, list[tuple]]:

@@ -102,13 +102,27 @@ def table_ranges(paragraphs: DataFrame) -> DataFrame:
 
 
 def safe_filename(name: Column) -> Column:
-    """The last path part without control characters and signs that file systems read; never empty or dots alone."""
-    base = F.regexp_extract(name, r"([^/\\]*)$", 1)
-    clean = F.regexp_replace(F.regexp_replace(base, r"[\x00-\x1f\x7f<>:\"|?*]", ""), r"^\.+", "")
-    return F.when(F.trim(clean) == "", "file").otherwise(F.trim(clean))
+    """The last path part, with _ for control characters and signs that file systems read; `document` if nothing or only dots are left."""
+    base = F.regexp_extract(F.trim(F.regexp_replace(name, r"(?U)^\s+|\s+$", "")), r"([^/\\]*)$", 1)
+    clean = F.regexp_replace(base, r"[\x00-\x1f\x7f-\x9f<>:\"|?*]", "_")
+    return F.when(clean.rlike(r"^\.*$"), "document").otherwise(clean)
 
 
-def is_private_host(host: Column) -> Column:
-    """Loopback, link-local and private addresses and names that must not be called from outside."""
-    h = F.lower(host)
-    return h.rlike(r"^(localhost|.*\.local|.*\.internal|0\.0\.0\.0|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|169\.254\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|\[?::1\]?|\[?f[cd][0-9a-f]{2}:.*|\[?fe80:.*)$")
+#: Private, loopback, link-local, broadcast and unspecified IPv4 addresses; those that are also multicast or for documentation.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_INSIDE4 = rf"(?:(?:127|10)(?:\.{_OCTET}){{3}}|172\.(?:1[6-9]|2\d|3[01])(?:\.{_OCTET}){{2}}|(?:192\.168|169\.254)(?:\.{_OCTET}){{2}}|255\.255\.255\.255|0\.0\.0\.0)"
+_OTHER4 = rf"(?:(?:22[4-9]|23\d)(?:\.{_OCTET}){{3}}|(?:192\.0\.2|198\.51\.100|203\.0\.113)\.{_OCTET})"
+
+
+def is_private_host(address: Column) -> Column:
+    """Addresses and names that must not be called from outside: an IP address, a host or a URL.
+
+    IPv4: loopback, private, link-local, broadcast, unspecified, multicast and documentation ranges; IPv6: loopback,
+    unspecified, multicast, link-local, unique local and mapped IPv4; names: localhost, *.local, *.internal.  Names aren't resolved.
+    """
+    whole = F.lower(address)
+    host = F.regexp_replace(F.regexp_replace(whole, r"^.*?://", ""), r"[/:].*$", "")
+    four = f"^(?:{_INSIDE4}|{_OTHER4})$"
+    zeros, short = r"(?:0{1,4}:)", r"(?:0{1,4}(?::0{1,4})*)?::(?:0{1,4}:)*"
+    six = rf"^(?:{zeros}{{7}}0{{0,3}}[01]|{short}0{{0,3}}[01]?|ff[0-9a-f]{{2}}:[0-9a-f:.]*|fe[89ab][0-9a-f]:[0-9a-f:.]*|f[cd][0-9a-f]{{2}}:[0-9a-f:.]*|(?:{zeros}{{5}}|{short})ffff:{_INSIDE4})$"
+    return whole.rlike(six) | host.rlike(four) | host.rlike(r"^localhost$|\.local$|\.internal$")

@@ -61,6 +61,12 @@ def numeric(df: DataFrame, name: str) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """The column as a double; null for blanks and texts that are no number."""
+    c = F.col(f"`{name}`")
+    return cells.number_of(c) if isinstance(df.schema[name].dataType, T.StringType) else c.cast("double")
+
+
 def filter_number(df: DataFrame, name: str, mode: str, a: float, b: float | None = None) -> DataFrame:
     """gt, lt (strict) or between (inclusive)."""
     plain = F.col(f"`{name}`")
@@ -75,8 +81,8 @@ def filter_top(df: DataFrame, name: str, n: int = 10) -> DataFrame:
 
     The n-th largest value comes from a bounded top-n per task, not from a sort of the table.
     """
-    top = df.select(F.col(f"`{name}`").cast("double").alias("_v")).where("_v is not null").orderBy(F.col("_v").desc()).limit(n).agg(F.min("_v").alias("_least"))
-    return df.join(F.broadcast(top), F.col(f"`{name}`").cast("double") >= F.col("_least"), "left_semi")  # one row
+    top = df.select(_number(df, name).alias("_v")).where("_v is not null").orderBy(F.col("_v").desc()).limit(n).agg(F.min("_v").alias("_least"))
+    return df.join(F.broadcast(top), _number(df, name) >= F.col("_least"), "left_semi")  # one row
 
 
 def filter_date(df: DataFrame, name: str, mode: str, a: str, b: str | None = None) -> DataFrame:
@@ -139,11 +145,11 @@ def last_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def pivot(df: DataFrame, row: str, value: str, how: str, column: str | None = None, column_values: Sequence[str] | None = None) -> DataFrame:
-    """Cross table of sum, count or average; blank values count as 0, absent combinations show 0.
+    """Cross table of sum, count or average; blank values count as 0, what is no number is left out, absent combinations show 0.
 
     Giving the column values saves the pass that finds them.
     """
-    v = F.coalesce(F.col(f"`{value}`").cast("double"), F.lit(0.0))
+    v = numeric(df, value)
     agg = {"sum": F.sum(v), "count": F.count(v), "average": F.avg(v)}[how]
     groups = df.groupBy(cell_text(df, row).alias(row))
     if column is None:
@@ -160,7 +166,7 @@ def chart_series(df: DataFrame, label: str, series: Sequence[str]) -> DataFrame:
 
 def pie_shares(df: DataFrame, label: str, value: str) -> DataFrame:
     """Each label's share of the total; negative values and blanks are 0; no rows when the total is 0."""
-    v = F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    v = F.greatest(F.coalesce(_number(df, value), F.lit(0.0)), F.lit(0.0))
     total = df.agg(F.sum(v).alias("_total"))
     joined = df.select(F.col(label).alias("label"), v.alias("value")).join(F.broadcast(total), F.col("_total") > 0)  # one row
     return joined.select("label", "value", (F.col("value") / F.col("_total")).alias("share"))
@@ -168,7 +174,8 @@ def pie_shares(df: DataFrame, label: str, value: str) -> DataFrame:
 
 def nice_scale(df: DataFrame, value: str) -> DataFrame:
     """Axis from the values' range: a step of 1, 2 or 5 times a power of ten, about a fifth of it."""
-    r = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    v = _number(df, value)
+    r = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     rough = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / 5).otherwise(F.lit(1.0))
     power = F.pow(F.lit(10.0), F.floor(F.log10(rough)))
     lead = rough / power
@@ -178,8 +185,9 @@ def nice_scale(df: DataFrame, value: str) -> DataFrame:
 
 def sparkline(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """The values of a group in order, scaled to 0 to 1; 0.5 where all are equal."""
-    pts = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
-    g = df.groupBy(*by).agg(pts.alias("_p"), F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    v = _number(df, value)
+    pts = F.array_sort(F.collect_list(F.struct(*order, v.alias("_v"))))
+    g = df.groupBy(*by).agg(pts.alias("_p"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     scaled = F.transform("_p", lambda p: F.when(F.col("_hi") > F.col("_lo"), (p["_v"] - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.5))
     return g.select(*by, scaled.alias("points"))
 

@@ -8,8 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: replacements made while typing.
-AUTOCORRECT = {"(c)": "©", "(r)": "®", "(tm)": "™", "...": "…", "--": "—", "->": "→", "<-": "←", "teh": "the", "adn": "and", "recieve": "receive"}
+#: Misspellings that are put right while typing.
+AUTOCORRECT = {
+    "teh": "the", "adn": "and", "hte": "the", "taht": "that", "wiht": "with", "thier": "their", "recieve": "receive", "occured": "occurred", "seperate": "separate", "definately": "definitely",
+    "accomodate": "accommodate", "acheive": "achieve", "occurence": "occurrence", "enviroment": "environment", "goverment": "government", "begining": "beginning", "beleive": "believe",
+    "calender": "calendar", "collegue": "colleague", "commitee": "committee", "concensus": "consensus",
+}
 
 
 def word_count(text: Column) -> Column:
@@ -94,16 +98,29 @@ def version_deltas(df: DataFrame, key: str, version: str, text: str) -> DataFram
     return w.withColumn("delta", F.col("words") - F.first("words").over(last))
 
 
+#: White space as the editor's patterns know it.
+_BLANK = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def heading_level(line: Column) -> Column:
-    """1 to 3 for lines that look like headings, 0 for others: short, without a final stop; capitals, numbers, a colon or title case."""
-    t = F.trim(line)
+    """1 to 3 for lines that look like headings, 0 for others; the first rule that fits counts.
+
+    Under 80 characters in capitals and at most 15 words: 1.  Under 80 in title case, 2 to 15 words without a sentence sign
+    before the last character: 2.  Under 120 after a number with . or ), at most 12 words without such a sign: 2.  Under 80
+    with a colon at the end and at most 10 words: 3.
+    """
+    t = F.regexp_replace(line, f"^{_BLANK}+|{_BLANK}+$", "")
     n = F.char_length(t)
-    caps = (F.upper(t) == t) & (F.lower(t) != t)
-    numbered = t.rlike(r"^\d+(\.\d+)*[.)]?\s+\S")
-    deep = t.rlike(r"^\d+\.\d+")
-    title = t.rlike(r"^(\p{Lu}[\p{L}\p{N}'’-]*)(\s+(\p{Lu}[\p{L}\p{N}'’-]*|a|an|and|of|or|the|to|in|for|on))*$")
-    short = (n > 0) & (n <= 80) & ~t.rlike(r"[.!?,;]$")
-    return F.when(~short, 0).when(caps & (n <= 50), 1).when(numbered & deep, 3).when(numbered, 2).when(t.endswith(":"), 3).when(title & (n <= 60), 2).otherwise(0)
+    words = F.size(F.split(t, f"{_BLANK}+", -1))
+    caps = (F.upper(t) == t) & (n > 3) & t.rlike("[A-Z]")
+    title = ~t.rlike(f"(^|{_BLANK})[^A-Za-z0-9_{_BLANK[1:]}*[a-z]")
+    plain = ~F.substring(t, F.lit(1), n - 1).rlike("[.!?;]")
+    numbered = t.rlike(rf"^\d+[.)]{_BLANK}")
+    short = n < 80
+    return (
+        F.when(F.coalesce(n, F.lit(0)) == 0, 0).when(short & caps & (words <= 15), 1).when(short & title & plain & words.between(2, 15), 2)
+        .when((n < 120) & numbered & plain & (words <= 12), 2).when(short & t.endswith(":") & (words <= 10), 3).otherwise(0)
+    )
 
 
 SCRIPTS = {"latin": r"\p{IsLatin}", "greek": r"\p{IsGreek}", "cyrillic": r"\p{IsCyrillic}", "han": r"\p{IsHan}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}"}

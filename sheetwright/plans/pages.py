@@ -25,17 +25,21 @@ _q("page_duplicate", "SELECT * FROM (VALUES (1, 'b1'), (2, 'b1'), (3, 'b2')) AS
 _q("page_merge", "SELECT * FROM (VALUES ('m', 1, 'b1'), ('m', 2, 'b2'), ('m', 3, 'a1'), ('m', 4, 'a2'), ('m', 5, 'a3'), ('m', 6, 'a4')) AS t(doc_id, page_no, content)", lambda s, d: pages.merge_documents(_pages(s), ["b", "a"], "m").select("doc_id", "page_no", "content"))
 _q("redact_text", "SELECT item_id, regexp_replace(text, 'the', '███', 'g') AS text FROM benchmark", lambda s, d: table(s, d, "benchmark").select("item_id", pages.redact(F.col("text"), ["the"]).alias("text")))
 _q("paginate_blocks", """
-    WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, least(length(text), 900)::DOUBLE AS h FROM conversations),
+    WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text)::DOUBLE AS h FROM conversations),
     p(conv_id, i, turn, page, used) AS (SELECT conv_id, i, turn, 1, h FROM b WHERE i = 1
-      UNION ALL SELECT b.conv_id, b.i, b.turn, CASE WHEN p.used + b.h > 1000 THEN p.page + 1 ELSE p.page END, CASE WHEN p.used + b.h > 1000 THEN b.h ELSE p.used + b.h END FROM p JOIN b ON b.conv_id = p.conv_id AND b.i = p.i + 1)
+      UNION ALL SELECT b.conv_id, b.i, b.turn, CASE WHEN p.used > 0 AND p.used + b.h > 1000 THEN p.page + 1 ELSE p.page END, CASE WHEN p.used > 0 AND p.used + b.h > 1000 THEN b.h ELSE p.used + b.h END FROM p JOIN b ON b.conv_id = p.conv_id AND b.i = p.i + 1)
     SELECT conv_id AS doc_id, turn AS ord, CAST(page AS INT) AS page FROM p""",
-    lambda s, d: pages.paginate_blocks(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.least(F.char_length("text"), F.lit(900)).alias("height"), F.lit(False).alias("keep_next")), 1000))
+    lambda s, d: pages.paginate_blocks(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.char_length("text").alias("height"), F.lit(False).alias("keep_next")), 1000))
 _q("doc_table_ranges", "SELECT * FROM (VALUES ('d', 1, 2, 3), ('d', 4, 4, 1)) AS t(doc_id, first, last, cells)",
     lambda s, d: pages.table_ranges(s.createDataFrame([("d", 0, "x"), ("d", 1, "a\x07b\x07"), ("d", 2, "c\x07"), ("d", 3, "y"), ("d", 4, "z\x07")], "doc_id string, ord int, text string")))
-_q("safe_filename", "SELECT * FROM (VALUES ('../../etc/pass wd', 'pass wd'), ('a<b>.txt', 'ab.txt'), ('..', 'file')) AS t(raw, safe)",
-    lambda s, d: s.createDataFrame([("../../etc/pass wd",), ("a<b>.txt",), ("..",)], "raw string").select("raw", pages.safe_filename(F.col("raw")).alias("safe")))
-_q("private_host", "SELECT url, regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^(localhost|10\\..*)$') AS private FROM pages",
-    lambda s, d: table(s, d, "pages").select("url", pages.is_private_host(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)).alias("private")))
+_q("safe_filename", r"""SELECT url, CASE WHEN regexp_matches(f, '^\.*$') THEN 'document' ELSE f END AS safe FROM (SELECT url, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[<>:"|?*]', '_', 'g') AS f FROM pages)""",
+    lambda s, d: table(s, d, "pages").select("url", pages.safe_filename(F.col("url")).alias("safe")))
+_q("private_host", "SELECT url, regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^localhost$|[.](local|internal)$') AS private FROM pages",
+    lambda s, d: table(s, d, "pages").select("url", pages.is_private_host(F.col("url")).alias("private")))
+_q("private_address", """
+    WITH a AS (SELECT event_id, event_id % 256 AS a, (event_id // 256) % 256 AS b FROM events)
+    SELECT event_id, a IN (0, 10, 127) AND (a > 0 OR b = 0 AND event_id % 2 = 0) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR a BETWEEN 224 AND 239 OR (a = 192 AND b = 0 AND event_id % 2 = 1) AS private FROM a""",
+    lambda s, d: table(s, d, "events").select("event_id", pages.is_private_host(F.expr("concat('http://', event_id % 256, '.', (event_id div 256) % 256, case when event_id % 2 = 0 then '.0.0:80/x' else '.2.7' end)")).alias("private")))
 _q("named_ranges", "SELECT o_orderkey, o_totalprice * 1.1 + 5 AS v FROM orders",
     lambda s, d: with_formulas(table(s, d, "orders"), {"v": store.expand_names("=gross+fee", {"gross": "=[o_totalprice]*rate", "rate": "1.1", "fee": "5"})}, errors=False).select("o_orderkey", "v"))
 _q("builder_tables_csv", "SELECT 'd' AS doc_id, 'a,\"b,c\"' || chr(10) || '1,2' || chr(10) || chr(10) || 'x' AS text",

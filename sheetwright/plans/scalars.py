@@ -27,10 +27,8 @@ _formulas("fn_substitute", "customer", ["c_custkey"], {"all_": '=SUBSTITUTE([c_n
     "SELECT c_custkey, replace(c_name, '0', 'o') AS all_, regexp_replace(c_name, '^([^0]*0[^0]*)0', '\\1X') AS second FROM customer")
 _formulas("fn_text_value", "orders", ["o_orderkey"], {"p": '=TEXT([o_totalprice]/1000000,"0.0%")', "v": '=VALUE("$1,250.5")', "w": '=IFERROR(VALUE([o_orderpriority]),-1)', "t": "=[o_orderkey]&\"\""},
     "SELECT o_orderkey, format('{:.1f}%', o_totalprice / 1000000 * 100) AS p, 1250.5::DOUBLE AS v, -1::DOUBLE AS w, CAST(o_orderkey AS VARCHAR) AS t FROM orders")
-_formulas("fn_trim_case", "documents", ["doc_id"], {"t": "=TRIM(LEFT([text],60))", "u": "=UPPER([lang])", "l": "=LOWER([source])"},
-    r"SELECT doc_id, trim(regexp_replace(substring(text, 1, 60), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t, upper(lang) AS u, lower(source) AS l FROM documents")
-_formulas("fn_trim_whole", "documents", ["doc_id"], {"t": "=TRIM([text])"},
-    r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM documents")
+_formulas("fn_trim_case", "documents", ["doc_id"], {"t": "=TRIM([text])", "u": "=UPPER([lang])", "l": "=LOWER([source])"},
+    r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t, upper(lang) AS u, lower(source) AS l FROM documents")
 _formulas("fn_round_mod_int", "lineitem", ["l_orderkey", "l_linenumber"], {"r": "=ROUND([l_extendedprice]*[l_discount],2)", "m": "=MOD([l_quantity],-7)", "i": "=INT(-[l_tax]*100)", "a": "=ABS([l_discount]-0.05)"},
     """SELECT l_orderkey, l_linenumber, sign(x) * (floor(abs(x * 100)) + CASE WHEN abs(x * 100) - floor(abs(x * 100)) >= 0.5 THEN 1 ELSE 0 END) / 100 AS r, l_quantity + 7 * floor(l_quantity / -7) AS m, floor(-l_tax * 100) + 0 AS i, abs(l_discount - 0.05) AS a
     FROM (SELECT *, l_extendedprice * l_discount AS x FROM lineitem)""")
@@ -59,7 +57,7 @@ def _q(name: str, sql: str | None, make) -> None:
 
 _q("a1_roundtrip", "SELECT o_orderkey, CAST(o_orderkey % 16384 AS INT) AS back FROM orders",
     lambda s, d: table(s, d, "orders").select("o_orderkey", cells.column_number(cells.column_letters(F.col("o_orderkey") % 16384)).alias("back")))
-_q("fn_now_today", None, lambda s, d: with_formulas(table(s, d, "region"), {"n": "=NOW()", "t": "=TODAY()"}, errors=False).select("r_regionkey", (F.floor("n") == F.col("t")).alias("same_day")))
+_q("fn_now_today", "SELECT r_regionkey, true AS same_day FROM region", lambda s, d: with_formulas(table(s, d, "region"), {"n": "=NOW()", "t": "=TODAY()"}, errors=False).select("r_regionkey", (F.floor("n") == F.col("t")).alias("same_day")))
 _q("serial_time_format", "SELECT event_id, strftime(ts, '%H:%M:%S') AS t FROM events",
     lambda s, d: table(s, d, "events").select("event_id", cells.serial_time(F.expr("(hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 86400D")).alias("t")))
 _q("display_formats", "SELECT o_orderkey, format('{:.2f}%', o_totalprice) AS pct, format('{:.2e}', o_totalprice) AS sci FROM orders",
@@ -75,20 +73,15 @@ _q("word_char_counts", """
     lambda s, d: text.counts(table(s, d, "documents"), "doc_id", "text"))
 _q("split_paragraphs", "SELECT doc_id, CAST(i - 1 AS INT) AS ord, p AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)",
     lambda s, d: text.paragraphs(table(s, d, "documents"), "doc_id", "text"))
-_q("auto_heading", """
-    WITH p AS (SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS t FROM conversations)
-    SELECT conv_id, turn, CAST(CASE WHEN length(t) = 0 OR length(t) > 80 OR regexp_matches(t, '[.!?,;]$') THEN 0 WHEN upper(t) = t AND lower(t) <> t AND length(t) <= 50 THEN 1
-    WHEN regexp_matches(t, '^\\d+(\\.\\d+)*[.)]?\\s+\\S') THEN CASE WHEN regexp_matches(t, '^\\d+\\.\\d+') THEN 3 ELSE 2 END WHEN ends_with(t, ':') THEN 3
-    WHEN regexp_matches(t, '^(\\p{Lu}[\\p{L}\\p{N}''’-]*)(\\s+(\\p{Lu}[\\p{L}\\p{N}''’-]*|a|an|and|of|or|the|to|in|for|on))*$') AND length(t) <= 60 THEN 2 ELSE 0 END AS INT) AS level FROM p""",
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.heading_level(F.get(F.split("text", "\n"), F.lit(0))).alias("level")))
-_q("auto_heading_lines", """
-    WITH l AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), p AS (SELECT conv_id, turn, CAST(unnest(range(len(l))) AS INT) AS line, trim(unnest(l)) AS t FROM l)
-    SELECT conv_id, turn, line, CAST(CASE WHEN length(t) = 0 OR length(t) > 80 OR regexp_matches(t, '[.!?,;]$') THEN 0 WHEN upper(t) = t AND lower(t) <> t AND length(t) <= 50 THEN 1
-    WHEN regexp_matches(t, '^\\d+(\\.\\d+)*[.)]?\\s+\\S') THEN CASE WHEN regexp_matches(t, '^\\d+\\.\\d+') THEN 3 ELSE 2 END WHEN ends_with(t, ':') THEN 3
-    WHEN regexp_matches(t, '^(\\p{Lu}[\\p{L}\\p{N}''’-]*)(\\s+(\\p{Lu}[\\p{L}\\p{N}''’-]*|a|an|and|of|or|the|to|in|for|on))*$') AND length(t) <= 60 THEN 2 ELSE 0 END AS INT) AS level FROM p""",
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "l")).select("conv_id", "turn", "line", text.heading_level(F.col("l")).alias("level")))
-_q("autocorrect_replace", "SELECT item_id, list_aggregate(list_transform(string_split(text, ' '), lambda w: CASE w WHEN 'teh' THEN 'the' WHEN 'th' THEN 'the' WHEN 'nd' THEN 'and' ELSE w END), 'string_agg', ' ') AS text FROM benchmark",
-    lambda s, d: table(s, d, "benchmark").select("item_id", text.autocorrect(F.col("text"), {"teh": "the", "th": "the", "nd": "and"}).alias("text")))
+_q("auto_heading", r"""
+    WITH l AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), p AS (SELECT conv_id, turn, CAST(unnest(range(len(l))) AS INT) AS line, trim(unnest(l)) AS t FROM l),
+    q AS (SELECT *, len(string_split_regex(t, '\s+')) AS w, NOT regexp_matches(t[1:length(t) - 1], '[.!?;]') AS plain FROM p)
+    SELECT conv_id, turn, line, CAST(CASE WHEN t = '' THEN 0 WHEN length(t) < 80 AND upper(t) = t AND length(t) > 3 AND regexp_matches(t, '[A-Z]') AND w <= 15 THEN 1
+    WHEN length(t) < 80 AND NOT regexp_matches(t, '(^|\s)[^\sA-Za-z0-9_]*[a-z]') AND plain AND w BETWEEN 2 AND 15 THEN 2 WHEN length(t) < 120 AND regexp_matches(t, '^\d+[.)]\s') AND plain AND w <= 12 THEN 2
+    WHEN length(t) < 80 AND ends_with(t, ':') AND w <= 10 THEN 3 ELSE 0 END AS INT) AS level FROM q""",
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "t")).select("conv_id", "turn", "line", text.heading_level(F.col("t")).alias("level")))
+_q("autocorrect_replace", "SELECT doc_id, list_aggregate(list_transform(string_split(replace(text, 'the', 'teh'), ' '), lambda w: CASE w WHEN 'teh' THEN 'the' ELSE w END), 'string_agg', ' ') AS text FROM documents",
+    lambda s, d: table(s, d, "documents").select("doc_id", text.autocorrect(F.call_function("replace", F.col("text"), F.lit("the"), F.lit("teh"))).alias("text")))
 _q("find_whole_word", r"""
     WITH h AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w = 'the')) AS hits, text FROM documents)
     SELECT doc_id, CAST(hits AS BIGINT) AS hits FROM h WHERE hits > 0""",
@@ -133,32 +126,25 @@ _q("detect_delimiter", f"""
     r AS (SELECT id, s, o, CASE WHEN len(l) > 0 AND n[1] > 0 THEN len(list_filter(n, lambda k: k = n[1])) / len(l) * list_sum(n) / len(l) ELSE 0 END AS score FROM c)
     SELECT id, CASE WHEN max(score) > 0 THEN arg_max(s, score * 1000 - o) ELSE ',' END AS sign FROM r GROUP BY id""",
     lambda s, d: _texts(s).select("id", detect.detect_delimiter(F.col("text")).alias("sign")))
-_q("looks_like_csv", f"""
-    WITH l AS (SELECT id, list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:10], lambda x: length(x) - length(replace(x, ',', ''))) AS n FROM {_LINES})
-    SELECT id, coalesce(len(n) >= 2 AND n[1] >= 1 AND len(list_filter(n, lambda k: k = n[1])) * 100 >= len(n) * 70, false) AS csv FROM l""",
-    lambda s, d: _texts(s).select("id", detect.looks_like_csv(F.col("text")).alias("csv")))
-_q("looks_like_csv_documents", """
-    WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:10], lambda x: length(x) - length(replace(x, ',', ''))) AS n FROM documents)
+_q("looks_like_csv", r"""
+    WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10))[1:10], lambda x: length(x) - length(replace(x, ',', ''))) AS n FROM documents)
     SELECT doc_id, coalesce(len(n) >= 2 AND n[1] >= 1 AND len(list_filter(n, lambda k: k = n[1])) * 100 >= len(n) * 70, false) AS csv FROM l""",
     lambda s, d: table(s, d, "documents").select("doc_id", detect.looks_like_csv(F.col("text")).alias("csv")))
-_q("looks_like_markdown", f"""
-    SELECT id, coalesce(list_sum(list_transform(string_split(text, chr(10))[1:30], lambda x: CASE WHEN regexp_matches(x, '^#{{1,6}} ') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(trim(x), '^([-*+] |\\d+\\. )') THEN 1 ELSE 0 END
-    + CASE WHEN contains(x, '](') THEN 2 ELSE 0 END + CASE WHEN starts_with(trim(x), '```') THEN 2 ELSE 0 END + CASE WHEN contains(x, '**') THEN 1 ELSE 0 END)), 0) >= 3 AS md FROM {_LINES}""",
-    lambda s, d: _texts(s).select("id", detect.looks_like_markdown(F.col("text")).alias("md")))
+_q("looks_like_markdown", r"""
+    SELECT conv_id, turn, coalesce(list_sum(list_transform(list_transform(string_split(text, chr(10))[1:30], lambda x: trim(x)), lambda x: CASE WHEN starts_with(x, '#') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '^(- |\* |1\. )') THEN 1 ELSE 0 END
+    + CASE WHEN contains(x, '](') THEN 2 ELSE 0 END + CASE WHEN starts_with(x, '```') THEN 2 ELSE 0 END + CASE WHEN contains(x, '**') OR contains(x, '__') THEN 1 ELSE 0 END)), 0) >= 3 AS md
+    FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '# ' || text WHEN 1 THEN '- a' || chr(10) || '1. ' || text || chr(10) || '* __c__' WHEN 2 THEN '2. a' || chr(10) || '+ [x](y)' ELSE text END AS text FROM conversations)""",
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", detect.looks_like_markdown(F.expr("case turn % 4 when 0 then concat('# ', text) when 1 then concat('- a\\n1. ', text, '\\n* __c__') when 2 then '2. a\\n+ [x](y)' else text end")).alias("md")))
 _q("csv_escape_row", """
     SELECT doc_id, CASE WHEN regexp_matches(text, '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || lang || ',' || doc_id AS line FROM documents""",
     lambda s, d: table(s, d, "documents").select("doc_id", delimited.csv_line([F.col("text"), F.col("lang"), F.col("doc_id").cast("string")]).alias("line")))
 _q("formula_injection_escape", "SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+@|\\t\\r-]') THEN '''' || text ELSE text END AS safe FROM documents",
     lambda s, d: table(s, d, "documents").select("doc_id", cells.escape_formula(F.col("text")).alias("safe")))
-_q("type_infer", """
-    WITH v AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CAST(conv_id AS VARCHAR) WHEN 1 THEN 'TRUE' WHEN 2 THEN '=A1+' || turn ELSE substring(text, 1, 5) END AS t FROM conversations)
-    SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN starts_with(t, '=') OR starts_with(t, '{=') THEN 'formula' WHEN lower(t) IN ('true', 'false') THEN 'boolean'
-    WHEN regexp_matches(t, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN 'number' ELSE 'string' END AS kind FROM v""",
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", cells.infer_type(F.expr("case turn % 4 when 0 then cast(conv_id as string) when 1 then 'TRUE' when 2 then concat('=A1+', turn) else substring(text, 1, 5) end")).alias("kind")))
-_q("type_infer_text", """
-    SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN starts_with(text, '=') OR starts_with(text, '{=') THEN 'formula' WHEN lower(text) IN ('true', 'false') THEN 'boolean'
-    WHEN regexp_matches(text, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN 'number' ELSE 'string' END AS kind FROM conversations""",
-    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", cells.infer_type(F.col("text")).alias("kind")))
+_q("type_infer", r"""
+    WITH v AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CAST(conv_id AS VARCHAR) WHEN 1 THEN 'TRUE' WHEN 2 THEN '=A1+' || turn ELSE text END AS t FROM conversations)
+    SELECT conv_id, turn, CASE WHEN coalesce(t, '') = '' THEN 'empty' WHEN starts_with(t, '=') OR starts_with(t, '{=') THEN 'formula' WHEN lower(t) IN ('true', 'false') THEN 'boolean'
+    WHEN regexp_matches(t, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') THEN 'number' ELSE 'string' END AS kind FROM v""",
+    lambda s, d: table(s, d, "conversations").select("conv_id", "turn", cells.infer_type(F.expr("case turn % 4 when 0 then cast(conv_id as string) when 1 then 'TRUE' when 2 then concat('=A1+', turn) else text end")).alias("kind")))
 _q("format_by_name", "SELECT url, CASE WHEN regexp_matches(url, '\\.md$') THEN 'md' END AS format FROM (SELECT 'x/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.md' ELSE '.bin' END AS url FROM pages)",
     lambda s, d: table(s, d, "pages").select(F.expr("concat('x/', page_id, case when page_id % 2 = 0 then '.md' else '.bin' end)").alias("url")).select("url", detect.format_by_name(F.col("url")).alias("format")))
 _q("csv_cells", f"""

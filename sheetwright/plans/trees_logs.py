@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import recalculate_frame
@@ -33,15 +33,16 @@ def _marked(spark: SparkSession) -> DataFrame:
 
 _q("node_type_counts", f"SELECT doc_id, 'Paragraph' AS type, count(*) AS n FROM {_LINES} WHERE l <> '---' GROUP BY 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Body', 1 FROM documents UNION ALL SELECT doc_id, 'PageBreak', count(*) FROM {_LINES} WHERE l = '---' GROUP BY 1",
     lambda s, d: doctree.type_counts(_nodes(s, d)))
-_q("plain_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(ltrim(regexp_replace(text, '\\n+', chr(10), 'g'), chr(10))) AS h FROM documents WHERE NOT regexp_matches(text, '(^|\\n)(#{1,6} | *- | *\\d+\\. |---)') AND NOT regexp_matches(text, '\\n\\n|\\n$|^\\n')",
+_q("plain_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(ltrim(regexp_replace(text, '\\n+', chr(10), 'g'), chr(10))) AS h FROM documents",
     lambda s, d: doctree.plain_text(doctree.from_text(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
 _q("headings", "SELECT * FROM (VALUES ('1', 1, 'One'), ('1', 2, 'Two'), ('3', 3, 'Three'), ('3', 4, 'Four')) AS t(doc_id, level, text)", lambda s, d: doctree.headings(_marked(s)).select("doc_id", "level", "text"))
 _q("toc_entries", "SELECT * FROM (VALUES ('1', 1, 'TOC1', 'One'), ('1', 2, 'TOC2', 'Two'), ('3', 1, 'TOC3', 'Three')) AS t(doc_id, entry, style, text)", lambda s, d: doctree.toc_entries(_marked(s)))
 _q("list_counters", "SELECT * FROM (VALUES ('1', '0.3', 0, 1), ('1', '0.4', 0, 2), ('1', '0.5', 1, 1), ('1', '0.6', 0, 3), ('1', '0.8', 0, 1)) AS t(doc_id, node_id, level, counter)", lambda s, d: doctree.list_counters(_marked(s)))
-_q("text_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS h FROM documents WHERE NOT regexp_matches(text, '(^|\\n) *\\d+\\. ')",
+_q("text_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS h FROM documents",
     lambda s, d: doctree.render_text(doctree.from_text(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
 _q("body_paragraph_count", f"SELECT doc_id, count(*) AS n FROM {_LINES} WHERE l <> '---' GROUP BY 1", lambda s, d: doctree.body_paragraphs(_nodes(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-_q("hierarchy_errors", "SELECT * FROM (VALUES ('d', 'c', 'TableRow', 'Body')) AS t(doc_id, node_id, type, parent_type)", lambda s, d: doctree.hierarchy_errors(_small_tree(s)).where("node_id = 'c'"))
+_q("hierarchy_errors", f"SELECT doc_id, '0.' || i AS node_id, 'TableRow' AS type, 'Body' AS parent_type FROM {_LINES} WHERE i % 10 = 3",
+    lambda s, d: doctree.hierarchy_errors(_nodes(s, d).withColumn("type", F.expr("case when depth = 1 and pos % 10 = 3 then 'TableRow' else type end"))))
 
 _TREE = [
     ("d", "a", None, [0], "Body", {}), ("d", "b", "a", [0, 0], "Paragraph", {"RevisionType": "Insert", "RevisionAuthor": "x", "RevisionDate": "2024"}), ("d", "b1", "b", [0, 0, 0], "Run", {}),
@@ -59,15 +60,14 @@ _q("accept_changes", "SELECT unnest(['a', 'b', 'b1', 'e']) AS node_id", lambda s
 _q("reject_changes", "SELECT unnest(['a', 'c', 'c1', 'e']) AS node_id", lambda s, d: doctree.settle_changes(_small_tree(s), False).select("node_id"))
 _q("descendants", "SELECT * FROM (VALUES ('a', 'b'), ('a', 'b1'), ('a', 'c'), ('a', 'c1'), ('a', 'e'), ('b', 'b1')) AS t(root_id, node_id)",
     lambda s, d: doctree.within(_small_tree(s), s.createDataFrame([("d", "a"), ("d", "b")], "doc_id string, root_id string")).select("root_id", "node_id"))
-_q("ancestors_recursive", "SELECT * FROM (VALUES ('b', 'a', 1), ('b1', 'b', 1), ('b1', 'a', 2), ('c', 'a', 1), ('c1', 'c', 1), ('c1', 'a', 2), ('e', 'a', 1)) AS t(node_id, ancestor_id, distance)", lambda s, d: doctree.ancestors(_small_tree(s)).select("node_id", "ancestor_id", "distance"))
+_q("ancestors_recursive", "SELECT a.conv_id AS doc_id, a.turn AS node_id, b.turn AS ancestor_id, CAST(a.turn - b.turn AS INT) AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn",
+    lambda s, d: doctree.ancestors(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("node_id"), F.expr("case when turn > 0 then turn - 1 end").alias("parent_id"))))
 _q("selection_range", "SELECT unnest(['b1', 'c', 'c1']) AS node_id", lambda s, d: doctree.selection(_small_tree(s), [0, 0, 0], [0, 1, 0]).select("node_id"))
-_q("style_resolution", "SELECT * FROM (VALUES ('base', 'bold', '0'), ('base', 'size', '10'), ('mid', 'bold', '1'), ('mid', 'size', '10'), ('leaf', 'bold', '1'), ('leaf', 'size', '12')) AS t(style_id, key, value)",
-    lambda s, d: doctree.resolve_styles(s.createDataFrame([("base", None, {"bold": "0", "size": "10"}), ("mid", "base", {"bold": "1"}), ("leaf", "mid", {"size": "12"})], "style_id string, parent_id string, attrs map<string,string>")).select("style_id", F.explode("attrs").alias("key", "value")))
+_q("style_resolution", "SELECT a.n_nationkey AS style_id, 'k' || (b.n_nationkey % 3) AS key, arg_max(b.n_name, b.n_nationkey) AS value FROM nation a JOIN nation b ON b.n_nationkey <= a.n_nationkey GROUP BY 1, 2",
+    lambda s, d: doctree.resolve_styles(table(s, d, "nation").select(F.col("n_nationkey").alias("style_id"), F.expr("case when n_nationkey > 0 then n_nationkey - 1 end").alias("parent_id"), F.create_map(F.concat(F.lit("k"), F.col("n_nationkey") % 3), "n_name").alias("attrs"))).select("style_id", F.explode("attrs").alias("key", "value")))
 _q("attr_merge", "SELECT * FROM (VALUES ('a', '1'), ('b', '9'), ('c', '3')) AS t(k, v)",
     lambda s, d: s.createDataFrame([({"a": "1", "b": "2"}, {"b": "9", "c": "3"})], "l map<string,string>, r map<string,string>").select(F.explode(doctree.merge_attrs(F.col("l"), F.col("r"))).alias("k", "v")))
-_q("comment_threads", "SELECT c.turn AS comment_id, CASE WHEN c.turn > 0 THEN 0 END AS parent_id, CASE WHEN c.turn = 0 THEN (SELECT count(*) FROM conversations WHERE conv_id = 1 AND turn > 0) ELSE 0 END AS replies FROM conversations c WHERE conv_id = 1",
-    lambda s, d: doctree.comment_threads(_comments(s, d).where("doc_id = 1")).drop("doc_id"))
-_q("comment_threads_all", "SELECT conv_id AS doc_id, turn AS comment_id, CASE WHEN turn > 0 THEN 0 END AS parent_id, CASE WHEN turn = 0 THEN count(*) FILTER (turn > 0) OVER (PARTITION BY conv_id) ELSE 0 END AS replies FROM conversations",
+_q("comment_threads", "SELECT conv_id AS doc_id, turn AS comment_id, CASE WHEN turn > 0 THEN 0 END AS parent_id, CASE WHEN turn = 0 THEN count(*) FILTER (turn > 0) OVER (PARTITION BY conv_id) ELSE 0 END AS replies FROM conversations",
     lambda s, d: doctree.comment_threads(_comments(s, d)))
 _q("numbering_override", "SELECT * FROM (VALUES (1, 0, 'decimal'), (1, 1, 'roman')) AS t(num_id, level, format)",
     lambda s, d: doctree.numbering(s.createDataFrame([(1, 0), (1, 1)], "num_id int, level int"), s.createDataFrame([(1, 0, "decimal"), (1, 1, "alpha")], "num_id int, level int, format string"), s.createDataFrame([(1, 1, "roman")], "num_id int, level int, format string")))
@@ -113,9 +113,23 @@ _q("sv_merge", f"SELECT doc_id, replica, max(lamport) AS lamport FROM {_OPS} WHE
 _q("sv_diff", f"SELECT a.doc_id, a.replica, coalesce(seen, 0) AS from_lamport, a.m AS to_lamport FROM (SELECT doc_id, replica, max(lamport) AS m FROM {_OPS} GROUP BY ALL) a LEFT JOIN {_SV} v USING (doc_id, replica) WHERE m > coalesce(seen, 0)", lambda s, d: oplog.vector_diff(oplog.state_vector(_ops(s, d)), _sv(s, d)))
 _q("sv_dominates", "SELECT 'doc' AS doc_id, 'dominates' AS relation", lambda s, d: oplog.compare_vectors(oplog.state_vector(_ops(s, d)), _sv(s, d)))
 _q("op_redelivery", f"SELECT count(*) AS n FROM {_OPS}", lambda s, d: oplog.once(_ops(s, d).unionAll(_ops(s, d))).agg(F.count(F.lit(1)).alias("n")))
-_TYPED = [("d", 1, 1, "InsertText", "n", "ab", 0), ("d", 1, 3, "InsertText", "n", "c", 2), ("d", 1, 4, "InsertText", "n", "é", 3), ("d", 1, 5, "InsertText", "n", "f", 4), ("d", 2, 6, "InsertText", "n", "z", 0)]
-_q("op_compress", "SELECT * FROM (VALUES (1, 1, 0, 3, 'abcé'), (1, 5, 4, 1, 'f'), (2, 6, 0, 1, 'z')) AS t(replica, lamport, \"offset\", merged, value)",
-    lambda s, d: oplog.compress(s.createDataFrame(_TYPED, "doc_id string, replica int, lamport int, kind string, target string, value string, offset int")).select("replica", "lamport", "offset", "merged", "value"))
+_TYPED = [("d", 1, 1, "InsertText", "n", "ab", 0, None, None), ("d", 1, 3, "InsertText", "n", "c", 2, 2, 1), ("d", 1, 4, "InsertText", "n", "é", 3, 3, 1), ("d", 1, 5, "InsertText", "n", "f", 4, 4, 1), ("d", 1, 6, "InsertText", "n", "g", 5, 1, 1), ("d", 2, 6, "InsertText", "n", "z", 0, None, None)]
+_q("op_compress", "SELECT * FROM (VALUES (1, 1, 0, 3, 'abcé'), (1, 5, 4, 1, 'f'), (1, 6, 5, 1, 'g'), (2, 6, 0, 1, 'z')) AS t(replica, lamport, \"offset\", merged, value)",
+    lambda s, d: oplog.compress(s.createDataFrame(_TYPED, "doc_id string, replica int, lamport int, kind string, target string, value string, offset int, left_lamport int, left_replica int")).select("replica", "lamport", "offset", "merged", "value"))
+_q("op_compress_events", """
+    WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, substring(event_type, 1, 1) AS c, event_id % 4 <> 0 AS goes FROM events),
+    r AS (SELECT *, sum(CASE WHEN goes AND n > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n) AS run FROM e)
+    SELECT user_id AS replica, min(n) AS lamport, count(*) AS merged, string_agg(c, '' ORDER BY n) AS value FROM r GROUP BY user_id, run""",
+    lambda s, d: oplog.compress(_typed(s, d)).select("replica", "lamport", "merged", "value"))
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as letters that their user types one after the other; every fourth one stands elsewhere."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    rows = table(spark, d, "events").select(F.lit("d").alias("doc_id"), F.lit("n").alias("target"), F.lit("InsertText").alias("kind"), F.col("user_id").alias("replica"), n.alias("lamport"), F.substring("event_type", 1, 1).alias("value"), (n - 1).alias("offset"), "event_id")
+    return rows.withColumn("left_lamport", F.expr("case when event_id % 4 <> 0 then lamport - 1 end")).withColumn("left_replica", F.col("replica"))
+
+
 _q("tombstone_gc", f"SELECT o.replica, o.lamport FROM {_OPS} o JOIN (SELECT replica, min(m) AS low FROM (SELECT replica, max(lamport) AS m FROM {_OPS} WHERE lamport % 3 = 0 GROUP BY 1 UNION ALL SELECT replica, max(lamport) FROM {_OPS} WHERE lamport % 2 = 0 GROUP BY 1) GROUP BY 1) v USING (replica) WHERE kind = 'RemoveAttributes' AND o.lamport <= low",
     lambda s, d: oplog.collectable(_ops(s, d).where("kind = 'RemoveAttributes'"), _peers(s, d)).select("replica", "lamport"))
 
@@ -139,12 +153,13 @@ _q("retention_1h", f"""
     WITH r AS (SELECT * FROM {_ROOMS} WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 240 HOUR), z AS (SELECT user_id, count(*) AS n, min(version) AS v FROM r GROUP BY 1)
     SELECT event_id FROM r JOIN z USING (user_id) WHERE n <= 20 OR version >= v + 10""",
     lambda s, d: oplog.retained(_rooms(s, d), "user_id", "ts", F.lit(table(s, d, "events").agg(F.max("ts")).first()[0]), 240, 20, 10).select("event_id"))
-_q("validate_op", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'unknown_type' WHEN event_id % 4 = 2 THEN 'bad_json' ELSE 'no_type' END AS problem FROM events",
+_q("validate_op", """SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'unknown_type' WHEN 2 THEN 'bad_json' WHEN 3 THEN 'no_type' WHEN 5 THEN 'unknown_action' WHEN 7 THEN 'unknown_type' END AS problem FROM events""",
     lambda s, d: _messages(s, d).select("event_id", oplog.message_errors("body").alias("problem")))
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    body = F.expr("""case event_id % 4 when 0 then '{"type":"op"}' when 1 then '{"type":"nope"}' when 2 then '{"type":' else props end""")
+    body = F.expr("""case event_id % 8 when 0 then '{"type":"awareness-batch"}' when 1 then '{"type":"cursor"}' when 2 then '{"type":' when 3 then props when 4 then '{"action":"ssCursor"}'
+        when 5 then '{"action":"cursor"}' when 6 then '{"type":5,"action":"insert"}' else '{"type":"leave","action":"op"}' end""")
     return table(spark, d, "events").select("event_id", body.alias("body"))
 
 
@@ -153,9 +168,30 @@ _q("relay_filter", "SELECT m.event_id, p.p AS \"to\" FROM (SELECT event_id, user
 _q("latest_cursor", "SELECT user_id % 5 AS replica, max(event_id) AS seq FROM events GROUP BY 1", lambda s, d: oplog.latest_cursors(table(s, d, "events").select(F.lit("d").alias("doc_id"), (F.col("user_id") % 5).alias("replica"), F.col("event_id").alias("seq"), F.col("props").alias("state"))).select("replica", "seq"))
 _q("sheet_last_write", "SELECT CAST(user_id % 10 AS INT) AS row, arg_max(event_id, event_id) AS value FROM events GROUP BY 1",
     lambda s, d: oplog.last_cell_writes(table(s, d, "events").select(F.lit("d").alias("doc_id"), F.lit("s").alias("sheet"), (F.col("user_id") % 10).cast("int").alias("row"), F.lit(0).alias("col"), F.col("event_id").alias("value"), F.col("event_id").alias("arrival"))).select("row", "value"))
-_q("text_crdt", "SELECT * FROM (VALUES ('d', 'n', 'hXey')) AS t(doc_id, target, text)", lambda s, d: oplog.converge_text(_crdt(s)))
-_q("tree_crdt", "SELECT * FROM (VALUES ('a', NULL), ('b', 'c'), ('c', 'a')) AS t(node_id, parent_id)",
-    lambda s, d: oplog.converge_tree(s.createDataFrame([("d", 1, 1, "InsertNode", "a", None), ("d", 1, 2, "InsertNode", "b", "a"), ("d", 2, 3, "InsertNode", "c", "a"), ("d", 1, 4, "MoveNode", "b", "c"), ("d", 2, 5, "MoveNode", "c", "b"), ("d", 2, 6, "InsertNode", "e", "c"), ("d", 1, 7, "DeleteNode", "e", None)], "doc_id string, replica int, lamport int, kind string, target string, value string")).select("node_id", "parent_id"))
+_q("text_crdt", "SELECT * FROM (VALUES ('d', 'n', 'heXy')) AS t(doc_id, target, text)", lambda s, d: oplog.converge_text(_crdt(s)))
+_q("text_crdt_between", "SELECT * FROM (VALUES ('d', 'n', 'axyc')) AS t(doc_id, target, text)",
+    lambda s, d: oplog.converge_text(s.createDataFrame([("d", "n", "InsertText", *r) for r in [(4, 2, 1, 1, 2, 1, "y"), (3, 1, 1, 1, 2, 1, "x"), (2, 1, 1, 1, None, None, "c"), (1, 1, None, None, None, None, "a")]], "doc_id string, target string, kind string, lamport int, replica int, left_lamport int, left_replica int, right_lamport int, right_replica int, value string")))
+_q("text_crdt_events", """
+    WITH e AS (SELECT user_id, event_id, substring(event_type, 1, 1) AS c FROM events), h AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1)
+    SELECT CAST(user_id AS VARCHAR) AS doc_id, 'n' AS target, coalesce(string_agg(c, '' ORDER BY CASE WHEN event_id = first THEN 0 WHEN event_id % 3 = 0 THEN -1 ELSE 1 END, CASE WHEN event_id % 3 = 0 THEN -event_id ELSE event_id END) FILTER (event_id % 7 <> 0), '') AS text
+    FROM e JOIN h USING (user_id) GROUP BY 1""",
+    lambda s, d: oplog.converge_text(_edited(s, d)))
+_q("tree_crdt", "SELECT * FROM (VALUES ('a', NULL, 0), ('b', 'c', 0), ('c', 'a', 0), ('f', 'a', 1)) AS t(node_id, parent_id, pos)",
+    lambda s, d: oplog.converge_tree(s.createDataFrame([("d", 1, 1, "InsertNode", "a", None), ("d", 1, 2, "InsertNode", "b", "a"), ("d", 2, 3, "InsertNode", "c", "a"), ("d", 1, 4, "MoveNode", "b", "c"), ("d", 2, 5, "MoveNode", "c", "b"), ("d", 2, 6, "InsertNode", "e", "c"), ("d", 1, 7, "DeleteNode", "e", None), ("d", 1, 8, "InsertNode", "f", "a")], "doc_id string, replica int, lamport int, kind string, target string, value string")).select("node_id", "parent_id", "pos"))
+
+
+def _edited(spark: SparkSession, d: str) -> DataFrame:
+    """Events as edits of their user's text: each writes a letter at the end, every third one at the begin; every seventh letter is deleted again."""
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = table(spark, d, "events").withColumn("front", F.col("event_id") % 3 == 0).withColumn("first", F.min("event_id").over(Window.partitionBy("user_id")))
+    last = F.max(F.when(~F.col("front") | (F.col("event_id") == F.col("first")), F.col("event_id"))).over(w)
+    head = F.coalesce(F.max(F.when(F.col("front"), F.col("event_id"))).over(w), F.when(F.col("event_id") > F.col("first"), F.col("first")))
+    ids = lambda c, when: F.when(when, c)
+    e = e.withColumn("left_lamport", ids(last, ~F.col("front"))).withColumn("right_lamport", ids(head, F.col("front")))
+    base = [F.col("user_id").cast("string").alias("doc_id"), F.lit("n").alias("target")]
+    typed = e.select(*base, F.lit("InsertText").alias("kind"), F.col("event_id").alias("lamport"), F.lit(1).alias("replica"), "left_lamport", F.lit(1).alias("left_replica"), "right_lamport", F.lit(1).alias("right_replica"), F.substring("event_type", 1, 1).alias("value"))
+    gone = e.where("event_id % 7 = 0").select(*base, F.lit("DeleteText").alias("kind"), (F.col("event_id") + 10**9).alias("lamport"), F.lit(1).alias("replica"), F.col("event_id").alias("left_lamport"), F.lit(1).alias("left_replica"), F.lit(None).cast("long").alias("right_lamport"), F.lit(1).alias("right_replica"), F.lit(None).cast("string").alias("value"))
+    return typed.unionByName(gone)
 
 
 def _crdt(spark: SparkSession) -> DataFrame:
@@ -172,11 +208,24 @@ _q("session_windows", """
     WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 5 MINUTE AS "end", count(*) AS events FROM r GROUP BY user_id, s""",
     lambda s, d: sessions.session_windows(table(s, d, "events"), "user_id", "ts").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events"))
-_q("session_stats", None, lambda s, d: sessions.session_stats(sessions.session_windows(table(s, d, "events"), "user_id", "ts")))
+_SESSIONS = """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS n FROM events), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
+    w AS (SELECT epoch(date_trunc('second', max(ts) + INTERVAL 5 MINUTE)) - epoch(date_trunc('second', min(ts))) AS length, count(*) AS events FROM r GROUP BY user_id, s)"""
+
+
+def _anchored(seconds: int) -> str:
+    """Each user's events in order, with the place in a window that begins with its first event."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    w(event_id, user_id, ts, i, start, nth) AS (SELECT event_id, user_id, ts, i, ts, 1 FROM e WHERE i = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.ts, e.i, CASE WHEN e.ts - w.start >= INTERVAL {seconds} SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start >= INTERVAL {seconds} SECOND THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)"""
+
+
+_q("session_stats", f"{_SESSIONS} SELECT count(*) AS sessions, CAST(sum(events) AS BIGINT) AS events, CAST(max(length) AS BIGINT) AS longest_s, count(*) FILTER (events > 1) AS with_several FROM w", lambda s, d: sessions.session_stats(sessions.session_windows(table(s, d, "events"), "user_id", "ts")))
 _q("stale_editors", "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE", lambda s, d: sessions.stale_editors(table(s, d, "events"), "user_id", "ts", 60))
-_q("upload_rate", None, lambda s, d: sessions.over_limit(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 86400, ["event_id"]).select("event_id"))
-_q("msg_rate_anchored", None, lambda s, d: sessions.anchored_windows(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600, ["event_id"]).groupBy("nth").agg(F.count(F.lit(1)).alias("n")))
-_q("msg_rate_per_second", "SELECT date_trunc('second', ts) AS second, count(*) AS n FROM events GROUP BY 1", lambda s, d: table(s, d, "events").groupBy(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second")).agg(F.count(F.lit(1)).alias("n")))
+_q("upload_rate", f"{_anchored(86400)} SELECT event_id FROM w WHERE nth > 2", lambda s, d: sessions.over_limit(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 86400, ["event_id"]).select("event_id"))
+_q("msg_rate_anchored", f"{_anchored(3600)} SELECT CAST(nth AS BIGINT) AS nth, count(*) AS n FROM w GROUP BY 1", lambda s, d: sessions.anchored_windows(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600, ["event_id"]).groupBy("nth").agg(F.count(F.lit(1)).alias("n")))
+_q("msg_rate_per_second", f"{_anchored(1)} SELECT event_id, CAST(nth AS BIGINT) AS nth FROM w", lambda s, d: sessions.anchored_windows(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 1, ["event_id"]).select("event_id", "nth"))
 _q("admin_errors_page", "SELECT event_id FROM (SELECT event_id, ts FROM events WHERE event_type = 'error' OR value > 90 ORDER BY ts DESC, event_id DESC LIMIT 500) ORDER BY ts DESC, event_id DESC LIMIT 10 OFFSET 5",
     lambda s, d: table(s, d, "events").where("event_type = 'error' or value > 90").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(500).orderBy(F.col("ts").desc(), F.col("event_id").desc()).offset(5).limit(10).select("event_id"))
 
@@ -206,6 +255,21 @@ def _export(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 _q("docx_roundtrip", _BLOCKS, lambda s, d: _export(s, d, "docx"))
 _q("odt_roundtrip", _BLOCKS, lambda s, d: _export(s, d, "odt"))
+_q("convert_formats", "SELECT CAST(item_id AS VARCHAR) AS path, md5(replace(text, chr(10), ' ')) AS h FROM benchmark UNION ALL SELECT 'x' || item_id, 'BadZipFile' FROM benchmark", lambda s, d: _converted(s, d))
+
+
+def _converted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts to DOCX, to ODT, to Markdown and back to texts, beside files that are none."""
+    b = table(spark, d, "benchmark")
+    files = b.select(F.col("item_id").cast("string").alias("path"), F.encode(F.regexp_replace("text", "\n", " "), "UTF-8").alias("content"))
+    kind, bad = "txt", b.select(F.concat(F.lit("x"), "item_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    for to in ("docx", "odt", "md", "txt"):
+        files = office.convert(files.withColumn("format", F.lit(kind)), to).drop("err")
+        kind = to
+    broken = office.convert(bad.withColumn("format", F.lit("docx")), "odt").where("content is null")
+    return files.select("path", F.md5("content").alias("h")).unionByName(broken.select("path", F.split("err", ":")[0].alias("h")))
+
+
 _q("markdown_read", "SELECT * FROM (VALUES (1, 0, 'heading', 1, 'T'), (1, 1, 'bullet', 0, 'a'), (1, 2, 'bullet', 1, 'b'), (1, 3, 'row', 0, 'x\ty'), (1, 4, 'row', 0, '1\t2')) AS t(id, ord, kind, level, text)",
     lambda s, d: markup.read_markdown(s.createDataFrame([(1, "# T\n\n- a\n  - b\n\n| x | y |\n|---|---|\n| 1 | 2 |")], "id int, text string"), "id", "text"))
 _q("markdown_roundtrip", "SELECT 1 AS id, '# T' || chr(10) || chr(10) || '- a' || chr(10) || '  - b' || chr(10) || chr(10) || 'end' AS text",

@@ -21,22 +21,28 @@ def _commas(line: Column, sign: str) -> Column:
     return F.char_length(line) - F.char_length(F.call_function("replace", line, F.lit(sign), F.lit("")))
 
 
+def _first_lines(text: Column, n: int) -> Column:
+    """Lines end with LF or CRLF; the last line end begins no other."""
+    lines = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.slice(lines, 1, n))
+
+
 def looks_like_csv(text: Column) -> Column:
-    """At least two of the first ten lines, a comma in the first, and seven in ten lines with as many commas as it."""
-    lines = F.slice(F.filter(lines_of(text), lambda x: x != ""), 1, 10)
+    """At least two of the first ten lines, a comma in the first, and seven in ten lines with as many commas as it; blank lines count."""
+    lines = _first_lines(text, 10)
     first = _commas(F.get(lines, F.lit(0)), ",")
     same = F.size(F.filter(lines, lambda x: _commas(x, ",") == first))
     return F.coalesce((F.size(lines) >= 2) & (first >= 1) & (same * 100 >= F.size(lines) * 70), F.lit(False))
 
 
 def looks_like_markdown(text: Column) -> Column:
-    """Marks of the first thirty lines, weighed: heading 2, list 1, link 2, fence 2, bold 1; three are enough."""
-    lines = F.slice(lines_of(text), 1, 30)
+    """Marks of the first thirty lines, weighed: # at the begin 2, list mark 1, link 2, fence 2, bold or italic 1; three are enough."""
     weight = lambda x: (
-        F.when(x.rlike(r"^#{1,6} "), 2).otherwise(0) + F.when(F.trim(x).rlike(r"^([-*+] |\d+\. )"), 1).otherwise(0) + F.when(x.contains("]("), 2).otherwise(0)
-        + F.when(F.trim(x).startswith("```"), 2).otherwise(0) + F.when(x.contains("**"), 1).otherwise(0)
+        F.when(x.startswith("#"), 2).otherwise(0) + F.when(x.startswith("- ") | x.startswith("* ") | x.startswith("1. "), 1).otherwise(0) + F.when(x.contains("]("), 2).otherwise(0)
+        + F.when(x.startswith("```"), 2).otherwise(0) + F.when(x.contains("**") | x.contains("__"), 1).otherwise(0)
     )
-    return F.coalesce(F.aggregate(lines, F.lit(0), lambda a, x: a + weight(x)) >= 3, F.lit(False))
+    trimmed = F.transform(_first_lines(text, 30), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(F.aggregate(trimmed, F.lit(0), lambda a, x: a + weight(x)) >= 3, F.lit(False))
 
 
 def detect_delimiter(text: Column) -> Column:
@@ -72,7 +78,3 @@ def read_files(spark, path: str) -> DataFrame:
     """(path, format, content) of the files below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.coalesce(F.when(~format_by_name(F.col("path")).isin("txt", "csv", "md"), format_of_bytes(F.col("content"))), format_by_name(F.col("path")), format_of_bytes(F.col("content"))).alias("format"), "content")
-
-
-#: Which conversions there are.
-CONVERSIONS = {("doc", "docx"), ("doc", "odt"), ("docx", "odt"), ("odt", "docx")}

@@ -6,12 +6,14 @@ import datetime
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.formula.parse import column_index, column_letters
 
@@ -332,8 +334,12 @@ def write_odt(blocks: list[tuple[int, str, int, str]]) -> bytes:
 # --- on DataFrames
 
 
+#: What readers raise on bytes that aren't what they seem.
+_BROKEN = (zipfile.BadZipFile, zlib.error, ET.ParseError, ValueError, KeyError, IndexError, AttributeError, EOFError, NotImplementedError, RuntimeError)
+
+
 def read_workbooks(files: DataFrame) -> DataFrame:
-    """Cells of files(path, format, content) that are xlsx or ods; broken files give none."""
+    """Cells of files(path, format, content) that are xlsx or ods; a file that can't be read gives one row of kind `error`, its `err` says why."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -341,9 +347,10 @@ def read_workbooks(files: DataFrame) -> DataFrame:
             for path, kind, raw in zip(pdf["path"], pdf["format"], pdf["content"], strict=True):
                 try:
                     rows += [(path, *c) for c in (read_xlsx if kind == "xlsx" else read_ods)(bytes(raw))]
-                except (zipfile.BadZipFile, ET.ParseError, ValueError, KeyError, IndexError):
-                    continue
-            yield pd.DataFrame(rows, columns=COLUMNS)
+                except _BROKEN as e:
+                    rows.append((path, None, None, None, "error", None, None, None, f"{type(e).__name__}: {e}", None))
+            out = pd.DataFrame(rows, columns=COLUMNS)
+            yield out.assign(row=out["row"].astype("Int32"), col=out["col"].astype("Int32"))
 
     return files.where("format in ('xlsx', 'ods')").select("path", "format", "content").mapInPandas(run, CELLS)
 
@@ -360,7 +367,7 @@ def write_workbooks(cells: DataFrame, kind: str = "xlsx") -> DataFrame:
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """(path, ord, kind, level, text) of files(path, format, content) that are docx, odt, md or txt; broken files give none."""
+    """(path, ord, kind, level, text) of files(path, format, content) that are docx, odt, md or txt; one that can't be read gives a row of kind `error`."""
     from .delimited import decode_bytes
     from .markup import markdown_blocks
 
@@ -376,8 +383,8 @@ def read_documents(files: DataFrame) -> DataFrame:
             for path, kind, raw in zip(pdf["path"], pdf["format"], pdf["content"], strict=True):
                 try:
                     rows += [(path, *b) for b in blocks(kind, bytes(raw))]
-                except (zipfile.BadZipFile, ET.ParseError, ValueError, KeyError):
-                    continue
+                except _BROKEN as e:
+                    rows.append((path, 0, "error", 0, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "ord", "kind", "level", "text"])
 
     return files.where("format in ('docx', 'odt', 'md', 'txt')").select("path", "format", "content").mapInPandas(run, "path string, ord int, kind string, level int, text string")
@@ -392,3 +399,32 @@ def export_documents(blocks: DataFrame, kind: str) -> DataFrame:
         return pd.DataFrame([(pdf["path"].iloc[0], make(rows))], columns=["path", "content"])
 
     return blocks.groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def convert(files: DataFrame, to: str) -> DataFrame:
+    """(path, content, err): files(path, format, content) that are docx, odt, md or txt as `to`, one of these.
+
+    A file that can't be read has no content, and `err` says why.
+    """
+    from .markup import write_markdown
+
+    if to not in ("docx", "odt", "md", "txt"):
+        raise ValueError(f"no conversion to {to}")
+    blocks = read_documents(files)
+    good = blocks.where("kind <> 'error'")
+    if to in ("docx", "odt"):
+        made = export_documents(good, to)
+    elif to == "md":
+        made = write_markdown(good, "path").select("path", F.encode("text", "UTF-8").alias("content"))
+    else:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+        made = good.groupBy("path").agg(F.encode(F.array_join(lines, "\n"), "UTF-8").alias("content"))
+    bad = blocks.where("kind = 'error'").select("path", F.lit(None).cast("binary").alias("content"), F.col("text").alias("err"))
+    return made.select("path", "content", F.lit(None).cast("string").alias("err")).unionByName(bad)
+
+
+def open_files(spark, path: str) -> DataFrame:
+    """(path, format, content) of the files below a path, formats told by their bytes and names, for the readers here."""
+    from .detect import read_files
+
+    return read_files(spark, path)

@@ -5,19 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read again: what a plan uses twice is computed once, and lost executors cost nothing.
-
-    Only where spark.checkpoint.dir is unset, as in tests, a local folder is taken.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder only where that is unset and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sheetwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/sheetwright-{spark.sparkContext.applicationId}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read again: what a plan uses twice is computed once, and lost executors cost nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sheetwright_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of shared_table() that nothing lazy reads any more."""
+    _delete(df.sparkSession, df._sheetwright_path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; results that read them must have been used."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -39,7 +39,8 @@ def anchored_windows(events: DataFrame, key: str, ts: str, seconds: float, order
         last, start, n = None, None, 0
         for pdf in batches:
             out = []
-            for k, t in zip(pdf[key], pdf[ts], strict=True):
+            keys = [None if pd.isna(k) else k for k in pdf[key]]  # null is a key like any other
+            for k, t in zip(keys, pdf[ts], strict=True):
                 if k != last or start is None or (t - start).total_seconds() >= seconds:
                     last, start, n = k, t, 0
                 n += 1
@@ -74,7 +75,7 @@ class AnchoredLimit(StatefulProcessor):
         self.ts, self.limit, self.seconds = ts, limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", StructType([StructField("start", TimestampType()), StructField("n", LongType())]), ttlDurationMs=3_600_000)
+        self.state = handle.getValueState("window", StructType([StructField("start", TimestampType()), StructField("n", LongType())]), ttlDurationMs=max(3_600_000, int(2000 * self.seconds)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         got = self.state.get() if self.state.exists() else None
@@ -102,14 +103,14 @@ def limited_stream(events: DataFrame, key: str, ts: str, limit: int, seconds: fl
 
 
 class CausalBuffer(StatefulProcessor):
-    """Passes each op on once, when what it depends on has passed; others wait, at most for the state's time to live."""
+    """Passes each op on once, when what it depends on has passed; others wait for as long as that takes."""
 
     def __init__(self, schema: StructType) -> None:
         self.schema = schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", StructType([StructField("replica", LongType())]), StructType([StructField("lamport", LongType())]))
-        self.waiting = handle.getListState("waiting", StructType([StructField("op", BinaryType())]), ttlDurationMs=86_400_000)
+        self.waiting = handle.getListState("waiting", StructType([StructField("op", BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         import pickle

@@ -10,7 +10,8 @@ from sheetwright.functions.formula.criteria import split
 from sheetwright.functions.formula.kernel import Engine, Err, from_serial, text_of, to_serial
 from sheetwright.functions.formula.parse import column_index, column_letters, shift
 
-GRID = {(0, 0): 10.0, (0, 1): "x", (0, 2): True, (0, 3): Err("#N/A"), (1, 0): 5.0, (1, 1): None, (1, 2): "7", (2, 0): 1.0, (2, 1): 3.0, (2, 2): 5.0, (3, 0): "one", (3, 1): "three", (3, 2): "five"}
+GRID = {(0, 0): 10.0, (0, 1): "x", (0, 2): True, (0, 3): Err("#N/A"), (1, 0): 5.0, (1, 1): None, (1, 2): "7", (2, 0): 1.0, (2, 1): 3.0, (2, 2): 5.0, (3, 0): "one", (3, 1): "three", (3, 2): "five",
+        (5, 0): "zero", (4, 1): 3.0, (5, 1): "three", (6, 0): 1.0, (6, 2): 5.0, (7, 0): "7", (7, 1): "10", (7, 2): 20.0}
 
 CASES = [
     ("=-2^2", 4.0), ("=2^3^2", 512.0), ("=50%", 0.5), ("=1+2*3", 7.0), ('="a"&1.0', "a1"), ("=1=1.0000000000000001", True), ('="A"="a"', True), ('="a"<"B"', True), ("=SUM(A1:A4)", 11.0), ("=AVERAGE(A1:A4)", 5.5),
@@ -18,7 +19,8 @@ CASES = [
     ("=ROUND(-2.5,0)", -3.0), ("=ROUND(1234,-2)", 1200.0), ("=MOD(7,-3)", -2.0), ("=MOD(-7,3)", 2.0), ("=MOD(1,0)", "#DIV/0!"), ("=SQRT(-1)", "#NUM!"), ("=POWER(-8,0.5)", "#NUM!"), ("=INT(-1.5)", -2.0), ("=CEILING(2.1,0.5)", 2.5),
     ("=FLOOR(2.9,2)", 2.0), ("=CEILING(2,-1)", "#NUM!"), ("=LOG(8,2)", 3.0), ("=LOG(-1)", "#NUM!"), ("=LN(0)", "#NUM!"), ("=EXP(1000)", "#NUM!"), ("=IF(A1>5,\"hi\",\"lo\")", "hi"), ("=IF(A4,1,2)", "#VALUE!"), ("=IF(TRUE)", True),
     ("=AND(TRUE,A2)", "#VALUE!"), ("=OR(TRUE,A2)", True), ("=NOT(0)", True), ("=IFERROR(1/0,9)", 9.0), ("=IFERROR(A4,\"n\")", "n"), ('=VLOOKUP(3,C1:D3,2,FALSE)', "three"), ("=VLOOKUP(4,C1:D3,2)", "three"), ("=VLOOKUP(0,C1:D3,2)", "#N/A"),
-    ("=VLOOKUP(3,C1:D3,3,FALSE)", "#REF!"), ("=INDEX(C1:D3,2,2)", "three"), ("=INDEX(C1:D3,9,1)", "#REF!"), ("=INDEX(C1:D3,0,1)", "#VALUE!"), ("=MATCH(4,C1:C3)", 2.0), ("=MATCH(5,C1:C3,0)", 3.0), ("=MATCH(9,C1:C3,0)", "#N/A"),
+    ("=VLOOKUP(3,C1:D3,3,FALSE)", "#REF!"), ('=VLOOKUP(4,C1:D3,2,"maybe")', "three"), ('=VLOOKUP(3,C1:D3,"2")', "#VALUE!"), ("=VLOOKUP(1,E1:F3,2)", "zero"), ("=VLOOKUP(0,E1:F3,2,FALSE)", "zero"), ("=MATCH(3,G1:G3,1)", 2.0),
+    ("=MATCH(2,C1:C3,5)", "#VALUE!"), ('=MATCH(3,C1:C3,"x")', 2.0), ("=MATCH(7,H1:H3,1)", 1.0), ("=VLOOKUP(7,H1:H3,1,FALSE)", "7"), ("=HLOOKUP(1,C1:E2,2)", 3.0), ("=INDEX(C1:D3,2,2)", "three"), ("=INDEX(C1:D3,9,1)", "#REF!"), ("=INDEX(C1:D3,0,1)", "#VALUE!"), ("=MATCH(4,C1:C3)", 2.0), ("=MATCH(5,C1:C3,0)", 3.0), ("=MATCH(9,C1:C3,0)", "#N/A"),
     ('=LEFT("héllo",2)', "hé"), ('=RIGHT("abc")', "c"), ('=LEFT("a",-1)', "#VALUE!"), ('=MID("abcdef",2,3)', "bcd"), ('=MID("a",0,1)', "#VALUE!"), ('=LEN("hé")', 2.0), ('=TRIM("  a \t b ")', "a b"), ('=FIND("l","héllo")', 4.0),
     ('=FIND("z","a")', "#VALUE!"), ('=SEARCH("L","hello")', 3.0), ('=FIND("a")', "#VALUE!"), ('=SUBSTITUTE("aXbXc","X","-",2)', "aXb-c"), ('=SUBSTITUTE("aXb","X","-",5)', "aXb"), ('=SUBSTITUTE("ab","","-")', "ab"),
     ('=TEXT(1234.5,"#,##0.00")', "1,234.50"), ('=TEXT(0.256,"0.0%")', "25.6%"), ('=TEXT(12345,"0.00E+00")', "1.23E4"), ('=TEXT(5,"weird")', "5"), ('=VALUE("$1,234.50")', 1234.5), ('=VALUE("12%")', 0.12), ('=VALUE("1d")', "#VALUE!"),

@@ -50,9 +50,10 @@ def test_detection(spark, tmp_path):
 def test_hostile_files(spark):
     bad = [("a", "docx", b""), ("b", "docx", b"PK\x03\x04junk"), ("c", "odt", office.write_docx([(0, "paragraph", 0, "x")])[:60]), ("d", "docx", _zip({"word/document.xml": "<not"})), ("e", "txt", b"\xff")]
     df = spark.createDataFrame(bad, "path string, format string, content binary")
-    assert [tuple(r) for r in office.read_documents(df).collect()] == [("e", 0, "paragraph", 0, "ÿ")]
+    got = [tuple(r) for r in office.read_documents(df).collect()]
+    assert [(r[0], r[2]) for r in got[:4]] == [(x, "error") for x in "abcd"] and got[4:] == [("e", 0, "paragraph", 0, "ÿ")]
     books = spark.createDataFrame([("x", "xlsx", b"nope"), ("y", "ods", b"")], "path string, format string, content binary")
-    assert office.read_workbooks(books).count() == 0
+    assert {r["kind"] for r in office.read_workbooks(books).collect()} == {"error"}
 
 
 def _zip(entries):
@@ -138,3 +139,13 @@ def test_message_errors(spark):
     df = spark.createDataFrame([('{"type":"op"}',), ("{",), ("{}",), ('{"type":"x"}',), ('{"type":"op","p":"' + "y" * 300_000 + '"}',)], "m string")
     assert [r[0] for r in df.select(oplog.message_errors("m").alias("e")).collect()] == [None, "bad_json", "no_type", "unknown_type", "too_large"]
     assert df.where(F.col("m").isNull()).count() == 0
+
+
+def test_broken_files_say_so(spark):
+    files = spark.createDataFrame([("a.xlsx", "xlsx", b"no"), ("b.ods", "ods", b"PK\x03\x04cut"), ("c.docx", "docx", b""), ("d.txt", "txt", b"x\ny")], "path string, format string, content binary")
+    assert sorted((r["workbook_id"], r["kind"], bool(r["err"]), r["row"]) for r in office.read_workbooks(files).collect()) == [("a.xlsx", "error", True, None), ("b.ods", "error", True, None)]
+    assert sorted((r["path"], r["kind"]) for r in office.read_documents(files).collect()) == [("c.docx", "error"), ("d.txt", "paragraph"), ("d.txt", "paragraph")]
+    got = {r["path"]: r for r in office.convert(files, "docx").collect()}
+    assert got["c.docx"]["content"] is None and "BadZipFile" in got["c.docx"]["err"]
+    back = office.convert(spark.createDataFrame([("d", "docx", bytes(got["d.txt"]["content"]))], "path string, format string, content binary"), "txt").first()
+    assert bytes(back["content"]) == b"x\ny" and back["err"] is None
