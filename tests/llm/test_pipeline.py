@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -97,3 +98,23 @@ def test_run(spark, tables):
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert out.count() > 300
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in out.collect())
+
+
+def test_stages_on_odd_tables(spark, tables):
+    """Empty tables, repeated rows, null ids, and columns whose names the operators use inside or that hold dots."""
+    folder, *_ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40")
+    odd = docs.unionAll(docs.limit(3)).unionAll(docs.where("doc_id = 1").withColumn("doc_id", F.expr("cast(null as long)")))
+    for name in ("score", "predicted", "n_removed", "component_id", "_copy", "_leak", "no_id", "h", "a.b", "kept"):
+        odd = odd.withColumn(name, F.lit(name))
+    odd = odd.withColumn("at", F.timestamp_micros(F.lit(1_700_000_000_123_456)))
+    kept = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
+        kept = stage(spark, kept, folder)
+        assert kept.schema.simpleString() == odd.schema.simpleString(), name
+    rows = kept.collect()
+    assert rows and all(r[c] == c for r in rows for c in ("score", "predicted", "n_removed", "component_id", "_copy", "_leak", "no_id", "h", "a.b", "kept"))
+    assert {r["at"].microsecond for r in rows} == {123456}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, odd.limit(0), folder).count() == 0 and last(spark, kept, folder).count() == len(rows)
