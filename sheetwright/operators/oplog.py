@@ -305,3 +305,57 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
 def replay(edits: DataFrame) -> DataFrame:
     """(doc_id, text) after edits(doc_id, seq, kind, offset, length, value) with undo and redo; bad edits change nothing."""
     return edits.groupBy("doc_id").applyInPandas(_replay, "doc_id string, text string")
+
+
+# --- what a replica does with its log
+
+
+def stamp_local(edits: DataFrame, known: DataFrame) -> DataFrame:
+    """edits(doc_id, replica, seq, value ...) with `lamport`: stamps go on after the largest known(doc_id, replica, lamport) of the document.
+
+    An edit takes as many stamps as its text has characters, one at least, and bears the first of them.
+    """
+    clock = known.groupBy("doc_id").agg(F.max("lamport").alias("_clock"))
+    size = F.greatest(F.coalesce(F.char_length("value"), F.lit(1)), F.lit(1))
+    w = Window.partitionBy("doc_id", "replica").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(size).over(w), F.lit(0))
+    return edits.join(clock, "doc_id", "left").withColumn("lamport", (F.coalesce("_clock", F.lit(0)) + before + 1).cast("long")).drop("_clock")
+
+
+def resolve(ops: DataFrame) -> dict[str, DataFrame]:
+    """Each kind of op to what it is resolved by: texts, tree, attributes, metadata and styles, by name."""
+    styles = ops.where("kind in ('SetStyle', 'RemoveStyle')").groupBy("doc_id", "key").agg(F.max_by(F.struct("kind", "value"), F.struct(*OP_ID)).alias("w"))
+    return {
+        "text": converge_text(ops.where("kind in ('InsertText', 'DeleteText')")),
+        "tree": converge_tree(ops.where("kind in ('InsertNode', 'DeleteNode', 'MoveNode')")),
+        "attributes": attributes(ops),
+        "metadata": last_writer(ops.where("kind = 'SetMetadata'"), ["doc_id", "key"]).where("value is not null"),
+        "styles": styles.where("w.kind = 'SetStyle'").select("doc_id", "key", F.col("w.value").alias("value")),
+    }
+
+
+def fork(ops: DataFrame, doc: str, copy: str) -> DataFrame:
+    """The log of a copy of one document: the same ops, so the same state vector; its own replica has none yet."""
+    return ops.where(F.col("doc_id") == doc).withColumn("doc_id", F.lit(copy))
+
+
+def compacted(ops: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, replica, lamport, kind, target, value, offset): logs of `threshold` ops or more with runs of inserts merged, others as they are."""
+    columns = ["doc_id", "replica", "lamport", "kind", "target", "value", "offset"]
+    size = ops.groupBy("doc_id").agg((F.count(F.lit(1)) >= threshold).alias("_long"))
+    marked = ops.join(size, "doc_id")
+    merged = compress(marked.where("_long")).withColumn("kind", F.lit("InsertText"))
+    return marked.where("not _long or kind <> 'InsertText'").select(*columns).unionByName(merged.select(*columns))
+
+
+def compression_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, ratio): ops after by ops before, 1 where there were none."""
+    a, b = (df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)) for df, n in ((before, "_a"), (after, "_b")))
+    return a.join(b, "doc_id", "full").select("doc_id", F.when(F.col("_a").isNull(), 1.0).otherwise(F.coalesce("_b", F.lit(0)) / F.col("_a")).alias("ratio"))
+
+
+def registered_hooks(commands: DataFrame) -> DataFrame:
+    """Registrations (seq, id, ...) of commands(seq, action, id, ...) that no later removal of their id takes back."""
+    gone = commands.where("action = 'remove'").groupBy(F.col("id").alias("_id")).agg(F.max("seq").alias("_gone"))
+    kept = commands.where("action = 'register'").join(gone, F.col("id") == F.col("_id"), "left").where("_gone is null or seq > _gone")
+    return kept.drop("_id", "_gone", "action")

@@ -428,3 +428,26 @@ def open_files(spark, path: str) -> DataFrame:
     from .detect import read_files
 
     return read_files(spark, path)
+
+
+#: The parts of a workbook that the reader understands, beside the sheets.
+KNOWN_PARTS = ("[Content_Types].xml", "_rels/.rels", "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/styles.xml", "xl/sharedStrings.xml")
+
+
+def preserved_parts(files: DataFrame) -> DataFrame:
+    """(path, name, content): the entries of files(path, content) that are workbooks which the reader doesn't know; bytes that are no archive have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
+                        sheets = len(_find(_entry(z, "xl/workbook.xml"), "sheet")) if "xl/workbook.xml" in z.namelist() else 1
+                        known = {*KNOWN_PARTS, *(f"xl/worksheets/sheet{i + 1}.xml" for i in range(sheets))}
+                        rows = [(path, i.filename, z.read(i)) for i in z.infolist() if i.filename not in known and not i.is_dir() and i.file_size <= MOST]
+                except _BROKEN:
+                    pass
+                yield pd.DataFrame(rows, columns=["path", "name", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
