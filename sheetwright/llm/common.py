@@ -71,6 +71,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Paths of the tables that materialize() wrote, in order.
+_written: list[str] = []
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are written within go at the end, but for those put in the list."""
+    begin = len(_written)
+    keep: list[DataFrame] = []
+    yield keep
+    kept = {getattr(df, "_sheetwright_path", None) for df in keep}
+    for path in _written[begin:]:
+        if path not in kept:
+            _delete(spark, path)
+    _written[begin:] = [p for p in _written[begin:] if p in kept]
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -96,6 +113,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sheetwright_path = path
+    _written.append(path)
     return out
 
 
