@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetwright.llm import bpe_codec, decontaminate, ngram_jaccard, suffix_dedup, toxicity
-from sheetwright.llm.common import materialize
+from sheetwright.llm.common import materialize, swept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table, each one's result written to the shared folder and read again."""
+    """All stages over the whole table, each one's result written to the shared folder and read again; only the last table stays there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with swept(spark) as kept:
+        for name, stage in STAGES:
+            with swept(spark) as own:
+                docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+                own.append(docs)
+        kept.append(docs)
     return docs
