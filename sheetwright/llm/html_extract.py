@@ -54,7 +54,7 @@ _VAGUE = frozenset(
     "ads banner complementary copyright disclaimer legal login modal navigation notice notices notification pager pagination popup recommended reply replies respond search signup skip subscribe tags teaser toolbar widget".split()
 )
 _NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-_STOP = re.compile("[>\"']")
+_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")  # what no backtracking repeats
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in _RAW}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
@@ -63,13 +63,21 @@ _white = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("links", "outside", "parts", "perhaps", "room", "text")
+    __slots__ = ("counted", "links", "outside", "parts", "perhaps", "room", "text")
 
     def __init__(self, room: int, outside: bool, perhaps: bool = False) -> None:
         self.parts: list[str] = []
         self.links = 0
         self.room, self.outside, self.perhaps = room, outside, perhaps  # which marked article it lies in (0: none), whether beside the main text, or perhaps so
         self.text = ""
+        self.counted: tuple[int, int] | None = None
+
+    def stops(self) -> tuple[int, int]:
+        """(stop words, words)."""
+        if self.counted is None:
+            words = _WORD.findall(self.text.lower())
+            self.counted = sum(map(STOP_WORDS.__contains__, words)), len(words)
+        return self.counted
 
 
 class Token:
@@ -94,14 +102,9 @@ def tokens_of(page: str) -> list[Token]:
 
     def tag_end(p: int) -> int:
         nonlocal quotes
-        first = p
-        while quotes:
-            m = _STOP.search(page, p)
-            if m and m[0] == ">":
-                return m.end()
-            p = page.find(m[0], m.end()) + 1 if m else 0
-            quotes = p > 0
-        return page.find(">", first) + 1
+        m = _REST.match(page, p) if quotes else None
+        quotes = m is not None
+        return m.end() if m else page.find(">", p) + 1
 
     while 0 <= at:
         nxt = at + 1
@@ -256,8 +259,8 @@ def _size(text: str) -> int:
 
 def _foreign(blocks: list[Block]) -> bool:
     """Whether the words of the long blocks belong to no language of STOP_WORDS."""
-    words = [w for b in blocks if not b.outside and _size(b.text) >= SHORT and _linked(b) <= LINKS for w in _WORD.findall(b.text.lower())]
-    return sum(w in STOP_WORDS for w in words) < FOREIGN * len(words)
+    counts = [b.stops() for b in blocks if not b.outside and (len(b.text) >= SHORT or _size(b.text) >= SHORT) and _linked(b) <= LINKS]
+    return sum(n for n, _ in counts) < FOREIGN * sum(n for _, n in counts)
 
 
 def judge(b: Block, foreign: bool = False) -> bool | None:
@@ -274,8 +277,8 @@ def judge(b: Block, foreign: bool = False) -> bool | None:
         return False if b.perhaps else None if b.room or not b.links else False
     if foreign:
         return not b.perhaps
-    words = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    found, words = b.stops()
+    stop = found / max(1, words)
     if stop >= STOP_HIGH or stop >= STOP_LOW and size >= LONG:
         return True
     if b.perhaps:
