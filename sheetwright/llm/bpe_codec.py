@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -58,6 +59,7 @@ LATER_CASE = [
 _state: dict = {}
 _find = regex.compile(SPLIT).findall
 _lower = {a + k: small + k for a, b, small in LATER_CASE for k in range(b - a + 1)}
+_far = re.compile("[\u0558-\u1fff\u208f-\U0010ffff]").search  # a quick look: all of these lie there
 _words = regex.compile(f"[{NO_WORDS}]").search
 _marks = regex.compile(f"([{NO_MARKS}]+)")
 _rare = regex.compile(f"[{NO_MARKS}{''.join(map(chr, _lower))}]").search
@@ -69,7 +71,7 @@ def normalise(text: str) -> str:
     """NFC, runs of white space to one space, lower case letter by letter (so that a final sigma has no form of its own)."""
     if text.isascii():
         return _white.sub(" ", text).lower()
-    if _rare(text):
+    if _far(text) and _rare(text):
         text = "".join(p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_marks.split(text))).translate(_lower)
     else:
         text = unicodedata.normalize("NFC", text)
@@ -79,7 +81,7 @@ def normalise(text: str) -> str:
 def pre_tokens(text: str) -> list[str]:
     """The words of a text without special strings."""
     text = normalise(text)
-    return _find(text) if text.isascii() or not _words(text) else _find_rare(text)
+    return _find(text) if text.isascii() or not _far(text) or not _words(text) else _find_rare(text)
 
 
 def encode_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
