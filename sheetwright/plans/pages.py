@@ -14,15 +14,17 @@ def _q(name: str, sql: str | None, make) -> None:
     query(sql, name)(make)
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, i, 0, f"{d}{i}") for d, n in (("a", 4), ("b", 2)) for i in range(1, n + 1)], "doc_id string, page_no int, rotation int, content string")
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents, each turn a page."""
+    return table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), F.lit(0).alias("rotation"), F.concat_ws("-", "conv_id", "turn").alias("content"))
 
 
-_q("page_delete", "SELECT * FROM (VALUES ('a', 1, 'a1'), ('a', 2, 'a3'), ('a', 3, 'a4'), ('b', 1, 'b1')) AS t(doc_id, page_no, content)", lambda s, d: pages.delete_pages(_pages(s), [2]).select("doc_id", "page_no", "content"))
-_q("page_move", "SELECT * FROM (VALUES ('a', 1, 'a2'), ('a', 2, 'a3'), ('a', 3, 'a1'), ('a', 4, 'a4')) AS t(doc_id, page_no, content)", lambda s, d: pages.move_page(_pages(s).where("doc_id = 'a'"), 1, 3).select("doc_id", "page_no", "content"))
-_q("page_rotate", "SELECT * FROM (VALUES ('b1', 270), ('b2', 0)) AS t(content, rotation)", lambda s, d: pages.rotate_pages(_pages(s).where("doc_id = 'b'"), [1], -90).select("content", "rotation"))
-_q("page_duplicate", "SELECT * FROM (VALUES (1, 'b1'), (2, 'b1'), (3, 'b2')) AS t(page_no, content)", lambda s, d: pages.duplicate_page(_pages(s).where("doc_id = 'b'"), 1).select("page_no", "content"))
-_q("page_merge", "SELECT * FROM (VALUES ('m', 1, 'b1'), ('m', 2, 'b2'), ('m', 3, 'a1'), ('m', 4, 'a2'), ('m', 5, 'a3'), ('m', 6, 'a4')) AS t(doc_id, page_no, content)", lambda s, d: pages.merge_documents(_pages(s), ["b", "a"], "m").select("doc_id", "page_no", "content"))
+_PAGES = "(SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn + 1 AS page_no, conv_id || '-' || turn AS content FROM conversations)"
+_q("page_delete", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS INT) AS page_no, content FROM {_PAGES} WHERE page_no <> 2", lambda s, d: pages.delete_pages(_pages(s, d), [2]).select("doc_id", "page_no", "content"))
+_q("page_move", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE page_no WHEN 1 THEN 3.5 ELSE page_no END) AS INT) AS page_no, content FROM {_PAGES}", lambda s, d: pages.move_page(_pages(s, d), 1, 3).select("doc_id", "page_no", "content"))
+_q("page_rotate", f"SELECT content, CASE page_no WHEN 1 THEN 270 ELSE 0 END AS rotation FROM {_PAGES}", lambda s, d: pages.rotate_pages(_pages(s, d), [1], -90).select("content", "rotation"))
+_q("page_duplicate", f"SELECT CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS INT) AS page_no, content FROM (SELECT * FROM {_PAGES} UNION ALL SELECT * FROM {_PAGES} WHERE page_no = 1)", lambda s, d: pages.duplicate_page(_pages(s, d), 1).select("page_no", "content"))
+_q("page_merge", f"SELECT 'm' AS doc_id, CAST(row_number() OVER (ORDER BY doc_id DESC, page_no) AS INT) AS page_no, content FROM {_PAGES} WHERE doc_id IN ('1', '2')", lambda s, d: pages.merge_documents(_pages(s, d), ["2", "1"], "m").select("doc_id", "page_no", "content"))
 _q("redact_text", "SELECT item_id, regexp_replace(text, 'the', '███', 'g') AS text FROM benchmark", lambda s, d: table(s, d, "benchmark").select("item_id", pages.redact(F.col("text"), ["the"]).alias("text")))
 _q("paginate_blocks", """
     WITH RECURSIVE b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn, length(text)::DOUBLE AS h FROM conversations),
