@@ -7,6 +7,7 @@ Booleans, dates (as serials).
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ class Compiled:
     value: Column
     err: Column | None = None
     name: str | None = None  # a bare column of the table
+    whole: bool = False  # null only where there is an error, never for a blank
 
     def error(self) -> Column:
         return F.lit(None).cast("string") if self.err is None else self.err
@@ -41,10 +43,12 @@ def _guard(kind: str, value: Column, err: Column | None) -> Compiled:
 
 
 def number(x: Compiled) -> Compiled:
+    if x.whole:
+        return x
     if x.kind == "num":
         return Compiled("num", F.coalesce(x.value, F.lit(0.0)) if x.err is None else F.when(x.err.isNull(), F.coalesce(x.value, F.lit(0.0))), x.err)
     if x.kind == "bool":
-        return Compiled("num", F.coalesce(x.value, F.lit(False)).cast("double"), x.err)
+        return _guard("num", F.coalesce(x.value, F.lit(False)).cast("double"), x.err)
     n = F.when(x.value.isNull(), 0.0).otherwise(cells.number_of(x.value))
     return _guard("num", n, _first(x.err, F.when(n.isNull(), VALUE)))
 
@@ -146,9 +150,9 @@ class Compiler:
         err = _first(x.err, y.err)
         if op == "/":
             err = _first(err, F.when(y.value == 0, DIV))
-            return _guard("num", x.value / F.when(y.value != 0, y.value), err)
+            return Compiled("num", x.value / F.when(y.value != 0, y.value), err, whole=True)
         v = {"+": lambda: x.value + y.value, "-": lambda: x.value - y.value, "*": lambda: x.value * y.value, "^": lambda: F.pow(x.value, y.value)}[op]()
-        return _guard("num", v, err)
+        return Compiled("num", v, err, whole=True)
 
     # --- logic
 
@@ -298,22 +302,25 @@ class Compiler:
         return [x.value for x in xs], _first(*(x.err for x in xs))
 
     def _finite(self, v: Column, e: Column | None) -> Compiled:
-        bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-        err = F.when(bad, NUM) if e is None else F.coalesce(e, F.when(bad, NUM))
-        return _guard("num", v, err)
+        """v, or #NUM! where it is no finite number; nested values are null where they are errors, so v needs no second test."""
+        return self._defined(F.when(F.abs(v) <= sys.float_info.max, v), e)
+
+    def _defined(self, v: Column, e: Column | None) -> Compiled:
+        bad = F.when(v.isNull(), NUM)
+        return Compiled("num", v, bad if e is None else F.coalesce(e, bad), whole=True)
 
     def f_round(self, x, d):
         (a, k), e = self._numbers(x, d)
         f = F.pow(F.lit(10.0), F.signum(k) * F.floor(F.abs(k)))
-        return _guard("num", cells.round_product(a, f), e)
+        return Compiled("num", cells.round_product(a, f), e, whole=True)
 
     def f_abs(self, x):
         (a,), e = self._numbers(x)
-        return _guard("num", F.abs(a), e)
+        return Compiled("num", F.abs(a), e, whole=True)
 
     def f_int(self, x):
         (a,), e = self._numbers(x)
-        return _guard("num", F.floor(a).cast("double"), e)
+        return Compiled("num", F.floor(a).cast("double"), e, whole=True)
 
     def f_mod(self, n, d):
         (a, b), e = self._numbers(n, d)
@@ -325,7 +332,7 @@ class Compiler:
 
     def f_sqrt(self, x):
         (a,), e = self._numbers(x)
-        return _guard("num", F.when(a >= 0, F.sqrt(a)), _first(e, F.when(a < 0, NUM)))
+        return Compiled("num", F.when(a >= 0, F.sqrt(a)), _first(e, F.when(a < 0, NUM)), whole=True)
 
     def _step(self, x, s, f):
         (a, b), e = self._numbers(x, s)
@@ -343,7 +350,7 @@ class Compiler:
         ok = (a > 0) & (c > 0) & (F.abs(c - 1) >= criteria.EPSILON)
         v = F.when(ok, F.ln(a) / F.ln(c))
         bad = F.when(v.isNull(), NUM)
-        return _guard("num", v, bad if e is None else F.when(e.isNotNull(), NUM).otherwise(bad))
+        return Compiled("num", v, bad if e is None else F.when(e.isNotNull(), NUM).otherwise(bad), whole=True)
 
     def f_log10(self, x):
         (a,), e = self._numbers(x)
@@ -449,7 +456,7 @@ def _trig(name: str) -> None:
 
     def run(self, x):
         (a,), e = self._numbers(x)
-        return self._finite(f(a), e)
+        return self._defined(F.nanvl(f(a), F.lit(None).cast("double")), e)
 
     setattr(Compiler, "f_" + name, run)
 
