@@ -63,7 +63,7 @@ def doc_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import editor, pages, scalars, tables, trees_logs  # noqa: F401
+    from . import editor, files, pages, scalars, tables, trees_logs  # noqa: F401
 
 
 _load()
