@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import with_formulas
@@ -32,8 +32,19 @@ _q("paginate_blocks", """
       UNION ALL SELECT b.conv_id, b.i, b.turn, CASE WHEN p.used > 0 AND p.used + b.h > 1000 THEN p.page + 1 ELSE p.page END, CASE WHEN p.used > 0 AND p.used + b.h > 1000 THEN b.h ELSE p.used + b.h END FROM p JOIN b ON b.conv_id = p.conv_id AND b.i = p.i + 1)
     SELECT conv_id AS doc_id, turn AS ord, CAST(page AS INT) AS page FROM p""",
     lambda s, d: pages.paginate_blocks(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.char_length("text").alias("height"), F.lit(False).alias("keep_next")), 1000))
-_q("doc_table_ranges", "SELECT * FROM (VALUES ('d', 1, 2, 3), ('d', 4, 4, 1)) AS t(doc_id, first, last, cells)",
-    lambda s, d: pages.table_ranges(s.createDataFrame([("d", 0, "x"), ("d", 1, "a\x07b\x07"), ("d", 2, "c\x07"), ("d", 3, "y"), ("d", 4, "z\x07")], "doc_id string, ord int, text string")))
+_q("doc_table_ranges", """
+    WITH e AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)
+    SELECT user_id AS doc_id, n AS first, CASE WHEN n % 5 = 4 OR n + 1 = total THEN n ELSE n + 1 END AS last, CAST(CASE WHEN n % 5 = 4 THEN 1 WHEN n + 1 = total THEN 2 ELSE 3 END AS BIGINT) AS cells FROM e WHERE n % 5 IN (1, 4)""",
+    lambda s, d: pages.table_ranges(_marks(s, d)))
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    """Events as paragraphs of their user's document; of five the second and third hold cell marks, and the last."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.row_number().over(w) - 1).alias("ord"), "event_type")
+    return rows.select("doc_id", "ord", F.expr("concat(event_type, case ord % 5 when 1 then concat(char(7), 'b', char(7)) when 2 then char(7) when 4 then char(7) else '' end)").alias("text"))
+
+
 _q("safe_filename", r"""SELECT url, CASE WHEN regexp_matches(f, '^\.*$') THEN 'document' ELSE f END AS safe FROM (SELECT url, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[<>:"|?*]', '_', 'g') AS f FROM pages)""",
     lambda s, d: table(s, d, "pages").select("url", pages.safe_filename(F.col("url")).alias("safe")))
 _q("private_host", "SELECT url, regexp_matches(split_part(split_part(url, '://', 2), '/', 1), '^localhost$|[.](local|internal)$') AS private FROM pages",
@@ -46,5 +57,5 @@ _q("named_ranges", "SELECT o_orderkey, o_totalprice * 1.1 + 5 AS v FROM orders",
     lambda s, d: with_formulas(table(s, d, "orders"), {"v": store.expand_names("=gross+fee", {"gross": "=[o_totalprice]*rate", "rate": "1.1", "fee": "5"})}, errors=False).select("o_orderkey", "v"))
 _q("builder_tables_csv", "SELECT 'd' AS doc_id, 'a,\"b,c\"' || chr(10) || '1,2' || chr(10) || chr(10) || 'x' AS text",
     lambda s, d: store.tables_csv(store.Builder("d").heading(1, "T").table([["a", "b,c"], ["1", "2"]]).paragraph("p").items(["i", "j"]).table([["x"]]).build(s)))
-_q("cross_sheet_range", "SELECT * FROM (VALUES (0, 1), (1, 1)) AS t(row, col)",
-    lambda s, d: store.read_range(s.createDataFrame([("S", 0, 1), ("T", 0, 1), ("T", 1, 1), ("T", 2, 1), ("T", 0, 0)], "sheet string, row int, col int"), "T!$B$1:B2").select("row", "col"))
+_q("cross_sheet_range", "SELECT p_partkey, CAST(p_partkey // 10 AS INT) AS row, CAST(p_partkey % 10 AS INT) AS col FROM part WHERE p_size % 2 = 1 AND p_partkey // 10 BETWEEN 2 AND 99 AND p_partkey % 10 BETWEEN 1 AND 4",
+    lambda s, d: store.read_range(table(s, d, "part").selectExpr("p_partkey", "case when p_size % 2 = 1 then 'T' else 'S' end as sheet", "cast(p_partkey div 10 as int) as row", "cast(p_partkey % 10 as int) as col"), "T!$B$3:E100").select("p_partkey", "row", "col"))

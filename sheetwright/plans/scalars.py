@@ -111,21 +111,19 @@ _q("script_mix", r"SELECT doc_id, CAST(length(regexp_replace(text, '[^\p{Latin}]
 
 # --- formats of texts
 
-_CSVS = [(1, "a,b,c\n1,2,3\n4,5,6"), (2, "x;y\n1;2"), (3, "p\tq\tr\n1\t2\t3"), (4, "plain words"), (5, "u|v\n|1|2\n"), (6, "# Title\n\n- one\n- two"), (7, "a,b\nlonely\nother"), (8, "")]
-_VALUES = "(VALUES " + ", ".join(f"({i}, '{t.replace(chr(10), chr(92) + 'n').replace(chr(9), chr(92) + 't')}')" for i, t in _CSVS) + ") AS v(id, raw)"
-_LINES = f"(SELECT id, replace(replace(raw, '\\n', chr(10)), '\\t', chr(9)) AS text FROM {_VALUES})"
+_SIGNS = "[',', chr(9), ';', '|', ' ']"
+_FIELDS = f"(SELECT p_partkey AS id, p_partkey % 5 AS k, {_SIGNS}[p_partkey % 5 + 1] AS s, [[p_name, p_type, p_brand], [CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), 'q'], [p_brand, '', '2']] AS f FROM part)"
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CSVS, "id int, text string")
+def _texts(spark: SparkSession, d: str, quoted: bool = False) -> DataFrame:
+    """A text a part: three lines of three fields behind each other, set apart by a sign of five in turn; with quotes, the last field of all holds the sign and a quote."""
+    last = "case when p_partkey % 5 < 4 then concat('\"2', s, '\"\"\"') else '2' end" if quoted else "'2'"
+    lines = f"concat_ws('\\n', concat_ws(s, p_name, p_type, p_brand), concat_ws(s, p_partkey, p_size, 'q'), concat_ws(s, p_brand, '', {last}))"
+    return table(spark, d, "part").withColumn("s", F.expr("element_at(array(',', '\\t', ';', '|', ' '), cast(p_partkey % 5 + 1 as int))")).selectExpr("p_partkey as id", f"{lines} as text")
 
 
-_q("detect_delimiter", f"""
-    WITH l AS (SELECT id, list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:10] AS l FROM {_LINES}),
-    c AS (SELECT id, l, s, o, list_transform(l, lambda x: length(x) - length(replace(x, s, ''))) AS n FROM l, (VALUES (',', 1), (chr(9), 2), (';', 3), ('|', 4)) AS d(s, o)),
-    r AS (SELECT id, s, o, CASE WHEN len(l) > 0 AND n[1] > 0 THEN len(list_filter(n, lambda k: k = n[1])) / len(l) * list_sum(n) / len(l) ELSE 0 END AS score FROM c)
-    SELECT id, CASE WHEN max(score) > 0 THEN arg_max(s, score * 1000 - o) ELSE ',' END AS sign FROM r GROUP BY id""",
-    lambda s, d: _texts(s).select("id", detect.detect_delimiter(F.col("text")).alias("sign")))
+_q("detect_delimiter", f"SELECT id, CASE WHEN k < 4 THEN s ELSE ',' END AS sign FROM {_FIELDS}",
+    lambda s, d: _texts(s, d).select("id", detect.detect_delimiter(F.col("text")).alias("sign")))
 _q("looks_like_csv", r"""
     WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10))[1:10], lambda x: length(x) - length(replace(x, ',', ''))) AS n FROM documents)
     SELECT doc_id, coalesce(len(n) >= 2 AND n[1] >= 1 AND len(list_filter(n, lambda k: k = n[1])) * 100 >= len(n) * 70, false) AS csv FROM l""",
@@ -148,13 +146,16 @@ _q("type_infer", r"""
 _q("format_by_name", "SELECT url, CASE WHEN regexp_matches(url, '\\.md$') THEN 'md' END AS format FROM (SELECT 'x/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.md' ELSE '.bin' END AS url FROM pages)",
     lambda s, d: table(s, d, "pages").select(F.expr("concat('x/', page_id, case when page_id % 2 = 0 then '.md' else '.bin' end)").alias("url")).select("url", detect.format_by_name(F.col("url")).alias("format")))
 _q("csv_cells", f"""
-    WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM {_LINES} WHERE id IN (1, 7))
-    SELECT id, CAST(r - 1 AS INT) AS row, CAST(c - 1 AS INT) AS col, p AS value FROM (SELECT id, r, unnest(string_split(l, ',')) AS p, generate_subscripts(string_split(l, ','), 1) AS c FROM l)""",
-    lambda s, d: delimited.cells_of_texts(_texts(s).where("id in (1, 7)"), "id", "text", ","))
+    WITH r AS (SELECT id, k, s, CAST(unnest([0, 1, 2]) AS INT) AS row, unnest(f) AS f FROM {_FIELDS})
+    SELECT id, row, CAST(unnest([0, 1, 2]) AS INT) AS col, unnest([f[1], f[2], CASE WHEN row = 2 THEN '2' || s || '"' ELSE f[3] END]) AS value FROM r WHERE k < 4
+    UNION ALL SELECT id, row, 0, f[1] || s || f[2] || s || f[3] FROM r WHERE k = 4""",
+    lambda s, d: delimited.cells_of_texts(_texts(s, d, True), "id", "text"))
 _q("table_to_csv", "SELECT 's' AS sheet, string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) AS text FROM region",
     lambda s, d: delimited.table_text(_region_cells(s, d), ["sheet"]))
-_q("text_table_import", "SELECT * FROM (VALUES (1, 0, ['a', 'b', 'c']), (1, 1, ['1', '2', '3']), (1, 2, ['4', '5', '6']), (2, 0, ['x', 'y']), (2, 1, ['1', '2']), (3, 0, ['p', 'q', 'r']), (3, 1, ['1', '2', '3']), (5, 0, ['u', 'v']), (5, 1, ['1', '2'])) AS t(id, row, cells)",
-    lambda s, d: delimited.text_table(_texts(s), "id", "text"))
+_q("text_table_import", f"""
+    SELECT id, CAST(unnest([0, 1, 2]) AS INT) AS row, unnest([f[1], f[2], [f[3][1], f[3][2], '2,"']]) AS cells, unnest([true, false, false]) AS header FROM {_FIELDS} WHERE k = 0
+    UNION ALL SELECT id, CAST(unnest([0, 1, 2]) AS INT), unnest(f), unnest([true, false, false]) FROM {_FIELDS} WHERE k BETWEEN 1 AND 3""",
+    lambda s, d: delimited.text_table(_texts(s, d, True).where("id % 5 in (0, 4)").unionByName(_texts(s, d).where("id % 5 not in (0, 4)")), "id", "text"))
 
 
 def _region_cells(spark: SparkSession, d: str) -> DataFrame:

@@ -24,57 +24,79 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = "(SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(string_split(text, chr(10))) AS l, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS i FROM documents)"
-_MARKED = [("1", "# One\ntext\n## Two\n1. a\n1. b\n  1. c\n1. d\nx\n1. e\n- f\n---"), ("2", "plain"), ("3", "### Three\n#### Four")]
+_NTH = "(SELECT CAST(user_id AS VARCHAR) AS doc_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n FROM events)"
 
 
-def _marked(spark: SparkSession) -> DataFrame:
-    return doctree.from_text(spark.createDataFrame(_MARKED, "doc_id string, text string"), "doc_id", "text")
+def _nth(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their place among those of their user."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("doc_id"), "event_id", "event_type", (F.row_number().over(w) - 1).alias("n"))
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """A document a user, a line an event: headings, lists of two levels, page breaks, plain and empty lines in turn."""
+    line = F.expr("""concat(case n % 11 when 0 then concat(repeat('#', 1 + n div 11 % 6), ' ') when 3 then '  1. ' when 5 then '- ' when 6 then '' else '1. ' end, event_type, event_id)""")
+    lines = _nth(spark, d).select("doc_id", "n", F.expr("n % 11").alias("k"), line.alias("l")).withColumn("l", F.expr("case k when 8 then '---' when 10 then '' else l end"))
+    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "l"))), lambda x: x["l"]), "\n").alias("text"))
+    return doctree.from_text(texts, "doc_id", "text")
 
 
 _q("node_type_counts", f"SELECT doc_id, 'Paragraph' AS type, count(*) AS n FROM {_LINES} WHERE l <> '---' GROUP BY 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'Body', 1 FROM documents UNION ALL SELECT doc_id, 'PageBreak', count(*) FROM {_LINES} WHERE l = '---' GROUP BY 1",
     lambda s, d: doctree.type_counts(_nodes(s, d)))
 _q("plain_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(ltrim(regexp_replace(text, '\\n+', chr(10), 'g'), chr(10))) AS h FROM documents",
     lambda s, d: doctree.plain_text(doctree.from_text(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
-_q("headings", "SELECT * FROM (VALUES ('1', 1, 'One'), ('1', 2, 'Two'), ('3', 3, 'Three'), ('3', 4, 'Four')) AS t(doc_id, level, text)", lambda s, d: doctree.headings(_marked(s)).select("doc_id", "level", "text"))
-_q("toc_entries", "SELECT * FROM (VALUES ('1', 1, 'TOC1', 'One'), ('1', 2, 'TOC2', 'Two'), ('3', 1, 'TOC3', 'Three')) AS t(doc_id, entry, style, text)", lambda s, d: doctree.toc_entries(_marked(s)))
-_q("list_counters", "SELECT * FROM (VALUES ('1', '0.3', 0, 1), ('1', '0.4', 0, 2), ('1', '0.5', 1, 1), ('1', '0.6', 0, 3), ('1', '0.8', 0, 1)) AS t(doc_id, node_id, level, counter)", lambda s, d: doctree.list_counters(_marked(s)))
+_q("headings", f"SELECT doc_id, CAST(1 + n // 11 % 6 AS INT) AS level, event_type || event_id AS text FROM {_NTH} WHERE n % 11 = 0", lambda s, d: doctree.headings(_marked(s, d)).select("doc_id", "level", "text"))
+_q("toc_entries", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS entry, 'TOC' || (1 + n // 11 % 6) AS style, event_type || event_id AS text FROM {_NTH} WHERE n % 11 = 0 AND n // 11 % 6 < 3", lambda s, d: doctree.toc_entries(_marked(s, d)))
+_q("list_counters", f"""
+    WITH r AS (SELECT *, n % 11 AS k, sum(CASE WHEN n % 11 IN (0, 6, 8, 10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM {_NTH})
+    SELECT doc_id, '0.' || n AS node_id, CASE WHEN k = 3 THEN 1 ELSE 0 END AS level, CAST(row_number() OVER (PARTITION BY doc_id, run, k = 3 ORDER BY n) AS INT) AS counter FROM r WHERE k IN (1, 2, 3, 4, 7, 9)""",
+    lambda s, d: doctree.list_counters(_marked(s, d)))
 _q("text_roundtrip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS h FROM documents",
     lambda s, d: doctree.render_text(doctree.from_text(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("h")))
 _q("body_paragraph_count", f"SELECT doc_id, count(*) AS n FROM {_LINES} WHERE l <> '---' GROUP BY 1", lambda s, d: doctree.body_paragraphs(_nodes(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
 _q("hierarchy_errors", f"SELECT doc_id, '0.' || i AS node_id, 'TableRow' AS type, 'Body' AS parent_type FROM {_LINES} WHERE i % 10 = 3",
     lambda s, d: doctree.hierarchy_errors(_nodes(s, d).withColumn("type", F.expr("case when depth = 1 and pos % 10 = 3 then 'TableRow' else type end"))))
 
-_TREE = [
-    ("d", "a", None, [0], "Body", {}), ("d", "b", "a", [0, 0], "Paragraph", {"RevisionType": "Insert", "RevisionAuthor": "x", "RevisionDate": "2024"}), ("d", "b1", "b", [0, 0, 0], "Run", {}),
-    ("d", "c", "a", [0, 1], "TableRow", {"RevisionType": "Delete", "RevisionAuthor": "y"}), ("d", "c1", "c", [0, 1, 0], "TableCell", {}), ("d", "e", "a", [0, 2], "Paragraph", {"RevisionType": "FormatChange", "Bold": "1"}),
-]
+_TURNS = """(SELECT doc_id, node_id, turn, depth, CASE WHEN depth = 1 AND turn % 4 = 1 THEN 'Insert' WHEN depth = 1 AND turn % 4 = 2 THEN 'Delete' WHEN depth = 1 AND turn % 4 = 3 THEN 'FormatChange' END AS kind, role FROM (
+    SELECT DISTINCT CAST(conv_id AS VARCHAR) AS doc_id, 'b' AS node_id, -1 AS turn, 0 AS depth, NULL AS role FROM conversations UNION ALL
+    SELECT CAST(conv_id AS VARCHAR), 'p' || turn, turn, 1, role FROM conversations UNION ALL SELECT CAST(conv_id AS VARCHAR), 'r' || turn, turn, 2, role FROM conversations))"""
 
 
-def _small_tree(spark: SparkSession) -> DataFrame:
-    rows = [(doc, n, p, path[-1], path, len(path) - 1, t, n, a) for doc, n, p, path, t, a in _TREE]
-    return spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, pos int, path array<int>, depth int, type string, text string, attrs map<string,string>")
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """A document a conversation, a paragraph with a run a turn; of four paragraphs one is inserted, one deleted and one formatted anew."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("turn"), "role")
+    change = "case turn % 4 when 1 then map('RevisionType', 'Insert', 'RevisionAuthor', role, 'RevisionDate', '2024') when 2 then map('RevisionType', 'Delete', 'RevisionAuthor', role) when 3 then map('RevisionType', 'FormatChange', 'Bold', '1') else map('Bold', '1') end"
+    plain = "cast(map() as map<string,string>)"
+    body = c.select("doc_id").distinct().selectExpr("doc_id", "'b' as node_id", "cast(null as string) as parent_id", "0 as pos", "array(0) as path", "0 as depth", "'Body' as type", "cast(null as string) as text", f"{plain} as attrs")
+    paragraphs = c.selectExpr("doc_id", "concat('p', turn) as node_id", "'b' as parent_id", "turn as pos", "array(0, turn) as path", "1 as depth", "'Paragraph' as type", "cast(null as string) as text", f"{change} as attrs")
+    runs = c.selectExpr("doc_id", "concat('r', turn) as node_id", "concat('p', turn) as parent_id", "0 as pos", "array(0, turn, 0) as path", "2 as depth", "'Run' as type", "role as text", f"{plain} as attrs")
+    return body.unionByName(paragraphs).unionByName(runs)
 
 
-_q("tracked_changes", "SELECT * FROM (VALUES ('d', 'b', 'Insert', 'x', '2024'), ('d', 'c', 'Delete', 'y', NULL), ('d', 'e', 'FormatChange', NULL, NULL)) AS t(doc_id, node_id, kind, author, date)", lambda s, d: doctree.tracked_changes(_small_tree(s)))
-_q("accept_changes", "SELECT unnest(['a', 'b', 'b1', 'e']) AS node_id", lambda s, d: doctree.settle_changes(_small_tree(s), True).select("node_id"))
-_q("reject_changes", "SELECT unnest(['a', 'c', 'c1', 'e']) AS node_id", lambda s, d: doctree.settle_changes(_small_tree(s), False).select("node_id"))
-_q("descendants", "SELECT * FROM (VALUES ('a', 'b'), ('a', 'b1'), ('a', 'c'), ('a', 'c1'), ('a', 'e'), ('b', 'b1')) AS t(root_id, node_id)",
-    lambda s, d: doctree.within(_small_tree(s), s.createDataFrame([("d", "a"), ("d", "b")], "doc_id string, root_id string")).select("root_id", "node_id"))
+_q("tracked_changes", f"SELECT doc_id, node_id, kind, CASE WHEN kind <> 'FormatChange' THEN role END AS author, CASE WHEN kind = 'Insert' THEN '2024' END AS date FROM {_TURNS} WHERE kind IS NOT NULL", lambda s, d: doctree.tracked_changes(_turns(s, d)))
+_q("accept_changes", f"SELECT doc_id, node_id, CASE WHEN depth = 1 AND turn % 4 IN (0, 3) THEN 'Bold' ELSE '' END AS attrs FROM {_TURNS} WHERE turn % 4 <> 2", lambda s, d: doctree.settle_changes(_turns(s, d), True).select("doc_id", "node_id", F.array_join(F.map_keys("attrs"), ",").alias("attrs")))
+_q("reject_changes", f"SELECT doc_id, node_id, CASE WHEN depth = 1 AND turn % 4 IN (0, 3) THEN 'Bold' ELSE '' END AS attrs FROM {_TURNS} WHERE turn % 4 <> 1", lambda s, d: doctree.settle_changes(_turns(s, d), False).select("doc_id", "node_id", F.array_join(F.map_keys("attrs"), ",").alias("attrs")))
+_q("descendants", f"SELECT doc_id, 'b' AS root_id, node_id FROM {_TURNS} WHERE depth > 0 UNION ALL SELECT doc_id, 'p' || turn, node_id FROM {_TURNS} WHERE depth = 2 AND turn % 2 = 0",
+    lambda s, d: doctree.within(_turns(s, d), _turns(s, d).where("depth = 0 or depth = 1 and pos % 2 = 0").select("doc_id", F.col("node_id").alias("root_id"))).select("doc_id", "root_id", "node_id"))
 _q("ancestors_recursive", "SELECT a.conv_id AS doc_id, a.turn AS node_id, b.turn AS ancestor_id, CAST(a.turn - b.turn AS INT) AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn",
     lambda s, d: doctree.ancestors(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("node_id"), F.expr("case when turn > 0 then turn - 1 end").alias("parent_id"))))
-_q("selection_range", "SELECT unnest(['b1', 'c', 'c1']) AS node_id", lambda s, d: doctree.selection(_small_tree(s), [0, 0, 0], [0, 1, 0]).select("node_id"))
+_q("selection_range", f"SELECT doc_id, node_id FROM {_TURNS} WHERE turn BETWEEN 1 AND 3 AND (depth = 2 OR turn > 1)", lambda s, d: doctree.selection(_turns(s, d), [0, 1, 0], [0, 3, 0]).select("doc_id", "node_id"))
 _q("style_resolution", "SELECT a.n_nationkey AS style_id, 'k' || (b.n_nationkey % 3) AS key, arg_max(b.n_name, b.n_nationkey) AS value FROM nation a JOIN nation b ON b.n_nationkey <= a.n_nationkey GROUP BY 1, 2",
     lambda s, d: doctree.resolve_styles(table(s, d, "nation").select(F.col("n_nationkey").alias("style_id"), F.expr("case when n_nationkey > 0 then n_nationkey - 1 end").alias("parent_id"), F.create_map(F.concat(F.lit("k"), F.col("n_nationkey") % 3), "n_name").alias("attrs"))).select("style_id", F.explode("attrs").alias("key", "value")))
-_q("attr_merge", "SELECT * FROM (VALUES ('a', '1'), ('b', '9'), ('c', '3')) AS t(k, v)",
-    lambda s, d: s.createDataFrame([({"a": "1", "b": "2"}, {"b": "9", "c": "3"})], "l map<string,string>, r map<string,string>").select(F.explode(doctree.merge_attrs(F.col("l"), F.col("r"))).alias("k", "v")))
+_q("attr_merge", "SELECT event_id, unnest(['a', 'b', 'c'][1:2 + event_id % 2]) AS k, unnest([event_type, CAST(event_id AS VARCHAR), event_type || '!'][1:2 + event_id % 2]) AS v FROM events",
+    lambda s, d: table(s, d, "events").select("event_id", F.explode(doctree.merge_attrs(F.expr("map('a', event_type, 'b', cast(user_id as string))"), F.expr("map_filter(map('b', cast(event_id as string), 'c', case when event_id % 2 = 1 then concat(event_type, '!') end), (k, v) -> v is not null)"))).alias("k", "v")))
 _q("comment_threads", "SELECT conv_id AS doc_id, turn AS comment_id, CASE WHEN turn > 0 THEN 0 END AS parent_id, CASE WHEN turn = 0 THEN count(*) FILTER (turn > 0) OVER (PARTITION BY conv_id) ELSE 0 END AS replies FROM conversations",
     lambda s, d: doctree.comment_threads(_comments(s, d)))
-_q("numbering_override", "SELECT * FROM (VALUES (1, 0, 'decimal'), (1, 1, 'roman')) AS t(num_id, level, format)",
-    lambda s, d: doctree.numbering(s.createDataFrame([(1, 0), (1, 1)], "num_id int, level int"), s.createDataFrame([(1, 0, "decimal"), (1, 1, "alpha")], "num_id int, level int, format string"), s.createDataFrame([(1, 1, "roman")], "num_id int, level int, format string")))
+_q("numbering_override", "SELECT c_custkey, c_nationkey AS num_id, c_custkey % 3 AS level, CASE WHEN c_nationkey % 4 = 0 AND c_custkey % 3 = 1 THEN 'roman' ELSE ['decimal', 'alpha', 'bullet'][c_custkey % 3 + 1] END AS format FROM customer",
+    lambda s, d: doctree.numbering(table(s, d, "customer").selectExpr("c_custkey", "c_nationkey as num_id", "c_custkey % 3 as level"), _levels(s, d), _levels(s, d).where("num_id % 4 = 0 and level = 1").withColumn("format", F.lit("roman"))))
 _q("block_change_detection", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, text FROM documents WHERE doc_id % 7 = 0) GROUP BY 1",
     lambda s, d: _changed(s, d))
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("num_id"), F.posexplode(F.array(*map(F.lit, ("decimal", "alpha", "bullet")))).alias("level", "format"))
+
+
 def _comments(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as comments: each turn after the first replies to it."""
     return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("comment_id"), F.expr("case when turn > 0 then 0 end").alias("parent_id"))
@@ -199,8 +221,19 @@ def _crdt(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("d", "n", *r) for r in rows], "doc_id string, target string, kind string, lamport int, replica int, left_lamport int, left_replica int, value string")
 
 
-_q("undo_redo", "SELECT 'd' AS doc_id, 'hello!' AS text",
-    lambda s, d: oplog.replay(s.createDataFrame([("d", 1, "insert", 0, 0, "hello"), ("d", 2, "delete", 0, 1, None), ("d", 3, "undo", 0, 0, None), ("d", 4, "insert", 5, 0, "?"), ("d", 5, "undo", 0, 0, None), ("d", 6, "insert", 5, 0, "!"), ("d", 7, "delete", 90, 1, None)], "doc_id string, seq int, kind string, offset int, length int, value string")))
+_q("undo_redo", f"""
+    WITH e AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM {_NTH})
+    SELECT doc_id, string_agg(substring(event_type, 1, 1), '' ORDER BY n DESC) FILTER (n % 5 = 0 OR n % 5 = 1 AND n + 5 > total AND total % 5 IN (2, 4)) AS text FROM e GROUP BY 1""",
+    lambda s, d: oplog.replay(_typing(s, d)))
+
+
+def _typing(spark: SparkSession, d: str) -> DataFrame:
+    """Events as what their user does to a text: two letters put in front, the second undone, redone and undone again; deletions beyond the text change nothing."""
+    kind = "case n % 5 when 2 then 'undo' when 3 then 'redo' when 4 then 'undo' else 'insert' end"
+    done = _nth(spark, d).selectExpr("doc_id", "n * 2 as seq", f"{kind} as kind", "0 as offset", "0 as length", "substring(event_type, 1, 1) as value")
+    bad = _nth(spark, d).selectExpr("doc_id", "n * 2 + 1 as seq", "'delete' as kind", "90000000 as offset", "1 as length", "cast(null as string) as value")
+    return done.unionByName(bad)
+
 
 # --- sessions
 
@@ -231,19 +264,36 @@ _q("admin_errors_page", "SELECT event_id FROM (SELECT event_id, ts FROM events W
 
 # --- files and kernels
 
-_CELLS = [("w", "S", 0, 0, "number", 2.0, None, None, None, None), ("w", "S", 1, 0, "number", 3.0, None, None, None, None), ("w", "S", 0, 1, "empty", None, None, None, None, "=SUM(A1:A2)*2"), ("w", "S", 1, 1, "empty", None, None, None, None, "=B1/0"), ("w", "T", 0, 0, "empty", None, None, None, None, '=IFERROR(S!B2,"bad")&S!B1')]
+_ROWS = "(SELECT p_brand, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS n FROM part)"
+_SHEETS = f"""(SELECT p_brand AS workbook_id, 'S' AS sheet, n AS row, 0 AS col, 'number' AS kind, CAST(p_size AS DOUBLE) AS num, NULL AS txt, NULL AS err FROM {_ROWS}
+    UNION ALL SELECT p_brand, 'S', n, 1, 'number', p_size * 2, NULL, NULL FROM {_ROWS} UNION ALL SELECT p_brand, 'S', n, 2, CASE WHEN p_size > 25 THEN 'text' ELSE 'error' END, NULL, CASE WHEN p_size > 25 THEN 'big' END, CASE WHEN p_size <= 25 THEN '#DIV/0!' END FROM {_ROWS}
+    UNION ALL SELECT p_brand, 'T', 0, 0, 'number', sum(p_size), NULL, NULL FROM {_ROWS} GROUP BY 1)"""
 
 
-def _book(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CELLS, office.CELLS)
+def _book(spark: SparkSession, d: str) -> DataFrame:
+    """A workbook a brand: sizes, formulas over them by row, and a sheet with their sum."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    part = table(spark, d, "part").select(F.col("p_brand").alias("workbook_id"), "p_size", F.row_number().over(w).alias("n"))
+    blank = {n: f"cast(null as {t})" for n, t in (c.split() for c in office.CELLS.split(", "))}
 
+    def made(df: DataFrame, **cells: str) -> DataFrame:
+        return df.selectExpr(*[f"{e} as {n}" for n, e in (blank | {"workbook_id": "workbook_id", "sheet": "'S'", "row": "n - 1", "kind": "'empty'"} | cells).items()])
 
-_q("recalculate", "SELECT * FROM (VALUES ('S', 0, 0, 'number', 2.0::DOUBLE, NULL, NULL), ('S', 1, 0, 'number', 3.0, NULL, NULL), ('S', 0, 1, 'number', 10.0, NULL, NULL), ('S', 1, 1, 'error', NULL, NULL, '#DIV/0!'), ('T', 0, 0, 'text', NULL, 'bad10', NULL)) AS t(sheet, row, col, kind, num, txt, err)",
-    lambda s, d: recalculate_frame(_book(s)).select("sheet", "row", "col", "kind", "num", "txt", "err"))
-_q("xlsx_roundtrip", "SELECT * FROM (VALUES ('S', 0, 0, 'number', 2.0::DOUBLE, NULL), ('S', 1, 0, 'number', 3.0, NULL), ('S', 0, 1, 'number', 10.0, NULL), ('S', 1, 1, 'error', NULL, NULL), ('T', 0, 0, 'text', NULL, 'bad10')) AS t(sheet, row, col, kind, num, txt)",
-    lambda s, d: office.read_workbooks(office.write_workbooks(recalculate_frame(_book(s)), "xlsx").select(F.col("workbook_id").alias("path"), F.lit("xlsx").alias("format"), "content")).select("sheet", "row", "col", "kind", "num", "txt"))
-_q("ods_roundtrip", "SELECT * FROM (VALUES ('S', 0, 0, 2.0::DOUBLE), ('S', 1, 0, 3.0), ('S', 0, 1, 10.0)) AS t(sheet, row, col, num)",
-    lambda s, d: office.read_workbooks(office.write_workbooks(recalculate_frame(_book(s)), "ods").select(F.col("workbook_id").alias("path"), F.lit("ods").alias("format"), "content")).where("kind = 'number'").select("sheet", "row", "col", "num"))
+    sizes = made(part, col="0", kind="'number'", num="cast(p_size as double)")
+    twice = made(part, col="1", formula="concat('=A', n, '*2')")
+    tests = made(part, col="2", formula="concat('=IF(B', n, '>50,\"big\",1/0)')")
+    total = made(part.groupBy("workbook_id").agg(F.count(F.lit(1)).alias("n")), sheet="'T'", row="0", col="0", formula="concat('=SUM(S!A1:A', n, ')')")
+    return sizes.unionByName(twice).unionByName(tests).unionByName(total)
+
+
+def _reread(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    files = office.write_workbooks(recalculate_frame(_book(spark, d)), kind)
+    return office.read_workbooks(files.select(F.col("workbook_id").alias("path"), F.lit(kind).alias("format"), "content"))
+
+
+_q("recalculate", f"SELECT * FROM {_SHEETS}", lambda s, d: recalculate_frame(_book(s, d)).select("workbook_id", "sheet", "row", "col", "kind", "num", "txt", "err"))
+_q("xlsx_roundtrip", f"SELECT * FROM {_SHEETS}", lambda s, d: _reread(s, d, "xlsx").select("workbook_id", "sheet", "row", "col", "kind", "num", "txt", "err"))
+_q("ods_roundtrip", f"SELECT workbook_id, sheet, row, col, num FROM {_SHEETS} WHERE kind = 'number'", lambda s, d: _reread(s, d, "ods").where("kind = 'number'").select("workbook_id", "sheet", "row", "col", "num"))
 _BLOCKS = "SELECT CAST(item_id AS VARCHAR) AS path, md5(replace(text, chr(10), ' ')) AS h FROM benchmark"
 
 
@@ -270,9 +320,17 @@ def _converted(spark: SparkSession, d: str) -> DataFrame:
     return files.select("path", F.md5("content").alias("h")).unionByName(broken.select("path", F.split("err", ":")[0].alias("h")))
 
 
-_q("markdown_read", "SELECT * FROM (VALUES (1, 0, 'heading', 1, 'T'), (1, 1, 'bullet', 0, 'a'), (1, 2, 'bullet', 1, 'b'), (1, 3, 'row', 0, 'x\ty'), (1, 4, 'row', 0, '1\t2')) AS t(id, ord, kind, level, text)",
-    lambda s, d: markup.read_markdown(s.createDataFrame([(1, "# T\n\n- a\n  - b\n\n| x | y |\n|---|---|\n| 1 | 2 |")], "id int, text string"), "id", "text"))
-_q("markdown_roundtrip", "SELECT 1 AS id, '# T' || chr(10) || chr(10) || '- a' || chr(10) || '  - b' || chr(10) || chr(10) || 'end' AS text",
-    lambda s, d: markup.write_markdown(markup.read_markdown(s.createDataFrame([(1, "# T\n\n- a\n  - b\n\nend")], "id int, text string"), "id", "text"), "id"))
-_q("html_table_rows", "SELECT * FROM (VALUES (1, 0, 0, 'A', true), (1, 0, 1, '', true), (1, 1, 0, 'b', false), (1, 1, 1, 'c', false), (1, 2, 0, '', false), (1, 2, 1, 'd', false)) AS t(id, row, col, value, header)",
-    lambda s, d: markup.read_html_tables(s.createDataFrame([(1, "<table><tr><th colspan=2>A</th></tr><tr><td rowspan=2>b</td><td>c</td></tr><tr><td>d</td></tr></table>")], "id int, html string"), "id", "html"))
+_q("markdown_read", """
+    SELECT p_partkey AS id, unnest([0, 1, 2, 3, 4, 5]) AS ord, unnest(['heading', 'paragraph', 'bullet', 'bullet', 'row', 'row']) AS kind, unnest([CAST(1 + p_size % 6 AS INT), 0, 0, 1, 0, 0]) AS level,
+    unnest([p_name, p_type, p_brand, CAST(p_size AS VARCHAR), 'x' || chr(9) || 'y', p_partkey || chr(9) || p_size]) AS text FROM part""",
+    lambda s, d: markup.read_markdown(_markdown(s, d, True), "id", "text"))
+_q("markdown_roundtrip", "SELECT p_partkey AS id, repeat('#', CAST(1 + p_size % 6 AS INT)) || ' ' || p_name || chr(10) || chr(10) || p_type || chr(10) || chr(10) || '- ' || p_brand || chr(10) || '  - ' || p_size AS text FROM part",
+    lambda s, d: markup.write_markdown(markup.read_markdown(_markdown(s, d, False), "id", "text"), "id"))
+_q("html_table_rows", """
+    SELECT s_suppkey AS id, unnest([0, 0, 1, 1, 2, 2]) AS row, unnest([0, 1, 0, 1, 0, 1]) AS col, unnest([s_name, '', s_suppkey || '&', CAST(s_nationkey AS VARCHAR), '', 'd']) AS value, unnest([true, true, false, false, false, false]) AS header FROM supplier""",
+    lambda s, d: markup.read_html_tables(table(s, d, "supplier").selectExpr("s_suppkey as id", "concat('<p>x</p><table><tr><th colspan=2> ', s_name, '</th></tr><tr><td rowspan=2>', s_suppkey, '&amp;</td><td>', s_nationkey, '</td></tr><tr><td>d</td></tr></table><table><tr><td>no</td></tr></table>') as html"), "id", "html"))
+
+
+def _markdown(spark: SparkSession, d: str, with_table: bool) -> DataFrame:
+    text = "concat(repeat('#', cast(1 + p_size % 6 as int)), ' ', p_name, '\\n\\n', p_type, '\\n\\n- ', p_brand, '\\n  - ', p_size" + (", '\\n\\n| x | y |\\n|---|---|\\n| ', p_partkey, ' | ', p_size, ' |')" if with_table else ")")
+    return table(spark, d, "part").selectExpr("p_partkey as id", f"{text} as text")

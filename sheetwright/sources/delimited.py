@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import infer_type
 from .detect import detect_delimiter, lines_of
 
 
@@ -117,13 +118,27 @@ def table_text(cells: DataFrame, key: list[str], delimiter: str = ",", line_end:
     return size.select(*key, F.array_join(F.transform(F.sequence(F.lit(0), F.col("_r")), line), line_end).alias("text"))
 
 
+def _comma_fields(line: Column) -> Column:
+    """The fields of a line at commas outside of quotes, quotes taken off; an open quote runs to the line's end."""
+    raw = F.regexp_extract_all(F.concat(line, F.lit("\n")), F.lit(r'((?:[^",\n]++|"(?:[^"\n]++|"")*+"?+)*+)[,\n]'), 1)
+    return F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r'"((?:[^"]++|"")*+)"?+', "$1"), '""', '"'))
+
+
 def text_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, row, cells): pasted text as a table: split at tabs, else pipes, semicolons or commas that every line has; rules of dashes go."""
+    """(key, row, cells, header): pasted text that is a table, of two rows and two columns at least.
+
+    It is split at the tab if the first line has one, else at the pipe, semicolon or comma (outside of quotes) that every
+    line has.  Rules of dashes between pipes go.  The first row is a header if it has no number and the second has one.
+    """
     lines = F.filter(lines_of(F.col(text)), lambda x: F.trim(x) != "")
     has = lambda s: F.forall(lines, lambda x: x.contains(s))
-    sign = F.when(F.exists(lines, lambda x: x.contains("\t")), "\t").when(has("|"), "|").when(has(";"), ";").when(has(","), ",")
-    bare = lambda x: F.when(F.col("sign") == "|", F.regexp_replace(F.trim(x), r"^\||\|$", "")).otherwise(x)
-    rows = df.select(key, lines.alias("lines"), sign.alias("sign")).where("sign is not null")
-    rows = rows.withColumn("lines", F.filter("lines", lambda x: ~x.rlike(r"^[\s|:-]*-[\s|:-]*$")))
-    rows = rows.select(key, "sign", F.posexplode("lines").alias("row", "line"))
-    return rows.select(key, "row", F.transform(F.split(bare(F.col("line")), F.concat(F.lit("\\Q"), F.col("sign"), F.lit("\\E")), -1), F.trim).alias("cells"))
+    sign = F.when(F.contains(F.get(lines, F.lit(0)), F.lit("\t")), "\t").when(has("|"), "|").when(has(";"), ";").when(has(","), ",")
+    rows = df.select(key, lines.alias("lines"), sign.alias("sign")).where("sign is not null and size(lines) > 0")
+    piped = F.transform("lines", lambda x: F.regexp_replace(x, r"^\||\|$", ""))
+    bare = F.when(F.col("sign") == "|", F.filter(piped, lambda x: ~x.rlike(r"^[\s|:-]+$"))).otherwise(F.col("lines"))
+    at = F.concat(F.lit("\\Q"), F.col("sign"), F.lit("\\E"))
+    cells = F.transform(bare, lambda x: F.transform(F.when(F.col("sign") == ",", _comma_fields(x)).otherwise(F.split(x, at, -1)), lambda c: F.trim(c)))  # noqa: PLW0108
+    rows = rows.select(key, cells.alias("grid")).where(F.expr("size(grid) > 1 and size(grid[0]) > 1"))
+    number = lambda c: infer_type(c) == "number"
+    header = ~F.exists(F.get("grid", F.lit(0)), number) & F.exists(F.get("grid", F.lit(1)), number)
+    return rows.select(key, header.alias("_h"), F.posexplode("grid").alias("row", "cells")).select(key, "row", "cells", (F.col("_h") & (F.col("row") == 0)).alias("header"))
