@@ -67,6 +67,16 @@ def within(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return ups.join(tops, (ups.doc_id == tops.doc_id) & (F.col("_up") == F.col("_root"))).select(ups.doc_id, "root_id", "node_id", "parent_id", "type", "path", "depth", "text")
 
 
+def is_descendant(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(doc_id, node_id, ancestor_id) with `below`: whether the node lies under the other; false if one isn't there, or both are the same."""
+    paths = nodes.groupBy("doc_id", "node_id").agg(F.min("path").alias("path"))
+    low = paths.select(F.col("doc_id").alias("_d"), F.col("node_id").alias("_n"), F.col("path").alias("_low"))
+    top = paths.select(F.col("doc_id").alias("_e"), F.col("node_id").alias("_m"), F.col("path").alias("_top"))
+    both = pairs.join(low, (F.col("doc_id") == F.col("_d")) & (F.col("node_id") == F.col("_n")), "left").join(top, (F.col("doc_id") == F.col("_e")) & (F.col("ancestor_id") == F.col("_m")), "left")
+    below = (F.size("_low") > F.size("_top")) & (F.slice("_low", 1, F.greatest(F.size("_top"), F.lit(0))) == F.col("_top"))
+    return both.select(*[F.col(f"`{c}`") for c in pairs.columns], F.coalesce(below, F.lit(False)).alias("below"))
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, ancestor_id, distance) for trees without paths, of any depth.
 

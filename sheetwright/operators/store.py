@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,12 +109,27 @@ class Builder:
         return spark.createDataFrame(self.rows, "doc_id string, node_id string, parent_id string, pos int, path array<int>, depth int, type string, text string, attrs map<string,string>")
 
 
+def table_nodes(cells: DataFrame, key: str) -> DataFrame:
+    """The nodes of documents that hold one table each, of cells(key, row, col, value); each cell is a paragraph."""
+    at = {"Body": [], "Table": ["0"], "TableRow": ["0", "row"], "TableCell": ["0", "row", "col"], "Paragraph": ["0", "row", "col", "0"]}
+
+    def nodes(kind: str) -> DataFrame:
+        path = F.array(F.lit(0), *[F.lit(0) if p == "0" else F.col(p) for p in at[kind]])
+        parent = F.when(F.size(path) > 1, F.array_join(F.slice(path, 1, F.size(path) - 1), "."))
+        text = F.col("value") if kind == "Paragraph" else F.lit(None).cast("string")
+        made = cells.select(F.col(key).cast("string").alias("doc_id"), F.array_join(path, ".").alias("node_id"), parent.alias("parent_id"), F.element_at(path, -1).alias("pos"), path.alias("path"), F.lit(len(at[kind])).alias("depth"), F.lit(kind).alias("type"), text.alias("text"))
+        made = made if kind in ("TableCell", "Paragraph") else made.distinct()
+        return made.withColumn("attrs", F.expr("cast(map() as map<string,string>)"))
+
+    return functools.reduce(DataFrame.unionByName, map(nodes, at))
+
+
 def tables_csv(nodes: DataFrame, delimiter: str = ",") -> DataFrame:
     """(doc_id, text): every table of a document as CSV, tables apart by an empty line."""
     from ..sources.delimited import quote
 
     cells = nodes.where("type = 'Paragraph'").where(F.size("path") >= 5)
-    cells = cells.select("doc_id", F.slice("path", 1, F.size("path") - 3).alias("t"), F.element_at("path", -3).alias("r"), F.element_at("path", -2).alias("c"), F.element_at("path", -1).alias("p"), "text")
+    cells = cells.select("doc_id", F.slice("path", 1, F.greatest(F.size("path") - 3, F.lit(0))).alias("t"), F.try_element_at("path", F.lit(-3)).alias("r"), F.try_element_at("path", F.lit(-2)).alias("c"), F.try_element_at("path", F.lit(-1)).alias("p"), "text")
     cell = cells.groupBy("doc_id", "t", "r", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "text"))), lambda x: x["text"]), " ").alias("v"))
     line = cell.groupBy("doc_id", "t", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", quote(F.col("v"), delimiter).alias("q")))), lambda x: x["q"]), delimiter).alias("l"))
     table = line.groupBy("doc_id", "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "l"))), lambda x: x["l"]), "\n").alias("s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.formula import with_formulas
-from ..operators import text
+from ..operators import store, text
 from ..sources import delimited, detect
 from .registry import query, table
 
@@ -150,6 +150,10 @@ _q("csv_cells", f"""
     SELECT id, row, CAST(unnest([0, 1, 2]) AS INT) AS col, unnest([f[1], f[2], CASE WHEN row = 2 THEN '2' || s || '"' ELSE f[3] END]) AS value FROM r WHERE k < 4
     UNION ALL SELECT id, row, 0, f[1] || s || f[2] || s || f[3] FROM r WHERE k = 4""",
     lambda s, d: delimited.cells_of_texts(_texts(s, d, True), "id", "text"))
+_q("csv_model_roundtrip", f"""
+    SELECT CAST(id AS VARCHAR) AS doc_id, f[1][1] || s || f[1][2] || s || f[1][3] || chr(10) || f[2][1] || s || f[2][2] || s || f[2][3] || chr(10) || f[3][1] || s || s || l AS text
+    FROM (SELECT id, f, CASE WHEN k < 4 THEN ',' ELSE s END AS s, CASE WHEN k < 4 THEN chr(34) || '2' || s || repeat(chr(34), 3) ELSE '2' END AS l FROM {_FIELDS})""",
+    lambda s, d: store.tables_csv(store.table_nodes(delimited.cells_of_texts(_texts(s, d, True), "id", "text"), "id")))
 _q("table_to_csv", "SELECT 's' AS sheet, string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) AS text FROM region",
     lambda s, d: delimited.table_text(_region_cells(s, d), ["sheet"]))
 _q("text_table_import", f"""

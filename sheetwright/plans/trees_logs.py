@@ -78,6 +78,8 @@ _q("accept_changes", f"SELECT doc_id, node_id, CASE WHEN depth = 1 AND turn % 4
 _q("reject_changes", f"SELECT doc_id, node_id, CASE WHEN depth = 1 AND turn % 4 IN (0, 3) THEN 'Bold' ELSE '' END AS attrs FROM {_TURNS} WHERE turn % 4 <> 1", lambda s, d: doctree.settle_changes(_turns(s, d), False).select("doc_id", "node_id", F.array_join(F.map_keys("attrs"), ",").alias("attrs")))
 _q("descendants", f"SELECT doc_id, 'b' AS root_id, node_id FROM {_TURNS} WHERE depth > 0 UNION ALL SELECT doc_id, 'p' || turn, node_id FROM {_TURNS} WHERE depth = 2 AND turn % 2 = 0",
     lambda s, d: doctree.within(_turns(s, d), _turns(s, d).where("depth = 0 or depth = 1 and pos % 2 = 0").select("doc_id", F.col("node_id").alias("root_id"))).select("doc_id", "root_id", "node_id"))
+_q("is_descendant", f"""SELECT doc_id, node_id, 'p1' AS ancestor_id, depth = 2 AND turn = 1 AS below FROM {_TURNS} UNION ALL SELECT doc_id, node_id, 'b', depth > 0 FROM {_TURNS} UNION ALL SELECT doc_id, node_id, 'gone', false FROM {_TURNS}""",
+    lambda s, d: doctree.is_descendant(_turns(s, d), _turns(s, d).select("doc_id", "node_id", F.explode(F.array(*map(F.lit, ("p1", "b", "gone")))).alias("ancestor_id"))))
 _q("ancestors_recursive", "SELECT a.conv_id AS doc_id, a.turn AS node_id, b.turn AS ancestor_id, CAST(a.turn - b.turn AS INT) AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn",
     lambda s, d: doctree.ancestors(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("node_id"), F.expr("case when turn > 0 then turn - 1 end").alias("parent_id"))))
 _q("selection_range", f"SELECT doc_id, node_id FROM {_TURNS} WHERE turn BETWEEN 1 AND 3 AND (depth = 2 OR turn > 1)", lambda s, d: doctree.selection(_turns(s, d), [0, 1, 0], [0, 3, 0]).select("doc_id", "node_id"))
@@ -246,17 +248,19 @@ _SESSIONS = """
     w AS (SELECT epoch(date_trunc('second', max(ts) + INTERVAL 5 MINUTE)) - epoch(date_trunc('second', min(ts))) AS length, count(*) AS events FROM r GROUP BY user_id, s)"""
 
 
-def _anchored(seconds: int) -> str:
+def _anchored(seconds: int, past: str = ">=") -> str:
     """Each user's events in order, with the place in a window that begins with its first event."""
     return f"""
     WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     w(event_id, user_id, ts, i, start, nth) AS (SELECT event_id, user_id, ts, i, ts, 1 FROM e WHERE i = 1
-      UNION ALL SELECT e.event_id, e.user_id, e.ts, e.i, CASE WHEN e.ts - w.start >= INTERVAL {seconds} SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start >= INTERVAL {seconds} SECOND THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)"""
+      UNION ALL SELECT e.event_id, e.user_id, e.ts, e.i, CASE WHEN e.ts - w.start {past} INTERVAL {seconds} SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts - w.start {past} INTERVAL {seconds} SECOND THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)"""
 
 
 _q("session_stats", f"{_SESSIONS} SELECT count(*) AS sessions, CAST(sum(events) AS BIGINT) AS events, CAST(max(length) AS BIGINT) AS longest_s, count(*) FILTER (events > 1) AS with_several FROM w", lambda s, d: sessions.session_stats(sessions.session_windows(table(s, d, "events"), "user_id", "ts")))
 _q("stale_editors", "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE", lambda s, d: sessions.stale_editors(table(s, d, "events"), "user_id", "ts", 60))
 _q("upload_rate", f"{_anchored(86400)} SELECT event_id FROM w WHERE nth > 2", lambda s, d: sessions.over_limit(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 86400, ["event_id"]).select("event_id"))
+_q("login_limit", f"{_anchored(86400, '>')} SELECT event_id, CAST(86400 - floor((epoch_us(ts) - epoch_us(start)) / 1000000) AS BIGINT) AS remaining FROM w WHERE nth > 3",
+    lambda s, d: sessions.blocked_attempts(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3, 86400, ["event_id"]).select("event_id", "remaining"))
 _q("msg_rate_anchored", f"{_anchored(3600)} SELECT CAST(nth AS BIGINT) AS nth, count(*) AS n FROM w GROUP BY 1", lambda s, d: sessions.anchored_windows(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600, ["event_id"]).groupBy("nth").agg(F.count(F.lit(1)).alias("n")))
 _q("msg_rate_per_second", f"{_anchored(1)} SELECT event_id, CAST(nth AS BIGINT) AS nth FROM w", lambda s, d: sessions.anchored_windows(table(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 1, ["event_id"]).select("event_id", "nth"))
 _q("admin_errors_page", "SELECT event_id FROM (SELECT event_id, ts FROM events WHERE event_type = 'error' OR value > 90 ORDER BY ts DESC, event_id DESC LIMIT 500) ORDER BY ts DESC, event_id DESC LIMIT 10 OFFSET 5",

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType, TimestampType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,29 +27,41 @@ def session_windows(events: DataFrame, user: str, ts: str, gap: str = "5 minutes
     return rows.groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("events")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def anchored_windows(events: DataFrame, key: str, ts: str, seconds: float, order: list[str]) -> DataFrame:
-    """events with `nth`: the place within a window that is anchored at its first event and lasts until one is `seconds` later.
-
-    Each key's events are swept in order by one task; a key's state is two numbers, so its length doesn't matter.
-    """
-    schema = StructType([*events.schema.fields, StructField("nth", LongType())])
+def _swept(events: DataFrame, key: str, ts: str, seconds: float, order: list[str], strict: bool) -> DataFrame:
+    schema = StructType([*events.schema.fields, StructField("nth", LongType()), StructField("since", DoubleType())])
     rows = events.repartition(key).sortWithinPartitions(key, ts, *order)
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, start, n = None, None, 0
         for pdf in batches:
-            out = []
+            nth, since = [], []
             keys = [None if pd.isna(k) else k for k in pdf[key]]  # null is a key like any other
             for k, t in zip(keys, pdf[ts], strict=True):
-                if k != last or start is None or (t - start).total_seconds() >= seconds:
-                    last, start, n = k, t, 0
+                gone = 0.0 if start is None else (t - start).total_seconds()
+                if k != last or start is None or gone > seconds or gone == seconds and not strict:
+                    last, start, n, gone = k, t, 0, 0.0
                 n += 1
-                out.append(n)
-            yield pdf.assign(nth=pd.Series(out, index=pdf.index, dtype="int64"))
+                nth.append(n)
+                since.append(gone)
+            yield pdf.assign(nth=pd.Series(nth, index=pdf.index, dtype="int64"), since=pd.Series(since, index=pdf.index, dtype="float64"))
 
     return rows.mapInPandas(sweep, schema)
 
 
+def anchored_windows(events: DataFrame, key: str, ts: str, seconds: float, order: list[str], strict: bool = False) -> DataFrame:
+    """events with `nth`: the place within a window that is anchored at its first event and lasts until one is `seconds` later (strict: more than that).
+
+    Each key's events are swept in order by one task; a key's state is two numbers, so its length doesn't matter.
+    """
+    return _swept(events, key, ts, seconds, order, strict).drop("since")
+
+
+def blocked_attempts(events: DataFrame, key: str, ts: str, limit: int, seconds: int, order: list[str]) -> DataFrame:
+    """Attempts beyond the limit of their window, with `remaining`: the whole seconds until the window ends."""
+    rows = _swept(events, key, ts, seconds, order, True).where(F.col("nth") > limit)
+    return rows.withColumn("remaining", seconds - F.floor("since")).drop("nth", "since")
+
+
 def over_limit(events: DataFrame, key: str, ts: str, limit: int, seconds: float, order: list[str]) -> DataFrame:
     """Events that a limit of so many in an anchored window turns away."""
     return anchored_windows(events, key, ts, seconds, order).where(F.col("nth") > limit).drop("nth")
