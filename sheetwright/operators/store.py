@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula.parse import column_index
@@ -110,18 +109,24 @@ class Builder:
 
 
 def table_nodes(cells: DataFrame, key: str) -> DataFrame:
-    """The nodes of documents that hold one table each, of cells(key, row, col, value); each cell is a paragraph."""
-    at = {"Body": [], "Table": ["0"], "TableRow": ["0", "row"], "TableCell": ["0", "row", "col"], "Paragraph": ["0", "row", "col", "0"]}
-
-    def nodes(kind: str) -> DataFrame:
-        path = F.array(F.lit(0), *[F.lit(0) if p == "0" else F.col(p) for p in at[kind]])
-        parent = F.when(F.size(path) > 1, F.array_join(F.slice(path, 1, F.size(path) - 1), "."))
-        text = F.col("value") if kind == "Paragraph" else F.lit(None).cast("string")
-        made = cells.select(F.col(key).cast("string").alias("doc_id"), F.array_join(path, ".").alias("node_id"), parent.alias("parent_id"), F.element_at(path, -1).alias("pos"), path.alias("path"), F.lit(len(at[kind])).alias("depth"), F.lit(kind).alias("type"), text.alias("text"))
-        made = made if kind in ("TableCell", "Paragraph") else made.distinct()
-        return made.withColumn("attrs", F.expr("cast(map() as map<string,string>)"))
-
-    return functools.reduce(DataFrame.unionByName, map(nodes, at))
+    """The nodes of documents that hold one table each, of parsed cells(key, row, col, value); each cell is a paragraph.
+
+    Rows begin at column 0 and tables at row 0, as parsers give them: a first cell brings the nodes above it, in one pass.
+    """
+    row, col, zero = F.col("row").cast("int"), F.col("col").cast("int"), F.lit(0)
+    none = F.lit(None).cast("string")
+
+    def node(kind: str, path: list[Column], text: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.array(*path).alias("path"), text.alias("text"))
+
+    first = (row == 0) & (col == 0)
+    made = F.array(
+        F.when(first, node("Body", [zero])), F.when(first, node("Table", [zero, zero])), F.when(col == 0, node("TableRow", [zero, zero, row])),
+        node("TableCell", [zero, zero, row, col]), node("Paragraph", [zero, zero, row, col, zero], F.col("value")),
+    )
+    rows = cells.select(F.col(key).cast("string").alias("doc_id"), F.explode(made).alias("n")).where("n is not null").select("doc_id", "n.*")
+    above = F.when(F.size("path") > 1, F.array_join(F.slice("path", 1, F.size("path") - 1), "."))
+    return rows.select("doc_id", F.array_join("path", ".").alias("node_id"), above.alias("parent_id"), F.element_at("path", -1).alias("pos"), "path", (F.size("path") - 1).alias("depth"), "type", "text", F.expr("cast(map() as map<string,string>)").alias("attrs"))
 
 
 def tables_csv(nodes: DataFrame, delimiter: str = ",") -> DataFrame:
