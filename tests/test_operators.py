@@ -290,3 +290,14 @@ def test_kept_blocks_move_together(spark):
 
     df = spark.createDataFrame([("d", 0, 6.0, False), ("d", 1, 3.0, True), ("d", 2, 3.0, False), ("d", 3, 99.0, False), ("e", 0, 1.0, True)], "doc_id string, ord int, height double, keep_next boolean")
     assert rows(paginate_blocks(df, 10)) == [("d", 0, 1), ("d", 1, 2), ("d", 2, 2), ("d", 3, 3), ("e", 0, 1)]
+
+
+def test_display_rounds_the_binary_value_and_halves_to_even(spark):
+    values = [9725.0, 198500.0, 9735.0, 1.005, 0.125, -0.375, 1.245e-5, 0.0, -0.0, 9.995e9, 123456789.0, 1e-120, None]
+    values += [m * 10.0**k * sign for m in range(1005, 9999, 370) for k in (-9, -4, -3, 0, 3, 14) for sign in (1, -1)] + [1.245e20, 1.245e30, 7.625, 1234567.125, 98765.375, 20.00625]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    rows = df.select("i", text.display(F.col("v"), "scientific").alias("s"), text.display(F.col("v") / 100, "percentage").alias("p")).orderBy("i").collect()
+    assert [r["s"] for r in rows] == [None if v is None else f"{v:.2e}" for v in values]
+    assert [r["p"] for r, v in zip(rows, values, strict=True) if v is None or abs(v) < 2**53] == [None if v is None else f"{v / 100 * 100:.2f}%" for v in values if v is None or abs(v) < 2**53]
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),)], "v double").select(text.display(F.col("v"), "scientific").alias("s")).collect()
+    assert [r["s"] for r in odd] == ["NaN", "Infinity"]
