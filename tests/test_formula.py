@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 
 import pytest
 
@@ -109,3 +110,22 @@ def test_aggregates_share_one_pass(spark):
     out = aggregate_formulas(df, {"s": "=SUM([x])", "c": '=COUNTIF([x],">5")', "m": "=MAX([x])-MIN([x])"}, ["g"])
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r["g"]: (r["s"], r["c"], r["m"]) for r in out.collect()} == {0: (20.0, 2.0, 8.0), 1: (25.0, 2.0, 8.0)}
+
+
+def test_recalculation_holds_no_tree_of_a_done_formula():
+    n = 5000
+    values = {("S", 0, r): float(r) for r in range(n)}
+    formulas = {("S", c, r): f"=A{r + 1}*2" if c == 1 else f'=IF(B{r + 1}>50,"big",1/0)' for r in range(n) for c in (1, 2)} | {("T", 0, 0): f"=SUM(S!A1:A{n})"}
+    tracemalloc.start()
+    out = recalculate(values, formulas)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["T", 0, 0] == n * (n - 1) / 2 and out["S", 2, n - 1] == "big" and out["S", 2, 0] == "#DIV/0!"
+    assert peak < 500 * len(formulas)
+
+
+def test_chains_are_followed_without_recursion():
+    n = 3000
+    formulas = {("S", 0, r): f"=A{r + 2}+1" for r in range(n)}
+    assert recalculate({("S", 0, n): 1.0}, formulas)["S", 0, 0] == n + 1
+    assert set(recalculate({}, formulas | {("S", 0, n): "=SUM(A1:A2)"}).values()) == {"#REF!"}
