@@ -1,6 +1,7 @@
 """Layouts, formats, runs, comments, notes, lists, sections, properties and signatures of office files."""
 
 import io
+import tracemalloc
 import zipfile
 
 from sheetwright.sources import layout, office
@@ -101,3 +102,32 @@ def test_tables_of_files(spark):
     for read in (layout.read_comments, layout.read_notes, layout.read_numbering, layout.read_sections, layout.read_properties, layout.read_signatures):
         assert read(files).collect() == []
         assert read(files.limit(0)).collect() == []
+
+
+def peak_of(work):
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_cells_are_read_without_the_tree_of_a_sheet():
+    cells = [("S", r, c, "number", float(r), None, None, None, f"=B{r + 1}*2" if c else None) for r in range(5000) for c in range(3)]
+    for write, read in ((office.write_xlsx, office.read_xlsx), (office.write_ods, office.read_ods)):
+        back, peak = peak_of(lambda write=write, read=read: read(write(cells)))
+        assert back == cells
+        assert peak < 400 * len(cells)
+
+
+def test_tables_inside_cells_of_open_documents():
+    raw = pack({"content.xml": '<c xmlns:t="t" xmlns:o="o"><t:table t:name="A"><t:table-row><t:table-cell o:value-type="float" o:value="1"/><t:table-cell><t:table t:name="B"><t:table-row><t:table-cell o:value-type="float" o:value="2"/></t:table-row></t:table></t:table-cell></t:table-row>'
+                '<t:table-row><t:table-cell o:value-type="float" o:value="3"/></t:table-row></t:table></c>'})
+    assert [(c[0], c[1], c[2], c[4]) for c in office.read_ods(raw)] == [("A", 0, 0, 1.0), ("A", 1, 0, 2.0), ("A", 2, 0, 3.0), ("B", 0, 0, 2.0)]
+
+
+def test_a_file_that_breaks_late_gives_its_error_alone(spark):
+    raw = pack(BOOK | {"xl/worksheets/sheet1.xml": BOOK["xl/worksheets/sheet1.xml"].replace("</mergeCells>", "")})
+    got = office.read_workbooks(spark.createDataFrame([("a", "xlsx", raw), ("b", "xlsx", pack(BOOK))], "path string, format string, content binary")).collect()
+    assert [(r["workbook_id"], r["kind"]) for r in got if r["workbook_id"] == "a"] == [("a", "error")]
+    assert len([r for r in got if r["workbook_id"] == "b"]) == 3
