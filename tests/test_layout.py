@@ -131,3 +131,14 @@ def test_a_file_that_breaks_late_gives_its_error_alone(spark):
     got = office.read_workbooks(spark.createDataFrame([("a", "xlsx", raw), ("b", "xlsx", pack(BOOK))], "path string, format string, content binary")).collect()
     assert [(r["workbook_id"], r["kind"]) for r in got if r["workbook_id"] == "a"] == [("a", "error")]
     assert len([r for r in got if r["workbook_id"] == "b"]) == 3
+
+
+def test_layouts_and_formats_are_read_without_the_tree_of_a_sheet():
+    n = 4000
+    heights = [("S", "row", r, None, r, None, 12.5) for r in range(n)]
+    formats = [("S", r, r % 2, "0.00", "Serif", 10.0, r % 2 == 0, False, None, None, None, None, False) for r in range(n)]
+    raw = layout.write_styled_xlsx([], heights, formats)
+    for read, want in ((layout.xlsx_layout, heights), (layout.xlsx_formats, formats)):
+        back, peak = peak_of(lambda read=read: read(raw))
+        assert back == want
+        assert peak < 900 * n
