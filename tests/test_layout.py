@@ -142,3 +142,30 @@ def test_layouts_and_formats_are_read_without_the_tree_of_a_sheet():
         back, peak = peak_of(lambda read=read: read(raw))
         assert back == want
         assert peak < 900 * n
+
+
+def test_styled_workbooks_are_written_row_by_row():
+    n = 4000
+
+    def rows():
+        for r in range(n):
+            yield "layout", ("S", "row", r, None, r, None, 12.5)
+            yield "formats", ("S", r, 1, "0.00", "Serif", 10.0, r % 2 == 0, False, None, None, None, None, False)
+            yield "cells", ("S", r, 2, "text", None, f"t{r}", None, None, None)
+        yield from (("layout", ("S", "merge", r, 1, r, 3, None)) for r in range(n))
+
+    raw, peak = peak_of(lambda: layout.write_styled_sorted(rows()))
+    assert [c[5] for c in office.read_xlsx(raw) if c[3] == "text"] == [f"t{r}" for r in range(n)]
+    assert len(layout.xlsx_formats(raw)) == n and len(layout.xlsx_layout(raw)) == 2 * n
+    assert peak < 700 * n
+
+
+def test_styled_workbooks_of_tables(spark):
+    book = [("b", "S", 1, 0, "text", None, "x", None, None, None), ("b", "R", 0, 2, "number", 2.0, None, None, None, None), ("c", "S", 0, 0, "boolean", None, None, True, None, None)]
+    lay = [("b", "S", "merge", 1, 0, 2, 1, None), ("b", "S", "row", 3, None, 3, None, 9.0), ("b", "S", "column", None, 1, None, 1, 5.0), ("b", "S", "pane", 1, 1, 1, 1, None), ("b", "S", "other", 1, 1, 1, 1, None), ("b", "Q", "merge", 0, 0, 0, 1, None)]
+    fmt = [("b", "S", 1, 0, "0.0", None, 8.0, True, False, None, None, None, None, False), ("b", "S", 5, 4, "General", None, None, False, True, None, None, None, None, False)]
+    made = layout.write_styled_workbooks(spark.createDataFrame(book, office.CELLS), spark.createDataFrame(lay, layout.LAYOUT), spark.createDataFrame(fmt, layout.FORMATS))
+    files = made.selectExpr("workbook_id as path", "'xlsx' as format", "content")
+    assert sorted(tuple(r) for r in office.read_workbooks(files).where("kind <> 'empty'").collect()) == sorted(book)
+    assert sorted(map(repr, (tuple(r) for r in layout.read_layout(files).collect()))) == sorted(map(repr, [x for x in lay if x[2] != "other"]))
+    assert sorted(map(repr, (tuple(r) for r in layout.read_formats(files).collect()))) == sorted(map(repr, fmt))
