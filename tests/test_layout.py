@@ -169,3 +169,23 @@ def test_styled_workbooks_of_tables(spark):
     assert sorted(tuple(r) for r in office.read_workbooks(files).where("kind <> 'empty'").collect()) == sorted(book)
     assert sorted(map(repr, (tuple(r) for r in layout.read_layout(files).collect()))) == sorted(map(repr, [x for x in lay if x[2] != "other"]))
     assert sorted(map(repr, (tuple(r) for r in layout.read_formats(files).collect()))) == sorted(map(repr, fmt))
+
+
+def test_setup_of_documents_in_one_pass(spark):
+    numbering, sections = [(1, 0, "decimal", "%1.", 1), (2, 0, "bullet", "-", 3)], [(0, 612.0, 792.0, 72.0, None, None, 90.0, 2, "continuous")]
+    raw = layout.write_rich_docx([], numbering=numbering, sections=sections, props=[("title", "T")])
+    files = spark.createDataFrame([("a", "docx", raw), ("b", "docx", b"x"), ("c", "docx", None), ("d", "xlsx", pack(BOOK))], "path string, format string, content binary")
+    got = {r["path"]: tuple([tuple(x) for x in c] for c in r[1:]) for r in layout.read_setup(files).collect()}
+    assert got == {"a": (numbering, sections, [("title", "T")]), "b": ([], [], []), "c": ([], [], [])}
+
+
+def test_many_small_documents_give_few_batches():
+    import pyarrow as pa
+
+    from sheetwright.sources import batches
+
+    form = batches.arrow_schema("a string, b int")
+    made = list(batches.batches_of(((str(i), i) for i in range(25_000)), form))
+    assert [b.num_rows for b in made] == [10_000, 10_000, 5_000]
+    again = list(batches.groups_of(pa.RecordBatch.from_pydict({"k": k, "v": k}) for k in (["a", "a", "b"], ["b", "b"], ["b", "c"])))
+    assert [[b.num_rows for b in g] for g in again] == [[2], [1, 2, 1], [1]]
