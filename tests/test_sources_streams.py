@@ -149,3 +149,14 @@ def test_broken_files_say_so(spark):
     assert got["c.docx"]["content"] is None and "BadZipFile" in got["c.docx"]["err"]
     back = office.convert(spark.createDataFrame([("d", "docx", bytes(got["d.txt"]["content"]))], "path string, format string, content binary"), "txt").first()
     assert bytes(back["content"]) == b"x\ny" and back["err"] is None
+
+
+def test_first_lines_are_split_once(spark):
+    from pyspark.sql import functions as F
+
+    from sheetwright.sources import detect
+
+    texts = {"a,b\n" * 10: True, "a,b\r\n" * 11: True, "a,b\n" * 9 + "c": True, "a,b\n" * 5 + "\n" * 5: False, "a,b\n" * 10 + "\n" * 90: True, "a,b": False, "\r\n": False, "": False, None: False}
+    df = spark.createDataFrame([(t, v) for t, v in texts.items()], "t string, v boolean").withColumn("got", detect.looks_like_csv(F.col("t")))
+    assert df.where("not got <=> v").collect() == []
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
