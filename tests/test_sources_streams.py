@@ -160,3 +160,12 @@ def test_first_lines_are_split_once(spark):
     df = spark.createDataFrame([(t, v) for t, v in texts.items()], "t string, v boolean").withColumn("got", detect.looks_like_csv(F.col("t")))
     assert df.where("not got <=> v").collect() == []
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_text_tables_take_their_lines_once(spark):
+    from sheetwright.sources import delimited
+
+    df = spark.createDataFrame([(1, 'a,b\r\n"1,2",3\n'), (2, "x|y\n|-|-|\n1|2"), (3, "p\tq"), (4, None), (5, "a;b\n;")], "id int, t string")
+    out = delimited.text_table(df, "id", "t")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, ["a", "b"], True), (1, 1, ["1,2", "3"], False), (2, 0, ["x", "y"], True), (2, 1, ["1", "2"], False), (5, 0, ["a", "b"], False), (5, 1, ["", ""], False)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(t#") == 1
