@@ -189,3 +189,16 @@ def test_many_small_documents_give_few_batches():
     assert [b.num_rows for b in made] == [10_000, 10_000, 5_000]
     again = list(batches.groups_of(pa.RecordBatch.from_pydict({"k": k, "v": k}) for k in (["a", "a", "b"], ["b", "b"], ["b", "c"])))
     assert [[b.num_rows for b in g] for g in again] == [[2], [1, 2, 1], [1]]
+
+
+def test_batches_of_large_texts_are_passed_on_by_their_bytes():
+    from sheetwright.sources import batches
+
+    form = batches.arrow_schema(layout.NOTES)
+    raw = layout.write_rich_docx([], notes=[("footnote", str(i), "x" * 100_000) for i in range(10)])
+    files = [(str(i), "docx", raw if i != 5 else b"x") for i in range(40)]
+    made = list(batches.read_batches(iter(files), form, {"docx": layout.docx_notes}, office._BROKEN))
+    assert [r for b in made for r in zip(*b.to_pydict().values(), strict=True)] == [(p, *x) for p, _, c in files if c == raw for x in layout.docx_notes(c)]
+    assert max(b.nbytes for b in made) < 6 << 20
+    small = [(str(i), "docx", layout.write_rich_docx([], notes=[("endnote", "1", "y")])) for i in range(30)]
+    assert [b.num_rows for b in batches.read_batches(iter(small), form, {"docx": layout.docx_notes}, office._BROKEN)] == [30]
