@@ -4,6 +4,9 @@ import io
 import tracemalloc
 import zipfile
 
+import pytest
+
+from sheetwright.plans import files as plans
 from sheetwright.sources import layout, office
 
 BOOK = {
@@ -202,3 +205,10 @@ def test_batches_of_large_texts_are_passed_on_by_their_bytes():
     assert max(b.nbytes for b in made) < 6 << 20
     small = [(str(i), "docx", layout.write_rich_docx([], notes=[("endnote", "1", "y")])) for i in range(30)]
     assert [b.num_rows for b in batches.read_batches(iter(small), form, {"docx": layout.docx_notes}, office._BROKEN)] == [30]
+
+
+@pytest.mark.parametrize("read", [layout.read_runs, layout.read_comments])
+def test_documents_meet_in_one_shuffle_and_travel_as_arrow_batches(spark, sf_dir, read):
+    plan = read(plans._documents(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") == 1
