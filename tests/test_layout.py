@@ -1,6 +1,8 @@
 """Layouts, formats, runs, comments, notes, lists, sections, properties and signatures of office files."""
 
+import cProfile
 import io
+import pstats
 import tracemalloc
 import zipfile
 
@@ -212,3 +214,42 @@ def test_documents_meet_in_one_shuffle_and_travel_as_arrow_batches(spark, sf_dir
     plan = read(plans._documents(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan
     assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def calls_of(work):
+    p = cProfile.Profile()
+    out = p.runcall(work)
+    return out, pstats.Stats(p).total_calls
+
+
+def test_small_documents_are_written_and_read_in_few_calls():
+    n = 8
+    runs = [(i, k, f"a & b {i}.\n" * 3, k == 0, False, False, False, "Sans", 10.5, None, (None, "Insert", "Delete")[i % 3], "user", None) for i in range(n) for k in range(2)]
+    comments = [(str(i), "0" if i else None, "user", None, f"a < b {i}.\n" * 3) for i in range(n)]
+    notes = [(("footnote", "endnote")[i % 2], str(i), f"user {i}") for i in range(n)]
+    raw, written = calls_of(lambda: layout.write_rich_docx(runs, comments, notes, [(1, 0, "decimal", "%1.", 1)], [(0, 612.0, 792.0, None, None, None, None, 1, "continuous")], [("title", "T")]))
+    back, read = calls_of(lambda: layout.docx_comments(raw))
+    assert back == comments
+    assert written < 160 * n and read < 160 * n
+
+
+def test_small_files_are_as_zipfile_writes_them(monkeypatch):
+    entries = {"mimetype": "x" * 9, "a/é.xml": "é" * 50_000, "empty": ""}
+    raw = office._zip(entries, ("mimetype",))
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    assert z.testzip() is None and {n: z.read(n).decode() for n in z.namelist()} == entries
+    assert [(i.compress_type, i.date_time[:3]) for i in z.infolist()] == [(0, (2000, 1, 1)), (8, (2000, 1, 1)), (8, (2000, 1, 1))]
+    assert len(zipfile.ZipFile(io.BytesIO(office._zip({f"h{i}": "" for i in range(70_000)}))).namelist()) == 70_000
+    monkeypatch.setattr(office, "MOST", 10)  # larger files are left to ZipFile
+    assert office._zip(entries, ("mimetype",)) == raw
+
+
+def test_values_of_columns_are_those_of_arrow():
+    import pyarrow as pa
+
+    from sheetwright.sources import batches
+
+    columns = [(["é", None, ""], pa.string()), ([True, None, False], pa.bool_()), ([1, None], pa.int32()), ([1, 2**40], pa.int64()), ([0.5, float("inf")], pa.float64()), ([None, 0.5], pa.float64()), ([b"a", None], pa.binary()), ([], pa.string())]
+    for some, form in columns:
+        got = batches.values_of(pa.array(some, form))
+        assert got == some and list(map(type, got)) == list(map(type, some))
